@@ -1,0 +1,106 @@
+"""Pivots, melts, pairs, selections and row documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fairlead.functions.text import parse_selection
+from fairlead.operators.windows import number_chunk, position
+
+
+def fill_range(df: DataFrame, key: str, start: int, end: int, fill: dict) -> DataFrame:
+    """One row per key in [start, end); absent measures take the fill values."""
+    spine = df.sparkSession.range(start, end).select(F.col("id").cast(df.schema[key].dataType).alias(key))
+    return spine.join(df, key, "left").fillna(fill)
+
+
+def to_documents(df: DataFrame, cols: list[str], row_index: str, route: str, ferry: str) -> DataFrame:
+    """Each row as ``col: value, ...`` text with its index, route and ferry."""
+    parts = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in cols]
+    meta = F.struct(F.col(row_index).alias("row_index"), F.col(route).alias("route"), F.col(ferry).alias("ferry"))
+    return df.select(F.concat_ws(", ", *parts).alias("document"), meta.alias("metadata"))
+
+
+def pivot_telemetry(df: DataFrame, params: list[str], by: list[str] = ("time",), param: str = "parameter_id",
+                    value: str = "value", tiebreak: str | None = None) -> DataFrame:
+    """Time x parameter with the first value of each; ``tiebreak`` makes 'first' certain.
+
+    The parameter list is given, so no extra job looks for it and the same
+    conditional aggregates run on a stream.
+    """
+    first = (lambda c: F.min_by(value, F.when(c & F.col(value).isNotNull(), F.col(tiebreak)))) if tiebreak else (
+        lambda c: F.first(F.when(c, F.col(value)), ignorenulls=True))
+    return df.filter(F.col(param).isin(params)).groupBy(*by).agg(*[first(F.col(param) == p).alias(p) for p in params])
+
+
+def score_matrix(df: DataFrame, block: str, treatment: str, value: str, treatments: list[str]) -> DataFrame:
+    """Block x treatment table of mean values, complete rows only."""
+    means = df.groupBy(block, treatment).agg(F.avg(value).alias("_mean"))
+    wide = means.groupBy(block).pivot(treatment, treatments).agg(F.first("_mean"))
+    return wide.dropna(subset=treatments)
+
+
+def complete_scores(df: DataFrame, block: str, treatment: str, value: str, by: list[str] = ()) -> DataFrame:
+    """Mean value per block and treatment, of blocks that have every treatment (long form)."""
+    means = df.groupBy(*by, block, treatment).agg(F.avg(value).alias(value)).filter(F.col(value).isNotNull())
+    seen = df.select(*by, treatment).distinct()
+    if by:
+        width = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
+    else:
+        width = seen.agg(F.count(F.lit(1)).alias("_k"))
+    have = means.groupBy(*by, block).agg(F.count(F.lit(1)).alias("_n"))
+    # ``by`` names a handful of metrics, so ``width`` holds that many rows.
+    have = have.join(F.broadcast(width), list(by)) if by else have.join(F.broadcast(width))
+    return means.join(have.filter(F.col("_n") == F.col("_k")).select(*by, block), [*by, block], "left_semi")
+
+
+def missing_report(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
+    """Blocks without a value per treatment, as a pivot would show them."""
+    means = df.groupBy(block, treatment).agg(F.avg(value).alias("_mean"))
+    blocks = df.filter(F.col(block).isNotNull()).select(block).distinct().agg(F.count(F.lit(1)).alias("n_blocks"))
+    held = means.groupBy(treatment).agg(F.count("_mean").alias("_held"))
+    return held.join(F.broadcast(blocks)).select(treatment, (F.col("n_blocks") - F.col("_held")).alias("n_missing"))
+
+
+def melt(df: DataFrame, ids: list[str], metrics: list[str], name: str = "metric", value: str = "value") -> DataFrame:
+    """Wide to long in one scan."""
+    return df.unpivot(ids, metrics, name, value)
+
+
+def melt_metrics(perf: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
+    """``avg_x``/``stddev_x`` column pairs as (metric, avg, stddev) rows."""
+    rows = [
+        F.struct(F.lit(x).alias("metric"), F.col(f"avg_{x}").alias("avg"), F.col(f"stddev_{x}").alias("stddev"))
+        for x in metrics
+    ]
+    return perf.select(*ids, F.inline(F.array(*rows)))
+
+
+def pairs(df: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
+    """Each unordered pair of keys once, smaller first (for few keys, such as models)."""
+    keys = df.select(*by, key).distinct()
+    left = keys.select(*by, F.col(key).alias(f"{key}_1"))
+    right = keys.select(*by, F.col(key).alias(f"{key}_2"))
+    lower = F.col(f"{key}_1") < F.col(f"{key}_2")
+    if by:
+        return left.join(right, list(by)).filter(lower)
+    return left.join(right, lower)
+
+
+def rename(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rename columns; by default the stored spelling of one score."""
+    return df.withColumnsRenamed(aliases or {"rogue_score": "rouge_score"})
+
+
+def select_tests(df: DataFrame, spec: str, order: str, chunk_width: float = 10_000) -> DataFrame:
+    """Rows at the 1-based positions of a selection such as ``"1,3,7-10"``."""
+    wanted = F.array_contains(parse_selection(F.lit(spec)), F.col("position").cast("int"))
+    return position(df, order, number_chunk(order, chunk_width)).filter(wanted)
+
+
+def plan_runs(cases: DataFrame, n: int) -> DataFrame:
+    """Every case once per run number 1..n, pending."""
+    return cases.withColumn("run_number", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
+        "status", F.lit("pending")
+    )
