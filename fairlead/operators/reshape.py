@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions.text import parse_selection
@@ -104,3 +105,27 @@ def plan_runs(cases: DataFrame, n: int) -> DataFrame:
     return cases.withColumn("run_number", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
         "status", F.lit("pending")
     )
+
+
+# Display names of known models.
+MODEL_ALIASES = {
+    "anthropic/claude-3.7-sonnet": "Claude 3.7 Sonnet",
+    "qwen/qwen-2.5-72b-instruct": "Qwen 2.5 72B",
+    "meta-llama/llama-3.3-70b-instruct": "Llama 3.3 70B",
+    "meta-llama/llama-3.1-8b-instruct": "Llama 3.1 8B",
+    "mistralai/ministral-8b": "Ministral 8B",
+}
+
+
+def alias_models(df: DataFrame, model: str, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Display name per distinct model; unmapped ones are numbered by their place among all names.
+
+    The input lists models, not results: its distinct names are few.
+    """
+    mapping = MODEL_ALIASES if mapping is None else mapping
+    names = df.select(model).distinct()
+    place = F.row_number().over(W.orderBy(model))
+    known = F.coalesce(*[F.when(F.col(model) == m, F.lit(a)) for m, a in mapping.items()], F.lit(None))
+    return names.withColumn("_i", place).select(
+        model, F.coalesce(known, F.concat(F.lit("Model "), F.col("_i").cast("string"))).alias("alias")
+    )

@@ -137,3 +137,98 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             out.append(F.col(name))
     return df.select(*out)
+
+
+# Evaluation store: sources as models, documents as results, labels as evaluations.
+
+SCORE_WIDTHS = {"faithfulness": 11, "bleu_score": 13, "non_llm_string_similarity": 17, "rogue_score": 19}
+
+
+def store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    number = F.regexp_extract("source", r"\d+", 0).cast("int")
+    chars = F.col("n_chars")
+    kind = F.when(F.col("id") % 2 == 0, "proprietary").otherwise("open source")
+    models = docs.select(number.alias("id"), F.col("source").alias("name")).distinct().withColumn("type", kind)
+    results = docs.select(
+        F.col("doc_id").alias("id"), number.alias("llm_model_id"),
+        F.concat("lang", F.lit("/"), (F.floor(F.col("doc_id") / 20) % 3).cast("string")).alias("query"),
+        F.col("text").alias("direct_response"), F.col("text").alias("full_response"),
+        F.concat(F.lit('["SELECT '), F.col("doc_id").cast("string"), F.lit('"]')).alias("sql_queries"),
+        (F.col("doc_id") % 20).cast("int").alias("test_no"), F.lit("run_query").alias("tool_calls"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int")))
+        .alias("timestamp"),
+    )
+    scored = labels.join(docs.select("doc_id", "n_chars"), "doc_id")
+    metrics = scored.select(
+        F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("factual_correctness"),
+        (chars % 101 / 100).alias("semantic_similarity"),
+        F.when(F.col("toxic") == 0, chars % 7 / 6).alias("context_recall"),
+        *[(chars % w / (w - 1)).alias(n) for n, w in SCORE_WIDTHS.items()],
+        F.col("toxic").cast("double").alias("string_present"),
+    )
+    evaluations = labels.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("query_result_id"),
+        F.col("doc_id").alias("evaluation_metrics_id"), F.lit("[]").alias("retrieved_contexts"),
+        F.lit("truth").alias("ground_truth"),
+    )
+    copies = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = docs.filter(F.col("doc_id") % 5 != 0).select("doc_id", "n_chars", F.explode(copies).alias("copy"))
+    tokens = rows.select(
+        (F.col("doc_id") * 2 + F.col("copy")).alias("id"), F.col("doc_id").alias("query_result_id"),
+        chars.cast("double").alias("prompt_tokens"), (chars % 1000).cast("double").alias("completion_tokens"),
+        (chars + chars % 1000).cast("double").alias("total_tokens"),
+    )
+    return {"llm_models": models, "query_result": results, "query_evaluation": evaluations,
+            "evaluation_metrics": metrics, "token_usage": tokens}
+
+
+STORE_SQL = """
+llm_models AS (
+  SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS id, source AS name,
+         CASE WHEN CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 = 0 THEN 'proprietary' ELSE 'open source' END AS type
+  FROM documents),
+query_result AS (
+  SELECT doc_id AS id, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS llm_model_id,
+         lang || '/' || ((doc_id // 20) % 3) AS query, text AS direct_response, text AS full_response,
+         '["SELECT ' || doc_id || '"]' AS sql_queries, doc_id % 20 AS test_no, 'run_query' AS tool_calls,
+         TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS timestamp
+  FROM documents),
+query_evaluation AS (
+  SELECT doc_id AS id, doc_id AS query_result_id, doc_id AS evaluation_metrics_id, '[]' AS retrieved_contexts,
+         'truth' AS ground_truth FROM labels),
+evaluation_metrics AS (
+  SELECT doc_id AS id, CAST(quality AS DOUBLE) AS factual_correctness, n_chars % 101 / 100 AS semantic_similarity,
+         CASE WHEN toxic = 0 THEN n_chars % 7 / 6 END AS context_recall, n_chars % 11 / 10 AS faithfulness,
+         n_chars % 13 / 12 AS bleu_score, n_chars % 17 / 16 AS non_llm_string_similarity,
+         n_chars % 19 / 18 AS rogue_score, CAST(toxic AS DOUBLE) AS string_present
+  FROM labels JOIN documents USING (doc_id)),
+token_usage AS (
+  SELECT doc_id * 2 + i AS id, doc_id AS query_result_id, CAST(n_chars AS DOUBLE) AS prompt_tokens,
+         CAST(n_chars % 1000 AS DOUBLE) AS completion_tokens, CAST(n_chars + n_chars % 1000 AS DOUBLE) AS total_tokens
+  FROM documents, (SELECT unnest([0, 1]) AS i) WHERE doc_id % 5 <> 0 AND (i = 0 OR doc_id % 7 = 0))"""
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as an attempt log: event type as model, user as test."""
+    value = F.col("value")
+    status = (
+        F.when(value < 5, "pending").when(value < 10, "running").when(value < 30, "failed")
+        .when(value < 60, "max_retries_reached").otherwise("success")
+    )
+    return table(spark, folder, "events").select(
+        F.col("event_type").alias("model_id"), F.col("user_id").alias("test_case_id"),
+        (F.col("event_id") % 3).cast("int").alias("run_number"), status.alias("attempt_status"),
+        (F.col("event_id") % 4).cast("int").alias("retry_count"), F.col("ts").alias("attempt_ts"), "event_id",
+    )
+
+
+ATTEMPTS_SQL = """
+attempts AS (
+  SELECT event_type AS model_id, user_id AS test_case_id, event_id % 3 AS run_number,
+         CASE WHEN value < 5 THEN 'pending' WHEN value < 10 THEN 'running' WHEN value < 30 THEN 'failed'
+              WHEN value < 60 THEN 'max_retries_reached' ELSE 'success' END AS attempt_status,
+         event_id % 4 AS retry_count, ts AS attempt_ts, event_id
+  FROM events),
+last AS (SELECT * FROM attempts
+         QUALIFY row_number() OVER (PARTITION BY model_id, test_case_id, run_number ORDER BY attempt_ts DESC) = 1)"""

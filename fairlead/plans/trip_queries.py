@@ -265,10 +265,11 @@ def propulsion_types(spark, d):
 @query("A-37", f"""{W}, x AS (SELECT route_name, isodow(time_departure) - 1 AS weekday, hour(time_departure) AS hour,
       {FUEL} AS fuel, {PCE} AS pce FROM trips)
   SELECT route_name, weekday, hour, grouping_id(route_name, weekday, hour) AS level, round(sum(fuel), 6) AS fuel_l,
-    round(avg(fuel), 6) AS avg_fuel_l, round(avg(pce), 6) AS avg_pce, count(*) AS n_trips
+    round(avg(pce), 6) AS avg_pce, count(*) AS n_trips
   FROM x GROUP BY ROLLUP (route_name, weekday, hour)""")
 def fuel_profile(spark, d):
-    return t.fuel_profile(b.trips(spark, d))
+    # Means of few five-decimal values fall on rounding ties, so only their sums are compared.
+    return t.fuel_profile(b.trips(spark, d)).drop("avg_fuel_l")
 
 
 @query("A-38", f"""{W} SELECT route_name, month(time_departure) AS month, monthname(time_departure) AS month_name,
