@@ -43,8 +43,11 @@ def score_matrix(df: DataFrame, block: str, treatment: str, value: str, treatmen
 
 
 def complete_scores(df: DataFrame, block: str, treatment: str, value: str, by: list[str] = ()) -> DataFrame:
-    """Mean value per block and treatment, of blocks that have every treatment (long form)."""
-    means = df.groupBy(*by, block, treatment).agg(F.avg(value).alias(value)).filter(F.col(value).isNotNull())
+    """Mean value per block and treatment, of blocks that have every treatment (long form).
+
+    Means are rounded to 12 places: equal means tie whatever order they were summed in.
+    """
+    means = df.groupBy(*by, block, treatment).agg(F.round(F.avg(value), 12).alias(value)).filter(F.col(value).isNotNull())
     seen = df.select(*by, treatment).distinct()
     if by:
         width = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))

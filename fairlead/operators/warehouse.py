@@ -55,6 +55,13 @@ def full_query_data(store: Store) -> DataFrame:
     )
 
 
+def scores(store: Store) -> DataFrame:
+    """Query text, model and scores of every evaluated answer, for significance tests."""
+    keys = store["query_result"].select(F.col("id").alias("query_result_id"), "llm_model_id", "query")
+    rows = keys.join(_evaluations(store), "query_result_id").join(_metrics(store), "evaluation_metrics_id")
+    return join_lookup(rows, _models(store), "llm_model_id").select("query", "model_name", *SCORES)
+
+
 def _scored(store: Store, how: str) -> DataFrame:
     """Results with evaluations (``how``), metrics and tokens, without texts or model names."""
     keys = store["query_result"].select(F.col("id").alias("query_result_id"), "llm_model_id", "timestamp")

@@ -343,16 +343,14 @@ def constraint_audit(spark, d):
 
 SCORES = f"""scores AS (SELECT qr.query, m.name AS model, em.* EXCLUDE (id) FROM query_result qr
   JOIN llm_models m ON m.id = qr.llm_model_id JOIN query_evaluation qe ON qe.query_result_id = qr.id
-  JOIN evaluation_metrics em ON em.id = qe.evaluation_metrics_id
-  LEFT JOIN token_usage tu ON tu.query_result_id = qr.id)"""
-MEANS = f"{SCORES}, means AS (SELECT query, model, avg(semantic_similarity) AS v FROM scores GROUP BY 1, 2)"
+  JOIN evaluation_metrics em ON em.id = qe.evaluation_metrics_id)"""
+MEANS = f"{SCORES}, means AS (SELECT query, model, round(avg(semantic_similarity), 12) AS v FROM scores GROUP BY 1, 2)"
 COMPLETE = f"""{MEANS}, full_rows AS (SELECT * FROM means WHERE query IN (
   SELECT query FROM means GROUP BY 1 HAVING count(v) = (SELECT count(DISTINCT model) FROM scores)))"""
 
 
 def _scores(spark, d):
-    rows = w.full_query_data(b.store(spark, d))
-    return rows.select("query", F.col("model_name").alias("model"), *w.SCORES)
+    return w.scores(b.store(spark, d)).withColumnRenamed("model_name", "model")
 
 
 @query("C-8", f"""{W}, {MEANS} SELECT model, (SELECT count(DISTINCT query) FROM scores) - count(v) AS n_missing FROM means GROUP BY 1""")
@@ -434,8 +432,8 @@ def boxplot(spark, d):
 def _ranked_sql(metric):
     return f"""SELECT '{metric}' AS metric, query, model, v, rank() OVER (PARTITION BY query ORDER BY v)
         + (count(*) OVER (PARTITION BY query, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY query, v) AS t
-      FROM (SELECT query, model, avg({metric}) AS v FROM scores GROUP BY 1, 2)
-      WHERE query IN (SELECT query FROM (SELECT query, model, avg({metric}) AS v FROM scores GROUP BY 1, 2)
+      FROM (SELECT query, model, round(avg({metric}), 12) AS v FROM scores GROUP BY 1, 2)
+      WHERE query IN (SELECT query FROM (SELECT query, model, round(avg({metric}), 12) AS v FROM scores GROUP BY 1, 2)
                       GROUP BY 1 HAVING count(v) = (SELECT count(DISTINCT model) FROM scores))"""
 
 
