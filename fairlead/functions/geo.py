@@ -15,8 +15,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    # Rounding may push h of antipodal points just above 1.
-    h = F.least(h, F.lit(1.0))
+    # Rounding may push h of antipodal points just above 1; ``least`` would turn null into 1.
+    h = F.when(h > 1, F.lit(1.0)).otherwise(h)
     return F.atan2(F.sqrt(h), F.sqrt(1 - h)) * (2 * EARTH_RADIUS_M)
 
 

@@ -93,8 +93,8 @@ def match_timetable(trips: DataFrame, timetable: DataFrame, route: str, ts: str,
     # A clock time recurs every day: match each one once, then look it up.
     clocks = keyed.select(route, "_second").distinct().withColumn("_clock", F.timestamp_seconds("_second"))
     offsets = F.array(*[F.lit(float(d * 86_400)) for d in (-1, 0, 1)])
-    slots = timetable.select(route, slot).distinct().select(
-        route, slot, F.timestamp_seconds(F.explode(offsets) + F.col(slot)).alias("_slot_clock")
+    slots = timetable.select(route, slot).distinct().select(route, slot, F.explode(offsets).alias("_day")).select(
+        route, slot, F.timestamp_seconds(F.col(slot) + F.col("_day")).alias("_slot_clock")
     )
     matched = asof_nearest(
         clocks, slots, [route], "_clock", "_slot_clock", tolerance_min * 60, [slot], slot, bucket=3_600.0

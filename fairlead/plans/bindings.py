@@ -232,3 +232,106 @@ attempts AS (
   FROM events),
 last AS (SELECT * FROM attempts
          QUALIFY row_number() OVER (PARTITION BY model_id, test_case_id, run_number ORDER BY attempt_ts DESC) = 1)"""
+
+
+# Answers, dialogues, telemetry.
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document answers one benchmark item, whose text is the reference."""
+    items = table(spark, folder, "benchmark")
+    n = items.count()
+    refs = items.select(F.col("item_id").alias("_item"), F.col("text").alias("reference"))
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("query_result_id"), "source", F.col("text").alias("response"),
+        (F.col("doc_id") % n).alias("_item"),
+    )
+    return docs.join(refs, "_item").withColumnRenamed("_item", "item_id")
+
+
+def cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items as test cases whose true value is their number, with outer blanks."""
+    return table(spark, folder, "benchmark").select(
+        F.col("item_id").cast("int").alias("test_no"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("ground_truth"),
+        F.concat(F.lit(" "), F.col("item_id").cast("string")).alias("extracted_true_value"),
+    )
+
+
+ANSWERS_SQL = """
+answers AS (SELECT doc_id AS query_result_id, d.text AS response, item_id, b.text AS reference
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+keys AS (SELECT regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS k, CAST(min(item_id) AS DOUBLE) AS true_value FROM benchmark GROUP BY 1)"""
+
+
+def dialogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as agent logs: a user's turn opens a statement."""
+    opening = F.concat(F.lit("INFO Running: "), "text")
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"),
+        F.when(F.col("role") == "user", opening).otherwise(F.col("text")).alias("line"), "role",
+    )
+
+
+def points(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as positions with speed and a fuel rate."""
+    key = F.col("event_id")
+    return table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("vessel_id"), F.col("ts").alias("time"), key.alias("event_id"),
+        (F.lit(59.0) + key % 997 / 1000.0).alias("lat"), (F.lit(18.0) + key % 991 / 1000.0).alias("lon"),
+        F.col("value").alias("sog"), (F.col("value") * 2).alias("engine_1_fuelcons_lph"),
+    )
+
+
+def readings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as long telemetry, four readings per event."""
+    names = {
+        "positioningsystem_latitude_deg_1": "lat", "positioningsystem_longitude_deg_1": "lon",
+        "positioningsystem_sog_kn_1": "sog", "engine_1_fuelcons_lph": "engine_1_fuelcons_lph",
+    }
+    parts = [F.struct(F.lit(p).alias("parameter_id"), F.col(c).cast("double").alias("value")) for p, c in names.items()]
+    return points(spark, folder).select("vessel_id", "time", "event_id", F.inline(F.array(*parts)))
+
+
+def event_telemetry(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as long telemetry with the event type as the parameter."""
+    return table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("vessel_id"), F.col("ts").alias("time"),
+        F.col("event_type").alias("parameter_id"), "value", "event_id",
+    )
+
+
+def departures(spark: SparkSession, folder: str) -> DataFrame:
+    """One departure 37 minutes after each event, by ferry name."""
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("trip_id"), F.concat(F.lit("Vessel"), F.col("user_id").cast("string")).alias("ferry_name"),
+        (F.col("ts") + F.make_dt_interval(mins=F.lit(37))).alias("time_departure"),
+    )
+
+
+def vessel_names(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.col("user_id").cast("string")
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("VESSEL"), number).alias("name"), number.alias("vessel_id")
+    ).distinct()
+
+
+_H = """(pow(sin(radians({lat} - {plat}) / 2), 2)
+      + cos(radians({plat})) * cos(radians({lat})) * pow(sin(radians({lon} - {plon}) / 2), 2))"""
+HAVERSINE_SQL = f"(2 * 6371000 * atan2(sqrt({_H}), sqrt(1 - {_H})))"
+
+_STEP = HAVERSINE_SQL.format(lat="lat", lon="lon", plat="lag(lat) OVER w", plon="lag(lon) OVER w")
+
+
+def segments_sql(by: str, gap_seconds: float) -> str:
+    """Points with trip numbers and steps, by the given partition columns."""
+    return f"""
+points AS (SELECT CAST(user_id AS VARCHAR) AS vessel_id, ts AS time, event_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day,
+    date_trunc('second', ts + INTERVAL 1 HOUR) AS local_time, 59 + event_id % 997 / 1000.0 AS lat,
+    18 + event_id % 991 / 1000.0 AS lon, value AS sog, value * 2 AS fuel FROM events WHERE value >= 1.0),
+steps AS (SELECT *, epoch_us(time) - epoch_us(lag(time) OVER w) AS gap_us, {_STEP} AS step
+  FROM points WINDOW w AS (PARTITION BY {by} ORDER BY time)),
+segments AS (SELECT *, sum(CASE WHEN gap_us > {int(gap_seconds * 1e6)} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY {by} ORDER BY time ROWS UNBOUNDED PRECEDING) AS trip_no,
+    CASE WHEN gap_us IS NULL OR gap_us > {int(gap_seconds * 1e6)} THEN 0 ELSE step END AS step_m FROM steps),
+trip_table AS (SELECT {by}, trip_no, min(local_time) AS start_time, max(local_time) AS end_time, count(*) AS n_points,
+    sum(step_m) / 1852 AS distance_nm, sum(fuel * 5 / 3600) AS fuel_l FROM segments GROUP BY ALL HAVING count(*) > 1)"""

@@ -45,6 +45,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for work that is heavy per row, when the scan has too few splits.
+
+    Inputs with enough splits pass unchanged, so large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "inner",
                 max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Join a lookup table, broadcasting it only when its size is proven small.
