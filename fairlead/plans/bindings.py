@@ -210,13 +210,17 @@ token_usage AS (
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    return as_attempts(table(spark, folder, "events"))
+
+
+def as_attempts(events: DataFrame) -> DataFrame:
     """Events as an attempt log: event type as model, user as test."""
     value = F.col("value")
     status = (
         F.when(value < 5, "pending").when(value < 10, "running").when(value < 30, "failed")
         .when(value < 60, "max_retries_reached").otherwise("success")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_type").alias("model_id"), F.col("user_id").alias("test_case_id"),
         (F.col("event_id") % 3).cast("int").alias("run_number"), status.alias("attempt_status"),
         (F.col("event_id") % 4).cast("int").alias("retry_count"), F.col("ts").alias("attempt_ts"), "event_id",

@@ -136,9 +136,9 @@ def write_back(spark, d):
 
 @query("J-13", """WITH t AS (SELECT o_orderkey, o_orderpriority, o_orderkey % 1440 AS minute FROM orders),
   s AS (SELECT DISTINCT o_orderpriority, CAST(minute // 60 * 3600 AS DOUBLE) AS slot FROM t),
-  a AS (SELECT o_orderpriority, slot, unnest([slot - 86400, slot, slot + 86400]) AS at FROM s)
-  SELECT o_orderkey, arg_min(slot, at) AS slot, count(slot) = 0 AS doubtful FROM t
-  LEFT JOIN a ON a.o_orderpriority = t.o_orderpriority AND abs(minute * 60 - at) <= 300 GROUP BY 1""")
+  a AS (SELECT o_orderpriority, slot, unnest([slot - 86400, slot, slot + 86400]) AS moment FROM s)
+  SELECT o_orderkey, arg_min(slot, moment) AS slot, count(slot) = 0 AS doubtful FROM t
+  LEFT JOIN a ON a.o_orderpriority = t.o_orderpriority AND abs(minute * 60 - moment) <= 300 GROUP BY 1""")
 def match_timetable(spark, d):
     minute = F.col("o_orderkey") % 1440
     trips = b.table(spark, d, "orders").select(

@@ -47,3 +47,88 @@ def trip_sessions(df: DataFrame, gap: str = "60 seconds", watermark: str | None
         F.min(time).alias("start_time"), F.max(time).alias("end_time"), F.count(F.lit(1)).alias("n_points")
     )
     return sessions.filter(F.col("n_points") > 1).select(by, "start_time", "end_time", "n_points")
+
+
+def performance_stream(scores: DataFrame, model: str, metrics: list[str]) -> DataFrame:
+    """Means and deviations per model, kept up to date as scores arrive (complete mode)."""
+    return scores.groupBy(model).agg(
+        *[F.avg(x).alias(f"avg_{x}") for x in metrics], *[F.stddev_samp(x).alias(f"stddev_{x}") for x in metrics],
+        F.count(F.lit(1)).alias("query_evaluation_count"),
+    )
+
+
+def refresh_summary(folder: str):
+    """A ``foreachBatch`` writer of summary snapshots; an empty batch leaves the last one.
+
+    A snapshot is a folder named by its batch, so a repeated batch overwrites itself.
+    """
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        if batch_df.isEmpty():
+            return
+        batch_df.write.mode("overwrite").parquet(f"{folder}/snapshot={batch_id:012d}")
+    return write
+
+
+def latest_summary(spark, folder: str) -> DataFrame:
+    """The newest snapshot."""
+    rows = spark.read.parquet(folder)
+    newest = rows.agg(F.max("snapshot").alias("snapshot"))
+    return rows.join(F.broadcast(newest), "snapshot", "left_semi").drop("snapshot")
+
+
+STATEMENT = "session_id long, statement_no long, sql string"
+STATE = "statement_no long, current string"
+
+
+def live_sql(lines: DataFrame, idle: str | None = None) -> DataFrame:
+    """Statements of agent logs as they close.
+
+    Rows hold (session_id, line_no, line) and arrive in order between batches. With ``idle``
+    a session's open statement follows once the session has been quiet that long; such a
+    query polls its timers, so it suits a running trigger, not one that stops when the
+    source is drained.
+    """
+    wait = int(_seconds(idle) * 1000) if idle else None
+
+    def follow(key, frames, state):
+        import pandas as pd
+
+        number, current = state.get if state.exists else (0, "")
+        closed = []
+        if state.hasTimedOut:
+            if current:
+                closed.append((key[0], number, current.strip()))
+            state.update((number, ""))
+        else:
+            rows = pd.concat(list(frames)).sort_values("line_no")
+            for line in rows["line"].fillna(""):
+                _, mark, rest = line.partition("Running:")
+                text = line.strip()
+                if mark:
+                    if current:
+                        closed.append((key[0], number, current.strip()))
+                    number, current = number + 1, rest.strip()
+                elif current and text and not text.startswith("INFO"):
+                    current = f"{current} {text}"
+            state.update((number, current))
+            if wait is not None:
+                state.setTimeoutDuration(wait)
+        yield pd.DataFrame(closed, columns=["session_id", "statement_no", "sql"])
+
+    return lines.groupBy("session_id").applyInPandasWithState(
+        follow, STATEMENT, STATE, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
+
+
+def _seconds(text: str) -> float:
+    number, unit = text.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
+
+
+def run_available(df: DataFrame, folder: str, mode: str = "append", format: str = "parquet", each=None) -> None:
+    """Process what a source holds now and stop; the checkpoint in ``folder`` resumes later runs."""
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    if each is not None:
+        query = writer.foreachBatch(each).start()
+    else:
+        query = writer.format(format).start(f"{folder}/data")
+    query.awaitTermination()
