@@ -112,7 +112,8 @@ def with_direction(paths: DataFrame) -> DataFrame:
 
 def path_distances(paths: DataFrame, alpha: float = 0.3, max_dist: float = 100.0) -> DataFrame:
     """(i, j, dist) for i < j within ``max_dist``: the sparse form of the distance matrix."""
-    rows = with_direction(paths)
+    # Four branches of the join read the paths: store them once.
+    rows = checkpoint(with_direction(paths).select("path_id", "lat", "lon", "dir"))
     pairs = close_pairs(rows, alpha, max_dist, extent(rows))
     return pairs.select(F.col("path_id_i").alias("i"), F.col("path_id_j").alias("j"), "dist")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import metrics as mt
 from fairlead.functions.text import clean_number, first_number, is_error, strip
-from fairlead.session import join_lookup, spread
+from fairlead.session import join_lookup
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ TEXT_METRICS = ("factual_correctness", "bleu_score", "non_llm_string_similarity"
 
 def score(answers: DataFrame, cases: DataFrame, metrics: list[str] = TEXT_METRICS) -> DataFrame:
     """All answers against their cases: (response, reference) rows plus one column per metric."""
-    return add_scores(with_true_value(spread(answers), cases), list(metrics))
+    return add_scores(with_true_value(answers, cases), list(metrics))
 
 
 def verdict_ratio(verdicts: DataFrame, key: str, supported: str = "supported", out: str = "faithfulness") -> DataFrame:

@@ -37,12 +37,14 @@ def wide_points(df: DataFrame, fuel: list[str] = (), lat: str = LAT, lon: str =
 
 
 def trip_points(points: DataFrame, by: list[str], time: str = "time", speed_kn: float = 1.0, stop_min: float = 1.0,
-                zone: str = "CET", chunk: Column | None = None) -> DataFrame:
+                zone: str = "CET", chunk: Column | None = None, bounded: bool = False) -> DataFrame:
     """Moving samples numbered by trip, with the step from the previous sample in metres.
 
-    The speed filter comes first: gaps are measured between the samples it keeps.
+    The speed filter comes first: gaps are measured between the samples it keeps. Keys of
+    ``bounded`` size, such as a vessel's day, need no chunks and take one shuffle.
     """
-    chunk = windows.time_chunk(time) if chunk is None else chunk
+    if not bounded:
+        chunk = windows.time_chunk(time) if chunk is None else chunk
     kept = m.moving(points, "sog", speed_kn)
     before = {time: "_time", "lat": "_lat", "lon": "_lon"}
     rows = windows.with_previous(kept, by, time, before, chunk).withColumn("dt", cal.seconds_between("_time", time))
@@ -113,7 +115,7 @@ def enrich_trips(trips: DataFrame, fleet: DataFrame, telemetry: DataFrame, toler
     points = wide_points(telemetry, list(fuel), tiebreak=tiebreak).withColumn(
         "day", F.to_date(cal.local_time("time", zone))
     ).filter(F.col("day") > F.lit(FIRST_DAY).cast("date"))
-    rows = trip_points(points, by, "time", speed_kn, stop_min, zone)
+    rows = trip_points(points, by, "time", speed_kn, stop_min, zone, bounded=True)
     table = round_trips(trip_table(rows, by, fuel, dt_s), by, max_minutes)
     names = fleet.select(F.lower("name").alias("_name"), "vessel_id")
     left = join_lookup(

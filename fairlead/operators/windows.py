@@ -28,10 +28,16 @@ def _edges(df: DataFrame, by: list[str], **carried: Column) -> DataFrame:
     return df.groupBy(*by, "_chunk").agg(*[c.alias(n) for n, c in carried.items()])
 
 
-def with_previous(df: DataFrame, by: list[str], ts: str, cols: dict[str, str], chunk: Column,
+def with_previous(df: DataFrame, by: list[str], ts: str, cols: dict[str, str], chunk: Column | None,
                   tiebreak: list[str] = ()) -> DataFrame:
-    """Add the previous row's values: ``cols`` maps a source column to its new name."""
+    """Add the previous row's values: ``cols`` maps a source column to its new name.
+
+    Without a chunk a plain window is used, for keys whose groups are bounded.
+    """
     order = [ts, *tiebreak]
+    if chunk is None:
+        before = W.partitionBy(*by).orderBy(*order)
+        return df.withColumns({new: F.lag(c).over(before) for c, new in cols.items()})
     df = df.withColumn("_chunk", chunk)
     packed = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *cols])])
     within = W.partitionBy(*by, "_chunk").orderBy(*order)
@@ -53,9 +59,12 @@ def lag_seconds(df: DataFrame, by: list[str], ts: str, chunk: Column | None = No
     return df.withColumn(out, seconds_between("_previous_ts", ts)).drop("_previous_ts")
 
 
-def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, chunk: Column,
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, chunk: Column | None,
                 out: str) -> DataFrame:
-    """Inclusive running sum in ``order``; equal order keys share no row order guarantees."""
+    """Inclusive running sum in ``order``, whose keys should be unique within ``by``."""
+    if chunk is None:
+        so_far = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(so_far), F.lit(0)))
     df = df.withColumn("_chunk", chunk).withColumn("_value", value)
     within = W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairlead.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -16,25 +18,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def crossings(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as one row per order with measures for odd and even lines."""
     lines = table(spark, folder, "lineitem")
-    flag = F.col("l_returnflag")
-    weight = F.when(flag == "A", 1.0).when(flag == "N", 2.5).otherwise(4.5)
+    weight = "CASE l_returnflag WHEN 'A' THEN 1.0D WHEN 'N' THEN 2.5D ELSE 4.5D END"
     aggs = []
     for side, odd in (("outbound", 1), ("inbound", 0)):
-        here = F.col("l_linenumber") % 2 == odd
-        total = lambda value, cond=None: F.sum(F.when(here if cond is None else here & cond, value))
+        measures = {
+            f"cars_{side}": ("l_quantity", "l_returnflag = 'A'"),
+            f"trucks_{side}": ("l_quantity", "l_returnflag = 'N'"),
+            f"trucks_with_trailer_{side}": ("l_quantity", "l_returnflag = 'R'"),
+            f"motorcycles_{side}": ("l_linenumber", "l_linestatus = 'O'"),
+            f"buses_{side}": ("l_suppkey % 3", "true"),
+            f"pedestrians_{side}": ("l_partkey % 7", "true"),
+            f"vehicles_left_at_terminal_{side}": ("l_partkey % 5", "l_linestatus = 'F'"),
+            f"passenger_car_equivalent_{side}": (f"l_quantity * {weight}", "true"),
+            f"distance_{side}_nm": ("l_quantity", "true"),
+        }
+        here = f"l_linenumber % 2 = {odd}"
+        aggs += [F.expr(f"sum(CASE WHEN {here} AND {cond} THEN {value} END) AS {name}")
+                 for name, (value, cond) in measures.items()]
         aggs += [
-            total(F.col("l_quantity"), flag == "A").alias(f"cars_{side}"),
-            total(F.col("l_quantity"), flag == "N").alias(f"trucks_{side}"),
-            total(F.col("l_quantity"), flag == "R").alias(f"trucks_with_trailer_{side}"),
-            total(F.col("l_linenumber"), F.col("l_linestatus") == "O").alias(f"motorcycles_{side}"),
-            total(F.col("l_suppkey") % 3).alias(f"buses_{side}"),
-            total(F.col("l_partkey") % 7).alias(f"pedestrians_{side}"),
-            total(F.col("l_partkey") % 5, F.col("l_linestatus") == "F").alias(f"vehicles_left_at_terminal_{side}"),
-            total(F.col("l_quantity") * weight).alias(f"passenger_car_equivalent_{side}"),
-            (total(F.col("l_extendedprice")) / 1000).alias(f"fuelcons_{side}_l"),
-            total(F.col("l_quantity")).alias(f"distance_{side}_nm"),
-            F.min(F.when(here, F.col("l_shipdate"))).alias(f"start_time_{side}"),
-            F.max(F.when(here, F.col("l_shipdate"))).alias(f"end_time_{side}"),
+            F.expr(f"sum(CASE WHEN {here} THEN l_extendedprice END) / 1000 AS fuelcons_{side}_l"),
+            F.expr(f"min(CASE WHEN {here} THEN l_shipdate END) AS start_time_{side}"),
+            F.expr(f"max(CASE WHEN {here} THEN l_shipdate END) AS end_time_{side}"),
         ]
     return lines.groupBy("l_orderkey").agg(*aggs)
 
@@ -246,7 +250,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark")
     n = items.count()
     refs = items.select(F.col("item_id").alias("_item"), F.col("text").alias("reference"))
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("query_result_id"), "source", F.col("text").alias("response"),
         (F.col("doc_id") % n).alias("_item"),
     )

@@ -8,9 +8,8 @@ from fairlead.functions import geo
 from fairlead.operators import paths as pt, telemetry as tm
 from fairlead.plans import bindings as b
 from fairlead.plans.registry import query
-from fairlead.session import spread
 
-ALPHA, REACH = 0.3, 4_000.0  # metres: the points of a user are kilometres apart
+ALPHA, REACH, EPS = 0.3, 1_500.0, 800.0  # metres: the points of a user are kilometres apart
 
 
 def trip_paths(spark, d):
@@ -18,7 +17,7 @@ def trip_paths(spark, d):
     rows = tm.trip_points(b.points(spark, d), ["vessel_id"], stop_min=360.0)
     trips = tm.trip_paths(rows, ["vessel_id"], ["event_id"])
     keyed = trips.withColumn("path_id", F.get("points", F.lit(0))["event_id"])
-    return spread(pt.as_arrays(keyed))
+    return pt.as_arrays(keyed)
 
 
 @query("G-7")
@@ -51,13 +50,13 @@ def end_distances(spark, d):
 
 @query("G-9")
 def cluster_paths(spark, d):
-    return pt.cluster_paths(trip_paths(spark, d), ALPHA, 2_000.0, 2, 1_000.0)
+    return pt.cluster_paths(trip_paths(spark, d), ALPHA, EPS, 2, 1_000.0)
 
 
 @query("G-10")
 def representative_path(spark, d):
     paths = trip_paths(spark, d)
-    labels = pt.cluster_paths(paths, ALPHA, 2_000.0, 2, 1_000.0)
+    labels = pt.cluster_paths(paths, ALPHA, EPS, 2, 1_000.0)
     return pt.representative_path(paths.join(labels.filter(F.col("label") >= 0), "path_id"), "label", 1_000.0)
 
 

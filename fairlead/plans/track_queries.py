@@ -120,7 +120,7 @@ def pair_inbound(spark, d):
 def _day_trips(spark, d):
     from fairlead.functions.calendar import local_time
     points = b.points(spark, d).withColumn("day", F.to_date(local_time("time")))
-    rows = tm.trip_points(points, ["vessel_id", "day"], "time", 1.0, 60.0)
+    rows = tm.trip_points(points, ["vessel_id", "day"], "time", 1.0, 60.0, bounded=True)
     return tm.trip_table(rows, ["vessel_id", "day"], ["engine_1_fuelcons_lph"])
 
 

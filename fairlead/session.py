@@ -58,13 +58,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for work that is heavy per row, when the scan has too few splits.
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core for work that is heavy per row, when a table has too few splits.
 
-    Inputs with enough splits pass unchanged, so large tables are never shuffled for this.
+    Takes a bare scan, whose splits are known without running anything. Tables with enough
+    splits pass unchanged, so large ones are never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "inner",
