@@ -79,7 +79,7 @@ def frechet(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarr
 
 
 @F.pandas_udf(DoubleType())
-def frechet_metres(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+def _frechet_metres(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Frechet distance per row; rows of equal lengths are computed together."""
     out = np.empty(len(lat1))
     shapes = pd.Series(list(zip(lat1.str.len(), lat2.str.len())))
@@ -93,6 +93,10 @@ def frechet_metres(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.S
     return pd.Series(out)
 
 
+# Marked so that a filter on the distance does not make the optimizer compute it twice.
+frechet_metres = _frechet_metres.asNondeterministic()
+
+
 def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Ward clusters of weighted points by nearest-neighbour chains, cut at k clusters."""
     n = len(points)
