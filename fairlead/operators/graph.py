@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by hooking to smaller neighbours and contracting."""
 
 from __future__ import annotations
 
@@ -11,20 +11,27 @@ from fairlead.session import checkpoint
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each component.
 
-    Each round takes the least label among a node's neighbours and then the label of that
-    label, so long chains shrink by halves. Rounds end in a checkpoint, which survives lost
-    executors. Not converging within ``max_rounds`` is an error, never a partial result.
+    Each round hooks every root to its first neighbour in a hashed order, follows two links
+    and contracts the edges onto the new roots. The order changes with the round, so hooks
+    form shallow trees on chains and stars alike and the graph shrinks geometrically. Rounds
+    end in a checkpoint, which survives lost executors. Edges left after ``max_rounds`` are
+    an error, never a partial result.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("via"))
-        onward = labels.select(F.col("node").alias("via"), F.col("component").alias("onward"))
-        step = checkpoint(lower.join(onward, "via").select(
-            "node", "old", F.least("via", "onward").alias("component")))
-        labels = step.select("node", "component")
-        if step.filter(F.col("component") != F.col("old")).isEmpty():
-            return labels
+    flipped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    links = checkpoint(edges.select("a", "b").unionByName(flipped).filter("a <> b").distinct())
+    labels = nodes.select("node", F.col("node").alias("root")).distinct()
+    for turn in range(max_rounds):
+        if links.isEmpty():
+            least = labels.groupBy("root").agg(F.min("node").alias("component"))
+            return labels.join(least, "root").select("node", "component")
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c))
+        hooks = links.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
+        hooks = checkpoint(hooks.select("a", F.when(order("b") < order("a"), F.col("b")).otherwise(F.col("a")).alias("up")))
+        above = hooks.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        roots = checkpoint(hooks.join(above, "up").select("a", "top"))
+        labels = checkpoint(labels.join(roots.withColumnRenamed("a", "root"), "root", "left").select(
+            "node", F.coalesce("top", "root").alias("root")))
+        at = lambda c: roots.select(F.col("a").alias(c), F.col("top").alias(f"top_{c}"))
+        links = checkpoint(links.join(at("a"), "a").join(at("b"), "b").select(
+            F.col("top_a").alias("a"), F.col("top_b").alias("b")).filter("a <> b").distinct())
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
