@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from fairlead.plans import QUERIES
 from check import TABLES, rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def con():
 
 
 @needs_data
-@pytest.mark.parametrize("key", sorted(set(queries()) - CLUSTERING))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - CLUSTERING))
 def test_query(spark, con, key):
     df = queries()[key](spark, FOLDER)
     got = rows(df.columns, df.collect())
