@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import table
+from fairlead.llm.minhash import fingerprint_documents
 from fairlead.llm.packing import pack_documents
 from fairlead.llm.sharding import shard_documents
 from fairlead.llm.simhash import simhash_components
@@ -48,3 +49,8 @@ def op5_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash_components(table(spark, folder, "documents"), 3, 42)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
