@@ -11,6 +11,7 @@ from fairlead.llm.minhash import fingerprint_documents
 from fairlead.llm.packing import pack_documents
 from fairlead.llm.sharding import shard_documents
 from fairlead.llm.simhash import simhash_components
+from fairlead.llm.superkmer import substring_dedup
 from fairlead.llm.token_matrix import token_matrix
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,3 +55,9 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup(table(spark, folder, "documents"))
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
