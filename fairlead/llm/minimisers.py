@@ -41,9 +41,9 @@ def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
     """A hash per run of n bytes, n a power of two: hashes of halves are joined, so no table grows with the text."""
     h, width = BYTE[data], 1
     while width < n:
-        h = mix(h[:-width] * PLACE[width] + h[width:])
+        h = h[:-width] * PLACE[width] + h[width:]
         width *= 2
-    return h
+    return mix(h)
 
 
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -64,9 +64,16 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def blocks(h: np.ndarray, least: np.uint64, start: int, stop: int, width: int, block: int) -> list[tuple[int, int]]:
-    """Cut a run of windows wherever the minimiser's place in the window enters another block of ``block`` places."""
+def blocks(h: np.ndarray, least: np.uint64, start: int, stop: int, width: int, block: int) -> list[tuple[int, int, int]]:
+    """Parts (from, to, place) of a run of windows that share their least hash.
+
+    ``place`` is how far the last window's first such hash lies behind its start; it grows by one
+    per window towards the front. A part ends where it does not, or where it enters another
+    block of ``block`` places.
+    """
     at = start + np.flatnonzero(h[start:stop - 1 + width] == least)
     windows = np.arange(start, stop)
-    offset = (at[np.searchsorted(at, windows)] - windows) // block
-    return [(start + a, start + b) for a, b in runs(offset)]
+    place = at[np.searchsorted(at, windows)] - windows
+    cut = np.flatnonzero((place[1:] != place[:-1] - 1) | (place[1:] // block != place[:-1] // block)) + 1
+    edges = [0, *cut.tolist(), len(place)]
+    return [(start + a, start + b, int(place[b - 1])) for a, b in zip(edges, edges[1:])]

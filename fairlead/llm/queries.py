@@ -11,6 +11,7 @@ from fairlead.llm.minhash import fingerprint_documents
 from fairlead.llm.packing import pack_documents
 from fairlead.llm.sharding import shard_documents
 from fairlead.llm.simhash import simhash_components
+from fairlead.llm.suffix_columns import remove_repeated_bytes
 from fairlead.llm.superkmer import substring_dedup
 from fairlead.llm.token_matrix import token_matrix
 
@@ -61,3 +62,9 @@ def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup(table(spark, folder, "documents"))
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeated_bytes(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

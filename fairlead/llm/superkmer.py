@@ -77,8 +77,8 @@ def _strings(window: int, gram: int):
                     if not keep[a]:
                         continue
                     m = int(least[a])
-                    parts = [(a, b)] if m not in hot else blocks(w.grams, w.least[a], a, b, window - gram + 1, 1)
-                    for x, y in parts:
+                    parts = [(a, b, 0)] if m not in hot else blocks(w.grams, w.least[a], a, b, window - gram + 1, 1)
+                    for x, y, _ in parts:
                         packed = w.string(x, y, window)
                         key = m if m not in hot else int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "big", signed=True)
                         for column, value in zip(rows, (key, packed, o, tk, x)):
