@@ -14,6 +14,7 @@ from fairlead.llm.simhash import simhash_components
 from fairlead.llm.suffix_columns import remove_repeated_bytes
 from fairlead.llm.superkmer import substring_dedup
 from fairlead.llm.token_matrix import token_matrix
+from fairlead.llm.toxicity import score_documents
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, END_ID, SHARDS = 1024, 2, 40
@@ -68,3 +69,9 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeated_bytes(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"), 0.3)
+    return scored.select("row.doc_id", "held_out", "score", "predicted", "worst_words")
