@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import table
+from fairlead.llm.decontaminate import contaminated
+from fairlead.llm.licenses import license_scan
 from fairlead.llm.minhash import fingerprint_documents
 from fairlead.llm.packing import pack_documents
 from fairlead.llm.sharding import shard_documents
@@ -75,3 +77,14 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"), 0.3)
     return scored.select("row.doc_id", "held_out", "score", "predicted", "worst_words")
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
