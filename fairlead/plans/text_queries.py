@@ -30,24 +30,61 @@ def factual(spark, d):
     return rows.select("query_result_id", "factual_correctness")
 
 
-def _bleu_sql(smooth):
+def _grams(source, key):
+    """Word n-grams of orders 1 to 4 by position, from rows (key, item_id, t)."""
+    lead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in (1, 2, 3))
+    parts, text = [], "w"
+    for n in (1, 2, 3, 4):
+        parts.append(f"SELECT {key}, item_id, {n} AS n, {text} AS g FROM {source}_p WHERE {text} IS NOT NULL")
+        text += f" || ' ' || w{n}"
+    return f"""{source}_w AS (SELECT {key}, item_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM {source}),
+  {source}_p AS (SELECT {key}, item_id, w, {lead} FROM {source}_w WINDOW o AS (PARTITION BY {key} ORDER BY i)),
+  {source}_g AS (SELECT {key}, item_id, n, g, count(*) AS c FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL)"""
+
+
+def _bleu_ctes(smooth):
     zero = "0.1 / size" if smooth else "2.2250738585072014e-308"
-    return rf"""{W},
-  said AS (SELECT query_result_id AS id, item_id, regexp_extract_all(response, '[^ \t\n\r\f\v]+') AS t FROM answers),
-  truth AS (SELECT item_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS t FROM benchmark),
+    return rf"""said AS (SELECT query_result_id AS id, item_id, regexp_extract_all(response, '[^ \t\n\r\f\v]+') AS t FROM answers),
+  truth AS (SELECT item_id AS truth_id, item_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS t FROM benchmark),
+  {_grams("said", "id")}, {_grams("truth", "truth_id")},
   orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
-  rg AS (SELECT item_id, n, array_to_string(t[i:i + n - 1], ' ') AS g, count(*) AS c
-    FROM (SELECT item_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM truth, orders) GROUP BY 1, 2, 3),
-  sg AS (SELECT id, item_id, n, array_to_string(t[i:i + n - 1], ' ') AS g, count(*) AS c
-    FROM (SELECT id, item_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM said, orders) GROUP BY 1, 2, 3, 4),
-  hits AS (SELECT id, n, sum(least(sg.c, rg.c)) AS h FROM sg JOIN rg USING (item_id, n, g) GROUP BY 1, 2),
+  hits AS (SELECT id, n, sum(least(s.c, r.c)) AS h FROM said_g s JOIN truth_g r USING (item_id, n, g) GROUP BY 1, 2),
   p AS (SELECT s.id, n, coalesce(h, 0) AS h, greatest(1, len(t) - n + 1) AS size
     FROM said s CROSS JOIN orders LEFT JOIN hits USING (id, n)),
   score AS (SELECT id, bool_or(n = 1 AND h = 0) AS none, sum(ln(CASE WHEN h = 0 THEN {zero} ELSE h / size END)) / 4 AS lp
-    FROM p GROUP BY 1)
-  SELECT id AS query_result_id, round(CASE WHEN none OR len(s.t) = 0 THEN 0
+    FROM p GROUP BY 1),
+  bleu AS (SELECT id AS query_result_id, round(CASE WHEN none OR len(s.t) = 0 THEN 0
       ELSE exp(lp + least(0, 1 - len(r.t) / len(s.t))) END, 6) AS bleu_score
-  FROM score JOIN said s USING (id) JOIN truth r ON r.item_id = s.item_id"""
+    FROM score JOIN said s USING (id) JOIN truth r ON r.item_id = s.item_id)"""
+
+
+def _bleu_sql(smooth):
+    return f"{W}, {_bleu_ctes(smooth)} SELECT * FROM bleu"
+
+
+# The check engine measures edits in bytes. Each other letter of the texts becomes a control character, one byte.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][:len(_LETTERS)])
+_ONE_BYTE = f"translate({{0}}, '{_LETTERS}', {_BYTES})"
+SIMILAR_CTES = rf"""plain AS (SELECT query_result_id, {_ONE_BYTE.format("response")} AS a, {_ONE_BYTE.format("reference")} AS b FROM answers),
+  alike AS (SELECT query_result_id, CASE WHEN strlen(a) <> length(a) OR strlen(b) <> length(b) THEN error('a letter is missing')::DOUBLE
+      WHEN a = '' AND b = '' THEN 1.0
+      ELSE round(1 - levenshtein(a, b) / greatest(strlen(a), strlen(b)), 6) END AS non_llm_string_similarity FROM plain)"""
+
+# A row of the common-subsequence table is one number, a bit per reference word.
+ROUGE_CTES = r"""rt AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark),
+  rw AS (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i FROM rt),
+  bits AS (SELECT item_id, w, sum(CASE WHEN i > 120 THEN error('too many words')::HUGEINT ELSE 1::HUGEINT << i::INT END)::HUGEINT AS m
+    FROM rw GROUP BY ALL),
+  st AS (SELECT query_result_id AS id, item_id, regexp_extract_all(lower(response), '[a-z0-9]+') AS t FROM answers),
+  sw AS (SELECT id, item_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM st),
+  met AS (SELECT id, list(m ORDER BY i) AS ms FROM sw JOIN bits USING (item_id, w) GROUP BY id),
+  filled AS (SELECT st.id, len(st.t) AS said, len(rt.t) AS truth, (1::HUGEINT << len(rt.t)::INT) - 1 AS everything, coalesce(ms, []) AS ms
+    FROM st JOIN rt USING (item_id) LEFT JOIN met ON met.id = st.id),
+  rows AS (SELECT id, said, truth, truth - bit_count(list_reduce(list_prepend(everything, ms),
+      lambda r, m: ((r + (r & m)) | (r - (r & m))) & everything)) AS common FROM filled),
+  rouge AS (SELECT id AS query_result_id, round(CASE WHEN common = 0 OR said = 0 OR truth = 0 THEN 0
+      ELSE 2 * (common / said) * (common / truth) / (common / said + common / truth) END, 6) AS rogue_score FROM rows)"""
 
 
 @query("M-2", _bleu_sql(True))
@@ -62,14 +99,13 @@ def bleu_plain(spark, d):
     return b.answers(spark, d).select("query_result_id", score)
 
 
-# The check engine measures edits in bytes, not characters, so these texts have no check SQL.
-@query("M-4")
+@query("M-4", f"{W}, {SIMILAR_CTES} SELECT * FROM alike")
 def string_similarity(spark, d):
     score = mt.string_similarity(F.col("response"), F.col("reference")).alias("non_llm_string_similarity")
     return b.answers(spark, d).select("query_result_id", score)
 
 
-@query("M-5")
+@query("M-5", f"{W}, {ROUGE_CTES} SELECT * FROM rouge")
 def rouge(spark, d):
     score = mt.rouge_score(F.col("response"), F.col("reference")).alias("rogue_score")
     return b.answers(spark, d).select("query_result_id", score)
@@ -108,8 +144,14 @@ def run_record(spark, d):
     return rows.select("query_result_id", "string_present", "call_ok", "scored_ok", "prompt_tokens", F.lit("run_query").alias("tools"))
 
 
-# The whole scoring job; its edit distances and subsequences have no SQL form.
-@query("M-10")
+@query("M-10", f"""{W}, {_bleu_ctes(True)}, {SIMILAR_CTES}, {ROUGE_CTES},
+  x AS (SELECT query_result_id, {FOUND.format("response")} AS f, true_value AS t, response, reference
+    FROM answers LEFT JOIN keys ON k = {STRIP.format("reference")})
+  SELECT query_result_id, source, round(CASE WHEN f IS NULL OR t IS NULL THEN 0 WHEN f = t THEN 1
+      ELSE greatest(0, 1 - abs(f - t) / greatest(abs(t), 1e-10)) END, 6) AS factual_correctness, bleu_score,
+    non_llm_string_similarity, rogue_score, CASE WHEN contains(response, reference) THEN 1.0 ELSE 0.0 END AS string_present
+  FROM x JOIN bleu USING (query_result_id) JOIN alike USING (query_result_id) JOIN rouge USING (query_result_id)
+  JOIN documents ON doc_id = query_result_id""")
 def score_all(spark, d):
     rows = scoring.score(b.answers(spark, d), b.cases(spark, d))
     return rows.select("query_result_id", "source", *scoring.TEXT_METRICS)
