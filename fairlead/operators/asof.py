@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,14 +19,18 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     On equal distance the earlier right row wins, and on equal times the lowest
     ``tiebreak``. Time buckets join the key so that a hot key spreads; a right row is
     repeated only into a neighbouring bucket it can be matched from. Every left row
-    is kept; ``payload`` columns and ``gap_seconds`` are null without a match.
+    is kept; ``payload`` columns and ``gap_seconds`` are null without a match. A null key or time
+    matches nothing.
     """
     reach, width = int(tolerance * 1_000_000), int(max(bucket, 2 * tolerance) * 1_000_000)
     cell = lambda c: F.floor(c / F.lit(width))
-    base = left.withColumn("_t", micros(left_ts)).withColumn("_bucket", cell(F.col("_t")))
+    known = lambda t: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], t.isNotNull())
+    # Left rows that can match nothing are spread over buckets by a hash.
+    base = left.withColumn("_t", micros(left_ts)).withColumn("_bucket", F.when(
+        known(F.col("_t")), cell(F.col("_t"))).otherwise(F.xxhash64(*left.columns)))
     left_cols = left.columns
     record = F.struct(F.col("_t").alias("t"), F.col(tiebreak).alias("k"), *[F.col(c) for c in payload])
-    spread = right.withColumn("_t", micros(right_ts)).filter(F.col("_t").isNotNull()).withColumn(
+    spread = right.withColumn("_t", micros(right_ts)).filter(known(F.col("_t"))).withColumn(
         "_bucket",
         F.explode(F.array_distinct(F.array(cell(F.col("_t") - reach), cell(F.col("_t")), cell(F.col("_t") + reach)))),
     )

@@ -8,22 +8,20 @@ from pyspark.sql import functions as F
 from fairlead.session import checkpoint
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each component.
 
     Each round hooks every root to its first neighbour in a hashed order, follows two links
     and contracts the edges onto the new roots. The order changes with the round, so hooks
     form shallow trees on chains and stars alike and the graph shrinks geometrically. Rounds
-    end in a checkpoint, which survives lost executors. Edges left after ``max_rounds`` are
-    an error, never a partial result.
+    end in a checkpoint, which survives lost executors, and go on until no edge is left: every
+    round hooks at least the root that comes last in the round's order, so they end.
     """
     flipped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     links = checkpoint(edges.select("a", "b").unionByName(flipped).filter("a <> b").distinct())
     labels = nodes.select("node", F.col("node").alias("root")).distinct()
-    for turn in range(max_rounds):
-        if links.isEmpty():
-            least = labels.groupBy("root").agg(F.min("node").alias("component"))
-            return labels.join(least, "root").select("node", "component")
+    turn = 0
+    while not links.isEmpty():
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c))
         hooks = links.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
         hooks = checkpoint(hooks.select("a", F.when(order("b") < order("a"), F.col("b")).otherwise(F.col("a")).alias("up")))
@@ -34,4 +32,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         at = lambda c: roots.select(F.col("a").alias(c), F.col("top").alias(f"top_{c}"))
         links = checkpoint(links.join(at("a"), "a").join(at("b"), "b").select(
             F.col("top_a").alias("a"), F.col("top_b").alias("b")).filter("a <> b").distinct())
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        turn += 1
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return labels.join(least, "root").select("node", "component")

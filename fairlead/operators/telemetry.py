@@ -20,6 +20,7 @@ LAT, LON, SOG = (
 )
 FUEL_MARK = "fuelcons_lph"
 FIRST_DAY = "2023-04-30"  # fixed value: this day and earlier ones have no telemetry
+FIRST_INSTANT = "2023-04-30T22:00:00"  # fixed value: first instant with telemetry
 BUCKET_SECONDS = 5  # fixed value: spacing of the averaged samples
 
 
@@ -106,15 +107,20 @@ def round_trips(table: DataFrame, by: list[str], max_minutes: float | None = Non
 def enrich_trips(trips: DataFrame, fleet: DataFrame, telemetry: DataFrame, tolerance_min: float = 5.0,
                  speed_kn: float = 1.0, stop_min: float = 1.0, zone: str = "CET", fuel: list[str] = (),
                  dt_s: float = BUCKET_SECONDS, max_minutes: float | None = None, tiebreak: str | None = None,
-                 ferry: str = "ferry_name", departure: str = "time_departure") -> DataFrame:
+                 ferry: str = "ferry_name", departure: str = "time_departure",
+                 after_day: str | None = FIRST_DAY) -> DataFrame:
     """Fill the eight derived columns of each departure from the telemetry of its ferry and day.
 
+    Samples up to ``after_day`` are left out; null takes all.
+
     Samples and departures meet on (vessel, local day); nothing is larger than a vessel's day.
     """
     by = ["vessel_id", "day"]
     points = wide_points(telemetry, list(fuel), tiebreak=tiebreak).withColumn(
         "day", F.to_date(cal.local_time("time", zone))
-    ).filter(F.col("day") > F.lit(FIRST_DAY).cast("date"))
+    )
+    if after_day is not None:
+        points = points.filter(F.col("day") > F.lit(after_day).cast("date"))
     rows = trip_points(points, by, "time", speed_kn, stop_min, zone, bounded=True)
     table = round_trips(trip_table(rows, by, fuel, dt_s), by, max_minutes)
     names = fleet.select(F.lower("name").alias("_name"), "vessel_id")
@@ -136,10 +142,11 @@ def write_back(trips: DataFrame, matched: DataFrame, keys: list[str], cols: list
 
 
 def telemetry_select(df: DataFrame, vessel: str, start: str, end: str, params: list[str], bucket: str | None = None,
-                     watermark: str | None = None) -> DataFrame:
+                     watermark: str | None = None, first: str | None = FIRST_INSTANT) -> DataFrame:
     """Readings of one vessel in [start, end) whose parameter contains any of the names.
 
-    With a bucket the averages of that width are returned, filtered by bucket start.
+    With a bucket the averages of that width are returned, filtered by bucket start. A start
+    before ``first`` is an error; null allows any.
     """
     from fairlead.streaming.stream import BUCKETS, bucket_average
 
@@ -147,8 +154,8 @@ def telemetry_select(df: DataFrame, vessel: str, start: str, end: str, params: l
     begin, finish = (_instant(v) for v in (start, end))
     if begin >= finish:
         raise ValueError("start must be before end")
-    if begin < _instant("2023-04-30T22:00:00"):  # fixed value: first instant with telemetry
-        raise ValueError("there is no telemetry before 2023-04-30T22:00:00")
+    if first is not None and begin < _instant(first):
+        raise ValueError(f"there is no telemetry before {first}")
     if bucket is not None and bucket not in BUCKETS:
         raise ValueError(f"unknown bucket {bucket!r}; choose one of {', '.join(BUCKETS)}")
     hit = reduce(lambda a, b: a | b, [F.col("parameter_id").ilike(f"%{p.replace('*', '%')}%") for p in params])

@@ -28,6 +28,16 @@ def _edges(df: DataFrame, by: list[str], **carried: Column) -> DataFrame:
     return df.groupBy(*by, "_chunk").agg(*[c.alias(n) for n, c in carried.items()])
 
 
+def _join_edges(df: DataFrame, edges: DataFrame, by: list[str], carried: str) -> DataFrame:
+    """Add the chunk's carried value. Rows whose key or time is null form groups of their own, as in a plain window."""
+    keys = [*by, "_chunk"]
+    edges = edges.select(*[F.col(k).alias(f"_edge_{i}") for i, k in enumerate(keys)], carried)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_edge_{i}"))
+    return df.join(edges, same).drop(*[f"_edge_{i}" for i in range(len(keys))])
+
+
 def with_previous(df: DataFrame, by: list[str], ts: str, cols: dict[str, str], chunk: Column | None,
                   tiebreak: list[str] = ()) -> DataFrame:
     """Add the previous row's values: ``cols`` maps a source column to its new name.
@@ -46,7 +56,7 @@ def with_previous(df: DataFrame, by: list[str], ts: str, cols: dict[str, str], c
         "_carried", F.lag("_last").over(across)
     ).drop("_last")
     df = df.withColumn("_before", F.lag(packed).over(within))
-    df = df.join(edges, [*by, "_chunk"])
+    df = _join_edges(df, edges, by, "_carried")
     before = F.coalesce(F.col("_before"), F.col("_carried"))
     return df.withColumns({new: before[c] for c, new in cols.items()}).drop("_chunk", "_before", "_carried")
 
@@ -71,7 +81,7 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, c
     edges = _edges(df, by, _sum=F.sum("_value")).withColumn(
         "_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
     ).drop("_sum")
-    df = df.withColumn("_run", F.sum("_value").over(within)).join(edges, [*by, "_chunk"])
+    df = _join_edges(df.withColumn("_run", F.sum("_value").over(within)), edges, by, "_offset")
     return df.withColumn(out, F.coalesce("_run", F.lit(0)) + F.col("_offset")).drop(
         "_chunk", "_value", "_run", "_offset"
     )
