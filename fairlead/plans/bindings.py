@@ -268,7 +268,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
 ANSWERS_SQL = """
 answers AS (SELECT doc_id AS query_result_id, d.text AS response, item_id, b.text AS reference
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
-keys AS (SELECT regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS k, CAST(min(item_id) AS DOUBLE) AS true_value FROM benchmark GROUP BY 1)"""
+keys AS (SELECT regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS k, CAST(arg_max(item_id, item_id) AS DOUBLE) AS true_value FROM benchmark GROUP BY 1)"""
 
 
 def dialogue(spark: SparkSession, folder: str) -> DataFrame:

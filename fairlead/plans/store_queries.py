@@ -14,7 +14,7 @@ from fairlead.sources import sinks
 W = f"WITH {b.STORE_SQL}"
 A = f"WITH {b.ATTEMPTS_SQL}"
 JOINED = """query_result qr JOIN query_evaluation qe ON qr.id = qe.query_result_id
-  LEFT JOIN evaluation_metrics em ON qe.evaluation_metrics_id = em.id
+  JOIN evaluation_metrics em ON qe.evaluation_metrics_id = em.id
   LEFT JOIN token_usage tu ON qr.id = tu.query_result_id JOIN llm_models m ON m.id = qr.llm_model_id"""
 REPORT = """query_result qr JOIN llm_models m ON qr.llm_model_id = m.id
   LEFT JOIN query_evaluation qe ON qr.id = qe.query_result_id

@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A lookup table is broadcast only when a bounded count proves it is at most this long.
-LOOKUP_ROWS = 100_000
-
 
 def get_session(app: str = "fairlead", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution and the RocksDB state store."""
@@ -68,13 +63,10 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "inner",
-                max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Join a lookup table, broadcasting it only when its size is proven small.
+def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a lookup table.
 
-    The count stops at ``max_rows + 1`` rows. A longer lookup takes the ordinary
-    shuffled join, where adaptive execution splits skewed keys.
+    Adaptive execution knows the lookup's bytes once it is computed and broadcasts it only below the
+    session's threshold; else the join shuffles and skewed keys are split. Nothing runs before.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        lookup = F.broadcast(lookup)
     return df.join(lookup, on, how)
