@@ -44,12 +44,13 @@ def with_true_value(answers: DataFrame, cases: DataFrame, reference: str = "refe
                     case_reference: str = "ground_truth", value: str = "extracted_true_value", order: str = "test_no") -> DataFrame:
     """Add the number registered for an answer's reference text, compared without outer blanks.
 
-    Of several cases with one text the last by ``order`` counts. Texts are joined by a 128-bit hash, so
-    long ones do not travel.
+    Of several cases with one text the last by ``order`` counts, or the greatest number where cases have no such
+    column. Texts are joined by a 128-bit hash, so long ones do not travel.
     """
     key = lambda c: F.md5(strip(F.col(c)).cast("binary"))
     number = strip(F.col(value).cast("string")).try_cast("double")
-    truths = cases.select(key(case_reference).alias("_key"), F.struct(F.col(order), number.alias("v")).alias("case"))
+    place = F.col(order) if order in cases.columns else F.lit(0)
+    truths = cases.select(key(case_reference).alias("_key"), F.struct(place.alias("place"), number.alias("v")).alias("case"))
     truths = truths.groupBy("_key").agg(F.max("case").alias("case")).select("_key", F.col("case.v").alias("true_value"))
     return join_lookup(answers.withColumn("_key", key(reference)), truths, "_key", "left").drop("_key")
 
