@@ -145,8 +145,8 @@ def lat_degrees(metres: float) -> float:
     return math.degrees(metres / EARTH_RADIUS_M)
 
 
-def lon_reach(metres: float, max_abs_lat: float) -> float:
-    """Degrees of longitude no pair of points within ``metres`` can exceed up to a latitude."""
-    shrink = math.cos(math.radians(min(max_abs_lat, 90.0)))
+def lon_reach(metres: float, max_abs_lat: Column) -> Column:
+    """Degrees of longitude no pair of points within ``metres`` can exceed up to a latitude; 360 around a pole."""
+    shrink = F.cos(F.radians(max_abs_lat))
     ratio = math.sin(min(metres / (2 * EARTH_RADIUS_M), math.pi / 2))
-    return 360.0 if ratio >= shrink else math.degrees(2 * math.asin(ratio / shrink))
+    return F.when(shrink <= ratio, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.lit(ratio) / shrink)))

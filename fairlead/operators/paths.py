@@ -6,7 +6,6 @@ Paths are rows (path_id, lat, lon) with two arrays of degrees.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,22 +35,10 @@ def simplify(paths: DataFrame, epsilon: float = 10.0) -> DataFrame:
     return kept.withColumns({"lat": pick("lat"), "lon": pick("lon")}).drop("_kept")
 
 
-@dataclass(frozen=True)
-class Extent:
-    """Bounds of the coordinates, which fix the grids."""
-
-    min_abs_lat: float
-    max_abs_lat: float
-    max_abs_lon: float
-
-
-def extent(paths: DataFrame) -> Extent:
-    def over(col, fn, start):
-        return F.aggregate(col, F.lit(start), lambda acc, x: fn(acc, F.abs(x)))
-    row = paths.agg(
-        F.min(over("lat", F.least, 90.0)), F.max(over("lat", F.greatest, 0.0)), F.max(over("lon", F.greatest, 0.0))
-    ).first()
-    return Extent(*(0.0 if v is None else float(v) for v in row))
+def least_latitude(paths: DataFrame) -> float:
+    """Distance of the nearest point to the equator in degrees."""
+    near = F.aggregate("lat", F.lit(90.0), lambda acc, x: F.least(acc, F.abs(x)))
+    return float(paths.agg(F.min(near)).first()[0] or 0.0)
 
 
 def _distance(alpha: float):
@@ -64,32 +51,50 @@ def _sided(df: DataFrame, side: str, *extra: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_{side}") for c in cols])
 
 
-def close_pairs(paths: DataFrame, alpha: float, max_dist: float, bounds: Extent, extra: tuple[str, ...] = ()) -> DataFrame:
+def close_pairs(paths: DataFrame, alpha: float, max_dist: float, extra: tuple[str, ...] = ()) -> DataFrame:
     """Pairs i < j within ``max_dist``, and their distances.
 
     The distance is at least (1 - alpha) times the gap of the starts and of the ends, so
     only paths whose starts and ends both lie within max_dist / (1 - alpha) can qualify.
     A grid over start and end brings these together: one side stays in its cell, the other
-    visits every cell its reach touches. Crowded cells are split over several tasks.
+    visits every cell its reach touches. Each band of latitude has longitude cells of its own width,
+    counted around the globe, so the date line is no edge and a band at a pole is one cell.
+    Crowded cells are split over several tasks.
     """
     if alpha >= 1:
         raise ValueError("alpha must be below 1: directions alone bound no area")
     reach = max_dist / (1 - alpha)
-    lat_step, lon_step = p.lat_degrees(reach), p.lon_reach(reach, bounds.max_abs_lat)
-    if bounds.max_abs_lon + lon_step > 180:
-        raise ValueError("paths at the antimeridian are not supported")
+    lat_step = p.lat_degrees(reach)
     # Cells are two reaches wide, so a reach touches two of them per axis (three at an edge).
-    cell = lambda value, step: F.floor(value / (2 * step)).cast("long")
-    home = F.array(*[cell(v, s) for v, s in _ends_of("j", lat_step, lon_step)])
-    own = _sided(paths, "j", *extra).withColumn("cell", home)
+    band = lambda lat: F.floor(lat / (2 * lat_step)).cast("long")
+
+    def ring(at):
+        """Longitude reach in degrees and number of cells of a band, for its own points and those a reach away."""
+        farthest = F.least(F.greatest(F.abs(at), F.abs(at + 1)) * (2 * lat_step) + lat_step, F.lit(90.0))
+        step = p.lon_reach(reach, farthest)
+        return step, F.greatest(F.lit(1), F.floor(F.lit(180.0) / step)).cast("long")
+
+    def ring_cell(lon, cells):
+        return F.floor((lon + 180) / 360 * cells).cast("long")
+
+    own = _sided(paths, "j", *extra)
+    home = []
+    for lat, lon in _ends_of("j"):
+        cells = ring(band(lat))[1]
+        home += [band(lat), F.pmod(ring_cell(lon, cells), cells)]
+    own = own.withColumn("cell", F.array(*home))
     crowd = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS).select(
         "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
     own = own.join(crowd, "cell", "left").withColumn(
         "part", F.pmod(F.xxhash64("path_id_j"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
     visits = _sided(paths, "i", *extra)
-    spans = [F.sequence(cell(v - s, s), cell(v + s, s)) for v, s in _ends_of("i", lat_step, lon_step)]
-    for axis, span in enumerate(spans):
-        visits = visits.withColumn(f"_{axis}", F.explode(span))
+    for k, (lat, lon) in enumerate(_ends_of("i")):
+        visits = visits.withColumn(f"_{2 * k}", F.explode(F.sequence(band(lat - lat_step), band(lat + lat_step))))
+        step, cells = ring(F.col(f"_{2 * k}"))
+        touched = F.when(2 * step >= 360, F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(
+            F.sequence(ring_cell(lon - step, cells), ring_cell(lon + step, cells)))
+        around = F.array_distinct(F.transform(touched, lambda x: F.pmod(x, cells)))
+        visits = visits.withColumn(f"_{2 * k + 1}", F.explode(around))
     visits = visits.withColumn("cell", F.array(*[f"_{a}" for a in range(4)])).drop(*[f"_{a}" for a in range(4)])
     visits = visits.join(crowd, "cell", "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
@@ -100,10 +105,10 @@ def close_pairs(paths: DataFrame, alpha: float, max_dist: float, bounds: Extent,
     return near.drop("cell", "part").withColumn("dist", _distance(alpha)).filter(F.col("dist") <= max_dist)
 
 
-def _ends_of(side: str, lat_step: float, lon_step: float):
-    """The four coordinates of start and end, each with its reach in degrees."""
-    return [(F.get(f"{c}_{side}", F.lit(0)) if at == 0 else F.element_at(f"{c}_{side}", -1), step)
-            for at in (0, -1) for c, step in (("lat", lat_step), ("lon", lon_step))]
+def _ends_of(side: str):
+    """(latitude, longitude) of start and end."""
+    return [tuple(F.get(f"{c}_{side}", F.lit(0)) if at == 0 else F.element_at(f"{c}_{side}", -1) for c in ("lat", "lon"))
+            for at in (0, -1)]
 
 
 def with_direction(paths: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def path_distances(paths: DataFrame, alpha: float = 0.3, max_dist: float = 100.0
     """(i, j, dist) for i < j within ``max_dist``: the sparse form of the distance matrix."""
     # Four branches of the join read the paths: store them once.
     rows = checkpoint(with_direction(paths).select("path_id", "lat", "lon", "dir"))
-    pairs = close_pairs(rows, alpha, max_dist, extent(rows))
+    pairs = close_pairs(rows, alpha, max_dist)
     return pairs.select(F.col("path_id_i").alias("i"), F.col("path_id_j").alias("j"), "dist")
 
 
@@ -129,12 +134,11 @@ def cluster_paths(paths: DataFrame, alpha: float = 0.3, eps: float = 100.0, min_
     the smallest label among their core neighbours, the one that reaches them first.
     """
     simple = checkpoint(with_direction(simplify(paths, epsilon)).select("path_id", "lat", "lon", "dir"))
-    bounds = extent(simple)
     radius = eps / 2
     side = 3 * eps / (16 * (1 - alpha))
     turn = eps / (8 * alpha) if alpha > 0 else math.inf
     lat_step = p.lat_degrees(side)
-    lon_step = lat_step / max(math.cos(math.radians(bounds.min_abs_lat)), 1e-9)
+    lon_step = lat_step / max(math.cos(math.radians(least_latitude(simple))), 1e-9)
     grid = lambda c, step: F.transform(c, lambda x: F.floor(x / step).cast("long"))
     heading = F.floor((F.col("dir") + math.pi) / turn).cast("long") if turn <= 2 * math.pi else F.lit(0).cast("long")
     celled = simple.withColumn("cell_key", F.xxhash64(grid("lat", lat_step), grid("lon", lon_step), heading)).withColumn(
@@ -153,7 +157,7 @@ def cluster_paths(paths: DataFrame, alpha: float = 0.3, eps: float = 100.0, min_
         lone.select("path_id", "lat", "lon", "dir", "dense"))
 
     # Every meeting of two units that a pair of their paths within eps could come from.
-    meetings = close_pairs(units, alpha, 2 * eps, bounds, ("dense",))
+    meetings = close_pairs(units, alpha, 2 * eps, ("dense",))
     reach = eps + radius * (F.col("dense_i").cast("int") + F.col("dense_j").cast("int"))
     meetings = checkpoint(meetings.filter(F.col("dist") <= reach).select(
         F.col("path_id_i").alias("i"), F.col("path_id_j").alias("j"), "dense_i", "dense_j", "dist"))

@@ -113,11 +113,16 @@ def test_crowded_cells_are_split(spark, monkeypatch):
 
 
 def test_unbounded_arguments_are_refused(spark):
-    paths = frame(spark, make_paths())
     with pytest.raises(ValueError):
-        pt.path_distances(paths, 1.0, 150.0)
-    with pytest.raises(ValueError):
-        pt.path_distances(frame(spark, [[(0.0, 179.9999), (0.0, 179.0)]]), 0.3, 150.0)
+        pt.path_distances(frame(spark, make_paths()), 1.0, 150.0)
+
+
+def test_date_line_and_poles(spark):
+    line = [[(10.0, 179.9999), (10.0, 179.9990)], [(10.0, -179.9999), (10.0, 179.9991)], [(10.0, 170.0), (10.0, 170.001)],
+            [(90.0, 12.0), (89.9999, 40.0)], [(90.0, -150.0), (89.9999, 41.0)], [(-90.0, 0.0), (-90.0, 90.0)],
+            [(59.0, 18.0), (59.1, 18.1)], [(59.0, 18.0001), (59.1, 18.1001)]]
+    got = {(r.i, r.j) for r in pt.path_distances(frame(spark, line), 0.0, 150.0).collect()}
+    assert got == {(0, 1), (3, 4), (6, 7)}
 
 
 @pytest.mark.parametrize("eps,min_samples,seed", [(100.0, 2, 3), (60.0, 4, 5), (45.0, 3, 8)])
