@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairlead.functions.calendar import period
 from fairlead.session import spread
 
 
@@ -15,9 +16,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def crossings(spark: SparkSession, folder: str) -> DataFrame:
+def crossings(lines: DataFrame) -> DataFrame:
     """Line items as one row per order with measures for odd and even lines."""
-    lines = table(spark, folder, "lineitem")
     weight = "CASE l_returnflag WHEN 'A' THEN 1.0D WHEN 'N' THEN 2.5D ELSE 4.5D END"
     aggs = []
     for side, odd in (("outbound", 1), ("inbound", 0)):
@@ -43,15 +43,23 @@ def crossings(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(*aggs)
 
 
-def trips(spark: SparkSession, folder: str) -> DataFrame:
+def trips(spark: SparkSession, folder: str, year: int | None = None, month: int | None = None) -> DataFrame:
+    """The wide trip table. A year, or a month of it, is a range on the stored date, so the scan prunes by
+    statistics, and only the lines of its orders are aggregated.
+    """
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    lines = table(spark, folder, "lineitem")
+    if year is not None:
+        low, high = (F.lit(v).cast(orders.schema["o_orderdate"].dataType) for v in period(year, month))
+        orders = orders.filter((F.col("o_orderdate") >= low) & (F.col("o_orderdate") < high))
+        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     minute = F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
     heads = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("trip_id"), F.col("o_orderpriority").alias("route_name"),
         F.col("c_mktsegment").alias("ferry_name"), F.col("c_nationkey").alias("vessel_no"),
         F.col("o_orderstatus").alias("trip_type"), (F.col("o_orderdate") + minute).alias("time_departure"),
     )
-    return heads.join(crossings(spark, folder), F.col("trip_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return heads.join(crossings(lines), F.col("trip_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
 
 def trips_by_vessel(spark: SparkSession, folder: str) -> DataFrame:

@@ -238,9 +238,7 @@ def parse_statements(spark, d):
 
 @query("F-7", "SELECT role AS tool, count(*) AS n FROM conversations GROUP BY 1")
 def tool_names(spark, d):
-    # A conversation is one agent run with few calls.
-    calls = b.table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.collect_list(F.struct(F.col("role").alias("tool_name"))).alias("calls"))
+    calls = b.table(spark, d, "conversations").select(F.array(F.struct(F.col("role").alias("tool_name"))).alias("calls"))
     return calls.select(F.explode(tx.tool_names(F.col("calls"))).alias("tool")).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
 
 

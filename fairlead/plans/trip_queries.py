@@ -25,7 +25,7 @@ MINUTES = "epoch(end_time_{0} - start_time_{0}) / 60.0"
 @query("A-1", f"""{W} SELECT ferry_name, round(sum({FUEL}), 6) AS total_fuel_l, round(sum({FUEL}) * 20, 6) AS total_cost
   FROM trips WHERE year(time_departure) = 1997 AND month(time_departure) = 1 GROUP BY ferry_name""")
 def fuel_cost(spark, d):
-    return t.fuel_cost(b.trips(spark, d), year=1997, month=1, price=20.0)
+    return t.fuel_cost(b.trips(spark, d, 1997, 1), year=1997, month=1, price=20.0)
 
 
 @query("A-2", f"""{W}, legs AS (
@@ -219,14 +219,14 @@ def top_hours(spark, d):
   SELECT route_name, p AS pedestrians, v AS vehicles,
     round(CASE WHEN v = 0 THEN CAST('inf' AS DOUBLE) ELSE p / v END, 6) AS ratio FROM r""")
 def ped_ratio(spark, d):
-    return t.ped_ratio(b.trips(spark, d), year=1997)
+    return t.ped_ratio(b.trips(spark, d, 1997), year=1997)
 
 
 @query("A-20", f"""{W} SELECT route_name, round(sum({FUEL}), 6) AS total_fuel_l, round(sum({FUEL}) * 2.68, 6) AS co2_kg,
     round(sum({FUEL}) * 2.68 / 1000, 6) AS co2_tonnes
   FROM trips WHERE year(time_departure) = 1996 AND month(time_departure) = 12 GROUP BY 1""")
 def co2(spark, d):
-    return t.co2(b.trips(spark, d), year=1996, month=12)
+    return t.co2(b.trips(spark, d, 1996, 12), year=1996, month=12)
 
 
 @query("A-34", f"""{W} SELECT route_name, CAST(floor({PCE} / 25.0) * 25 AS DOUBLE) AS bucket, count(*) AS n
@@ -284,7 +284,7 @@ def season_pce_by_month(spark, d):
     round(sum({WALK}) / nullif(sum({VEH}), 0), 6) AS ratio
   FROM trips WHERE year(time_departure) = 1997 GROUP BY 1, 2, 3""")
 def ped_ratio_by_month(spark, d):
-    return t.ped_ratio_by_month(b.trips(spark, d), year=1997)
+    return t.ped_ratio_by_month(b.trips(spark, d, 1997), year=1997)
 
 
 # Predicates and projections
@@ -293,7 +293,7 @@ def ped_ratio_by_month(spark, d):
 @query("P-1", f"""{W} SELECT trip_id, ferry_name, time_departure FROM trips
   WHERE ferry_name = 'BUILDING' AND year(time_departure) = 1998 AND month(time_departure) = 3""")
 def calendar_filter(spark, d):
-    rows = b.trips(spark, d).filter(F.col("ferry_name") == "BUILDING")
+    rows = b.trips(spark, d, 1998, 3).filter(F.col("ferry_name") == "BUILDING")
     return cal.calendar_filter(rows, "time_departure", month=3, year=1998).select("trip_id", "ferry_name", "time_departure")
 
 
@@ -420,7 +420,7 @@ def zone(spark, d):
     WHERE route_name = '2-HIGH' AND year(time_departure) = 1997 AND month(time_departure) = 1 GROUP BY 1)
   SELECT s.hour, coalesce(n, 0) AS n FROM (SELECT unnest(range(24)) AS hour) s LEFT JOIN n USING (hour)""")
 def spine(spark, d):
-    rows = b.trips(spark, d).filter(F.col("route_name") == "2-HIGH")
+    rows = b.trips(spark, d, 1997, 1).filter(F.col("route_name") == "2-HIGH")
     rows = cal.calendar_filter(rows, "time_departure", month=1, year=1997)
     counts = rows.groupBy(F.hour("time_departure").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return reshape.fill_range(counts, "hour", 0, 24, {"n": 0})

@@ -70,9 +70,24 @@ def fan_out(scored: DataFrame, key: str, evaluated: bool = True) -> dict[str, Da
 
 
 def append(parts: dict[str, DataFrame], folder: str, format: str = "parquet") -> None:
-    """Append each table's rows under the store's folder."""
+    """Append each table's rows under the store's folder; a row whose id is there already is left out.
+
+    So a job that is run again after a failure adds nothing twice.
+    """
+    schemas = eval_schemas()
     for name, df in parts.items():
-        df.write.mode("append").format(format).save(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        df = df.dropDuplicates(["id"])
+        if _exists(df.sparkSession, path):
+            there = df.sparkSession.read.schema(schemas[name]).format(format).load(path)
+            df = df.join(there.select("id"), "id", "left_anti").select(*df.columns)
+        df.write.mode("append").format(format).save(path)
+
+
+def _exists(spark, path: str) -> bool:
+    """Whether a table's folder is there, by the session's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def read_store(spark, folder: str, format: str = "parquet") -> dict[str, DataFrame]:

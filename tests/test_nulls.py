@@ -45,3 +45,30 @@ def test_the_last_case_of_a_text_counts(spark):
     answers = spark.createDataFrame([(1, "text"), (2, "other"), (3, None)], "id int, reference string")
     got = scoring.with_true_value(answers, cases).select("id", "true_value").collect()
     assert sorted(map(tuple, got)) == [(1, 7.0), (2, None), (3, None)]
+
+
+def test_a_month_reaches_the_scan(spark, tmp_path):
+    from fairlead.plans import bindings
+
+    spark.createDataFrame([(1, 1, dt.date(1997, 1, 31)), (2, 1, dt.date(1997, 2, 1)), (3, 1, dt.date(1996, 12, 31))],
+                          "o_orderkey long, o_custkey long, o_orderdate date").selectExpr(
+        "*", "'1-URGENT' o_orderpriority", "'O' o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L c_custkey, 'S' c_mktsegment, 3 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("""SELECT id AS l_orderkey, 1 l_linenumber, 'A' l_returnflag, 'O' l_linestatus, 2.0D l_quantity, 3L l_suppkey, 4L l_partkey,
+        5.0D l_extendedprice, timestamp_ntz'1997-01-01 00:00:00' l_shipdate FROM range(1, 4)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    trips = bindings.trips(spark, str(tmp_path), 1997, 1)
+    assert [r.trip_id for r in trips.collect()] == [1]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = bindings.trips(spark, str(tmp_path), 1997, 1)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(o_orderdate,1997-01-01" in plan and "LessThan(o_orderdate,1997-02-01" in plan
+
+
+def test_appending_twice_changes_nothing(spark, tmp_path):
+    from fairlead.sources import store
+
+    rows = spark.createDataFrame([(1, None, 2.0, 3.0, 5.0), (2, None, 1.0, 1.0, 2.0)],
+                                 "id long, query_result_id long, prompt_tokens double, completion_tokens double, total_tokens double")
+    for _ in range(2):
+        store.append({"token_usage": rows}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/token_usage").count() == 2
