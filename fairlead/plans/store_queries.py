@@ -470,6 +470,23 @@ def wilcoxon(spark, d):
     return tests.select("model_1", "model_2", "w", "n")
 
 
-@query("X-4")
+# The tail of the chi-square distribution as a finite sum; for odd degrees of freedom with the error function by Simpson's rule.
+TAIL = """CASE WHEN statistic IS NULL THEN NULL WHEN statistic <= 0 THEN 1.0
+    WHEN df % 2 = 0 THEN list_sum(list_transform(range(0, df // 2), lambda i: exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2)))
+    ELSE coalesce(list_sum(list_transform(range(1, (df - 1) // 2 + 1),
+        lambda i: exp((i - 0.5) * ln(statistic / 2) - lgamma(i + 0.5) - statistic / 2))), 0)
+      + 2 / sqrt(pi()) * 8 / 4000 / 3 * list_sum(list_transform(range(0, 4001),
+        lambda j: (CASE WHEN j IN (0, 4000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(sqrt(statistic / 2) + j * 8 / 4000, 2)))) END"""
+
+
+@query("X-4", f"""{W}, {SCORES}, {FRIEDMAN},
+  width AS (SELECT unnest({list(w.SCORES)}) AS metric, k FROM (SELECT count(DISTINCT model) AS k FROM scores)),
+  x AS (SELECT w.metric, w.k, CAST(w.k - 1 AS INTEGER) AS df, coalesce(t.n, 0) AS n,
+      CASE WHEN coalesce(t.n, 0) < 2 OR w.k < 2 THEN 'Not enough data for Friedman test'
+        WHEN w.k < 3 THEN 'At least 3 sets of samples must be given' END AS error, t.statistic
+    FROM width w LEFT JOIN tests t USING (metric)),
+  y AS (SELECT * REPLACE (CASE WHEN error IS NULL THEN statistic END AS statistic) FROM x),
+  z AS (SELECT *, {TAIL} AS p FROM y)
+  SELECT metric, round(statistic, 6) AS statistic, round(p, 6) AS p_value, n, k, error, coalesce(p < 0.05, false) AS significant FROM z""")
 def compare_all(spark, d):
     return stats.compare_all(_scores(spark, d), "query", "model", list(w.SCORES))
