@@ -58,37 +58,40 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, fp long, key binary")
 
 
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
 def _bit_counts(fp: Column) -> Column:
-    """Sixteen segments of four bits, each replaced by its number of set bits, in one long."""
-    ones = F.lit(0x1111111111111111)
-    bit = [F.shiftrightunsigned(fp, k).bitwiseAND(ones) for k in range(4)]
-    return bit[0] + bit[1] + bit[2] + bit[3]
+    """Thirty-two segments of two bits, each replaced by its number of set bits, in one long."""
+    odd = _signed(0x5555555555555555)
+    one, other = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
+    return one.bitwiseXOR(other).bitwiseOR(F.shiftleft(one.bitwiseAND(other), 1))
 
 
 def _cells(counts: Column) -> Column:
     """The grid points within Manhattan distance 1 of a vector of segment counts."""
     out = [counts]
-    for segment in range(16):
-        one = 1 << (4 * segment)
-        value = F.shiftrightunsigned(counts, 4 * segment).bitwiseAND(F.lit(15))
-        out += [F.when(value < 4, counts + F.lit(one)), F.when(value > 0, counts - F.lit(one))]
+    for segment in range(32):
+        value = F.shiftrightunsigned(counts, 2 * segment).bitwiseAND(F.lit(3))
+        out.append(F.when(value < 2, counts.bitwiseXOR(_signed(1 << (2 * segment)))))  # 0 to 1, 1 to 0
+        out.append(F.when(value > 0, counts.bitwiseXOR(_signed(3 << (2 * segment)))))  # 1 to 2, 2 to 1
     return F.filter(F.array(*out), lambda c: c.isNotNull())
 
 
 def _flips(fp: Column) -> Column:
     """A fingerprint and its 64 neighbours at one bit."""
-    bits = [1 << b if b < 63 else -(1 << 63) for b in range(64)]
-    return F.array(fp, *[fp.bitwiseXOR(F.lit(b)) for b in bits])
+    return F.array(fp, *[fp.bitwiseXOR(_signed(1 << b)) for b in range(64)])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints ``fp`` at two or fewer differing bits, and no others.
 
-    A fingerprint becomes a point: its numbers of set bits in sixteen segments. Manhattan distance
+    A fingerprint becomes a point: its numbers of set bits in 32 segments. Manhattan distance
     between points is never above the number of differing bits, so only points at distance 2 or
     less matter. Two such points share a grid point within distance 1 of both; a range join over
-    grid points therefore finds every fingerprint that can have a partner, with 33 rows each
-    however many share a cell. Those are verified in the same manner on the bits themselves: two
+    grid points therefore finds every fingerprint that can have a partner, with 65 rows each at
+    most, however many share a cell. Segments of two bits keep chance meetings rare at any size. Those are verified in the same manner on the bits themselves: two
     fingerprints differ in at most two bits exactly if they share a neighbour within one bit, and
     such a neighbour has at most 65 owners. Its owners are linked to the least of them, so groups of
     any size give a linear number of edges and no pair within two bits stays unconnected.
