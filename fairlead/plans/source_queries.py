@@ -218,14 +218,16 @@ LINES = r"""lines AS (SELECT conv_id, turn, role = 'user' AS opens, regexp_repla
 @query("ST-4", f"""WITH {LINES}, s AS (SELECT conv_id AS session_id, CAST(statement_no AS BIGINT) AS statement_no,
     string_agg(t, ' ' ORDER BY turn) AS sql FROM lines
   WHERE statement_no > 0 AND (opens OR (t <> '' AND NOT starts_with(t, 'INFO'))) GROUP BY 1, 2)
-  SELECT * FROM s QUALIFY statement_no < max(statement_no) OVER (PARTITION BY session_id)""")
+  SELECT * FROM s""")
 def sql_stream(spark, d):
-    # The last statement of a session is still open when the source ends.
+    # The last statement of a session is still open when the source ends; the stream's state has it.
     rows = _stream(spark, d, "conversations")
     opening = F.concat(F.lit("INFO Running: "), "text")
     lines = rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"),
                         F.when(F.col("role") == "user", opening).otherwise(F.col("text")).alias("line"))
-    return _run(spark, stream.live_sql(lines), "statements")
+    folder = scratch(spark, "statements")
+    stream.run_available(stream.live_sql(lines), folder)
+    return spark.read.parquet(f"{folder}/data").unionByName(stream.open_statements(spark, folder))
 
 
 @query("ST-5", f"""WITH {b.ATTEMPTS_SQL} SELECT model_id, count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) AS done,

@@ -60,12 +60,14 @@ def performance_stream(scores: DataFrame, model: str, metrics: list[str]) -> Dat
 def refresh_summary(folder: str):
     """A ``foreachBatch`` writer of summary snapshots; an empty batch leaves the last one.
 
-    A snapshot is a folder named by its batch, so a repeated batch overwrites itself.
+    Two folders take turns, so the last snapshot stays readable while the next is written and older
+    ones are gone. A repeated batch overwrites itself.
     """
     def write(batch_df: DataFrame, batch_id: int) -> None:
         if batch_df.isEmpty():
             return
-        batch_df.write.mode("overwrite").parquet(f"{folder}/snapshot={batch_id:012d}")
+        named = batch_df.withColumn("snapshot", F.lit(batch_id).cast("long"))
+        named.write.mode("overwrite").parquet(f"{folder}/turn={batch_id % 2}")
     return write
 
 
@@ -73,7 +75,7 @@ def latest_summary(spark, folder: str) -> DataFrame:
     """The newest snapshot."""
     rows = spark.read.parquet(folder)
     newest = rows.agg(F.max("snapshot").alias("snapshot"))
-    return rows.join(F.broadcast(newest), "snapshot", "left_semi").drop("snapshot")
+    return rows.join(F.broadcast(newest), "snapshot", "left_semi").drop("snapshot", "turn")
 
 
 STATEMENT = "session_id long, statement_no long, sql string"
@@ -119,6 +121,13 @@ def live_sql(lines: DataFrame, idle: str | None = None) -> DataFrame:
         follow, STATEMENT, STATE, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
+def open_statements(spark, folder: str) -> DataFrame:
+    """Statements still open in the state of a stopped ``live_sql`` query with its checkpoint in ``folder``."""
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    held = state.select("key.session_id", "value.groupState.statement_no", F.trim("value.groupState.current").alias("sql"))
+    return held.filter(F.col("sql") != "")
+
+
 def _seconds(text: str) -> float:
     number, unit = text.split()
     return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
