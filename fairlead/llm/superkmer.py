@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -15,7 +16,9 @@ from fairlead.llm.minimisers import blocks, runs, window_minima, word_grams, wor
 
 WINDOW, GRAM = 13, 3
 # A minimiser met in more documents than this has its windows dealt singly, each by its own hash.
-HOT = 5_000
+HOT = 50_000
+# Strings a task remembers to have sent; it forgets them all when there are more.
+SENT = 300_000
 NEVER = (1 << 63) - 1
 
 
@@ -45,47 +48,90 @@ def order_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NEVER)).alias("o"), F.xxhash64(text, F.lit(7)).alias("tk")]
 
 
-def _minimisers(window: int, gram: int):
+def _minimisers(window: int, gram: int, combined: bool):
+    """Per row its minimisers: (m, o, tk); or combined per batch: (m, h, o, n).
+
+    h is a hash of the string of windows that share the minimiser. Of the n equal strings of a batch only the
+    least and the greatest o are given, so that copies are few before they are shuffled.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(2):
+            minimisers, strings = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            n = np.zeros(batch.num_rows, np.int64)
+            for row, text in enumerate(batch.column(2)):
                 w = Words(text.as_py(), window, gram)
-                found.append(np.unique(w.least) if w.windows else np.zeros(0, np.uint64))
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            at = pa.array(np.repeat(np.arange(len(found)), n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)),
-                 batch.column(0).take(at), batch.column(1).take(at)], names=["m", "o", "tk"])
+                if not w.windows:
+                    continue
+                parts = np.array(runs(w.least))
+                if not combined:
+                    minimisers.append(np.unique(w.least[parts[:, 0]]))
+                    n[row] = len(minimisers[-1])
+                    continue
+                spans = zip(w.starts[parts[:, 0]].tolist(), w.ends[parts[:, 1] + window - 2].tolist())
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w.joined[a:b]) for a, b in spans), np.uint64, len(parts))
+                minimisers.append(w.least[parts[:, 0]])
+                strings.append(hashes)
+                n[row] = len(parts)
+            m, at = np.concatenate(minimisers).view(np.int64), np.repeat(np.arange(batch.num_rows), n)
+            if not combined:
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(at), batch.column(1).take(at)], names=["m", "o", "tk"])
+                continue
+            h, o = np.concatenate(strings).view(np.int64), batch.column(0).to_numpy()[at]
+            order = np.lexsort((o, h, m))
+            m, h, o = m[order], h[order], o[order]
+            first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])])[:len(m)])
+            last = np.append(first[1:], len(m))[:len(first)] - 1
+            more = last[o[last] != o[first]]
+            rows, times = np.concatenate([first, more]), np.concatenate([last - first + 1, np.zeros(len(more), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(m[rows]), pa.array(h[rows]), pa.array(o[rows]), pa.array(times)],
+                                             names=["m", "h", "o", "n"])
 
     return run
 
 
+PART = pa.struct([("bucket", pa.int64()), ("h", pa.int64()), ("packed", pa.binary()), ("start", pa.int32()), ("n", pa.int32())])
+
+
 def _strings(window: int, gram: int):
-    """Super-k-mers of the shared minimisers of each row: (bucket, packed, o, tk, start)."""
+    """Per row its shared super-k-mers (bucket, h, packed, start, n windows): (o, tk, parts).
+
+    One that is the same string wherever its minimiser occurs is judged already: it belongs to the least
+    document, which this row is not. It carries no string and its bucket is null. Of equal strings of a
+    task only those of ever smaller documents travel, so copies in many documents are combined early.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, int], int] = {}
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            out = []
             texts = batch.column(2).field("text")
-            for o, tk, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3)):
+            for o, text, uniform, other, hot in zip(batch.column(0).to_pylist(), texts, *(c.to_pylist() for c in batch.columns[3:])):
                 w = Words(text.as_py().encode(), window, gram)
-                wanted = np.sort(shared.values.field("m").to_numpy(zero_copy_only=False).view(np.uint64))
-                hot = set(shared.values.filter(shared.values.field("hot")).field("m").to_pylist())
-                keep = wanted[np.minimum(np.searchsorted(wanted, w.least), len(wanted) - 1)] == w.least
+                kinds = {**dict.fromkeys(other, 1), **dict.fromkeys(hot, 2), **dict.fromkeys(uniform, 0)}
                 least = w.least.view(np.int64)
+                parts = []
                 for a, b in runs(w.least):
-                    if not keep[a]:
-                        continue
                     m = int(least[a])
-                    parts = [(a, b, 0)] if m not in hot else blocks(w.grams, w.least[a], a, b, window - gram + 1, 1)
-                    for x, y, _ in parts:
+                    kind = kinds.get(m)
+                    if kind is None:
+                        continue
+                    if kind == 0:
+                        parts.append({"bucket": None, "h": None, "packed": None, "start": a, "n": b - a})
+                        continue
+                    for x, y, _ in blocks(w.grams, w.least[a], a, b, window - gram + 1, 1) if kind == 2 else [(a, b, 0)]:
                         packed = w.string(x, y, window)
-                        key = m if m not in hot else int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "big", signed=True)
-                        for column, value in zip(rows, (key, packed, o, tk, x)):
-                            column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)],
-                                             names=["bucket", "packed", "o", "tk", "start"])
+                        h = xxhash.xxh64_intdigest(packed) - (1 << 63)
+                        bucket = h if kind == 2 else m
+                        if sent.get((bucket, h), NEVER) <= o:
+                            packed = None
+                        else:
+                            sent[bucket, h] = o
+                            if len(sent) > SENT:
+                                sent.clear()
+                        parts.append({"bucket": bucket, "h": h, "packed": packed, "start": x, "n": y - x})
+                out.append(parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(PART))],
+                                             names=["o", "tk", "parts"])
 
     return run
 
@@ -113,31 +159,35 @@ def first_owners(strings: list[bytes], owners: list[int], window: int) -> list[l
 
 
 def _count(window: int):
-    """Rows sorted by bucket in, (bucket, pk, firsts) out; one bucket at a time is held."""
+    """Rows (bucket, h, packed, o) sorted by bucket in, (bucket, h, firsts) out; one bucket's different strings are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
+        held: dict[bytes, tuple[int, int]] = {}
+        current, out = None, []
 
-        def done(rows):
-            firsts = first_owners([r[0] for r in rows], [r[1] for r in rows], window)
-            return [(current, hashlib.md5(r[0], usedforsecurity=False).digest(), f) for r, f in zip(rows, firsts)]
+        def done():
+            firsts = first_owners(list(held), [o for _, o in held.values()], window)
+            out.extend((current, h, f) for (h, _), f in zip(held.values(), firsts))
 
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()),
-                 pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["bucket", "pk", "firsts"])
+        def batch_of():
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
+                 pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["bucket", "h", "firsts"])
+            out.clear()
+            return made
 
         for batch in batches:
-            out = []
-            for bucket, packed, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, h, packed, o in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != current:
                     if held:
-                        out += done(held)
-                    held, current = [], bucket
-                held.append((packed, first))
-            if out:
-                yield batch_of(out)
+                        done()
+                    held, current = {}, bucket
+                had = held.get(packed)
+                if had is None or o < had[1]:
+                    held[packed] = h, o
+            yield batch_of()
         if held:
-            yield batch_of(done(held))
+            done()
+        yield batch_of()
 
     return run
 
@@ -145,23 +195,32 @@ def _count(window: int):
 def later_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(o, tk, starts): per row the first words of its windows that also start in a row of smaller ``o``.
 
-    ``rows`` has o, tk and row, a struct with ``text``. Minimisers of all windows are counted
-    first, as numbers; only windows whose minimiser occurs in two documents travel. Equal
-    strings are combined before the shuffle, so a passage in many documents is one row per task.
+    ``rows`` has o, tk and row, a struct with ``text``. Minimisers of all windows are grouped
+    first, as numbers, with a 64-bit hash of the string of windows that share them. Only minimisers of two documents
+    matter. If all their strings are equal, every window belongs to the least document and the row
+    can tell by itself what it loses. Otherwise the strings travel to the minimiser's bucket, equal ones
+    combined before the shuffle, so that a passage in many documents is one row per task.
     """
-    shared_of = rows.select("o", "tk", F.col("row.text").cast("binary").alias("text")).mapInArrow(
-        _minimisers(window, gram), "m long, o long, tk long")
-    shared = shared_of.groupBy("m").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = shared.filter("lo < hi").select("m", (F.col("n") > hot).alias("hot"))
-    hits = shared_of.join(shared, "m").groupBy("o", "tk").agg(F.collect_list(F.struct("m", "hot")).alias("shared"))
-    travelling = rows.join(hits, ["o", "tk"]).select("o", "tk", "row", "shared").mapInArrow(
-        _strings(window, gram), "bucket long, packed binary, o long, tk long, start int")
-    distinct = travelling.groupBy("bucket", "packed").agg(F.min("o").alias("first"))
-    counted = distinct.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _count(window), "bucket long, pk binary, firsts array<long>")
-    places = travelling.select("bucket", F.unhex(F.md5("packed")).alias("pk"), "o", "tk", "start")
-    starts = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("o"), F.col("start") + i)), lambda x: x.isNotNull())
-    marked = places.join(counted, ["bucket", "pk"]).select("o", "tk", starts.alias("starts")).filter(F.size("starts") > 0)
+    texts = rows.select("o", "tk", F.col("row.text").cast("binary").alias("text"))
+    met = texts.mapInArrow(_minimisers(window, gram, False), "m long, o long, tk long")
+    shared = texts.mapInArrow(_minimisers(window, gram, True), "m long, h long, o long, n long").repartition("m").groupBy("m").agg(
+        F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("h").alias("h0"), F.max("h").alias("h1"),
+        F.sum("n").alias("n")).filter("lo < hi")
+    kind = F.when(F.col("h0") == F.col("h1"), 0).when(F.col("n") <= hot, 1).otherwise(2)
+    shared = shared.select("m", "lo", kind.alias("kind"))
+    some = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("m")))
+    hits = met.join(shared, "m").filter("kind > 0 or lo < o").groupBy("o", "tk").agg(
+        some(0).alias("uniform"), some(1).alias("other"), some(2).alias("hot"))
+    parts = rows.join(hits, ["o", "tk"]).select("o", "tk", "row", "uniform", "other", "hot").mapInArrow(
+        _strings(window, gram), "o long, tk long, parts array<struct<bucket:bigint,h:bigint,packed:binary,start:int,n:int>>").select(
+            "o", "tk", F.explode("parts").alias("part")).select("o", "tk", "part.*")
+    counted = parts.filter("packed is not null").select("bucket", "h", "packed", "o").repartition("bucket").sortWithinPartitions(
+        "bucket").mapInArrow(_count(window), "bucket long, h long, firsts array<long>")
+    places = parts.select("o", "tk", "bucket", "h", "start", "n")
+    alone = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
+    later = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("o"), F.col("start") + i)), lambda x: x.isNotNull())
+    marked = places.join(counted, ["bucket", "h"], "left").select(
+        "o", "tk", F.when(F.col("bucket").isNull(), alone).otherwise(later).alias("starts")).filter(F.size("starts") > 0)
     return marked.groupBy("o", "tk").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
