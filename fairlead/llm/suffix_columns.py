@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ from fairlead.llm.minimisers import blocks, byte_grams, runs, window_minima
 
 LENGTH, GRAM = 400, 128
 # A minimiser met more often than this has its windows cut into narrower groups (see ``span_of``).
-HOT = 5_000
+HOT = 50_000
 # Bytes of strings whose suffixes are ordered together in one task.
 BATCH_BYTES = 8 << 20
+# Strings of hot minimisers that a task sums up before it sends them.
+SUMMED = 20_000
 
 
 def span_of(times: int, hot: int) -> int:
@@ -161,66 +164,99 @@ def _minimisers(length: int, gram: int):
 
 
 def _strings(length: int, gram: int, hot: int):
-    """Strings of windows that share a shared minimiser: (bucket, packed, place, tk, start)."""
+    """Strings of windows that share a shared minimiser: (bucket, h, packed, place, times, tk, start).
+
+    Copies of a text stand together and give their strings once, with their number; only a text without copies
+    gives tk and start, as copies are removed whole. Equal strings of hot minimisers are summed up
+    before they travel; the rows that tell where they stand then carry no string.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed: dict[tuple[int, int, bytes, int], int] = {}
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)],
+                                              names=["bucket", "h", "packed", "place", "times", "tk", "start"])
+
+        def flush():
+            rows = [(*key, times, None, None) for key, times in summed.items()]
+            summed.clear()
+            return batch_of(list(zip(*rows)) if rows else [[]] * 7)
+
+        def add(rows, raw, tk, shared, number, copies):
+            data = np.frombuffer(raw, np.uint8)
+            h = byte_grams(data, gram)
+            least = window_minima(h, length - gram + 1)
+            times = dict(zip(shared.values.field("m").to_pylist(), shared.values.field("n").to_pylist()))
+            signed = least.view(np.int64)
+            for a, b in runs(least):
+                m = int(signed[a])
+                if m not in times:
+                    continue
+                span = span_of(times[m], hot)
+                for x, y, place in blocks(h, least[a], a, b, length - gram + 1, span):
+                    packed, key = raw[x:y - 1 + length], m
+                    name = xxhash.xxh64_intdigest(packed) - (1 << 63)
+                    if times[m] > hot:  # every window of this block of places holds these bytes
+                        at, low = y - 1 + place, place // span * span
+                        key = xxhash.xxh64_intdigest(raw[at - low:at - low - span + 1 + length]) - (1 << 63)
+                        summed[key, name, packed, place] = summed.get((key, name, packed, place), 0) + number
+                        if copies > 1:
+                            continue
+                        packed = None
+                    row = (key, name, packed, place, number, None if copies > 1 else tk, x)
+                    for column, value in zip(rows, row):
+                        column.append(value)
+
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for tk, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = text.as_py()
-                data = np.frombuffer(raw, np.uint8)
-                h = byte_grams(data, gram)
-                least = window_minima(h, length - gram + 1)
-                times = dict(zip(shared.values.field("m").to_pylist(), shared.values.field("n").to_pylist()))
-                signed = least.view(np.int64)
-                for a, b in runs(least):
-                    m = int(signed[a])
-                    if m not in times:
-                        continue
-                    span = span_of(times[m], hot)
-                    for x, y, place in blocks(h, least[a], a, b, length - gram + 1, span):
-                        key = m
-                        if times[m] > hot:  # all windows of the part hold these bytes
-                            key = int.from_bytes(hashlib.blake2b(raw[y - 1:x + length], digest_size=8).digest(), "big", signed=True)
-                        for column, value in zip(rows, (key, raw[x:y - 1 + length], place, tk, x)):
-                            column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)],
-                                             names=["bucket", "packed", "place", "tk", "start"])
+            rows: list[list] = [[] for _ in kinds]
+            tks, copies = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            at = 0
+            while at < len(tks):
+                stop = at + 1
+                while stop < len(tks) and tks[stop] == tks[at]:
+                    stop += 1
+                add(rows, batch.column(1)[at].as_py(), tks[at], batch.column(2)[at], stop - at, copies[at])
+                at = stop
+            yield batch_of(rows)
+            if len(summed) > SUMMED:
+                yield flush()
+        yield flush()
 
     return run
 
 
 def _judge(length: int):
-    """Strings sorted by bucket in; (bucket, pk, spans) out, spans being runs [from, to) of repeated windows."""
-    def found(groups: list[list[tuple]]) -> list[tuple]:
+    """Strings (bucket, h, packed, place, times) sorted by bucket in; (bucket, h, spans) out, runs [from, to) of repeated windows."""
+    def found(groups: list[tuple[int, dict]]) -> list[tuple]:
         flags: list[tuple] = []
-        several = [row for g in groups if len(g) > 1 for row in g]
+        several = [(bucket, packed, *row) for bucket, g in groups if len(g) > 1 for packed, row in g.items()]
         if several:
-            judged = repeated_windows([r[1] for r in several], [r[3] for r in several], [r[2] for r in several], length)
-            flags += [(row[0], row[1], f) for row, f in zip(several, judged)]
+            judged = repeated_windows([r[1] for r in several], [r[4] for r in several], [r[3] for r in several], length)
+            flags += [(row[0], row[2], f) for row, f in zip(several, judged)]
         # A string alone in its bucket shares windows with its own copies or with nothing.
-        flags += [(g[0][0], g[0][1], np.ones(len(g[0][1]) - length + 1, bool)) for g in groups if len(g) == 1 and g[0][3] > 1]
-        return [(bucket, hashlib.md5(packed, usedforsecurity=False).digest(),
-                 [{"a": a, "b": b} for a, b in runs(f) if f[a]]) for bucket, packed, f in flags if f.any()]
+        flags += [(bucket, h, np.ones(len(packed) - length + 1, bool))
+                  for bucket, g in groups if len(g) == 1 for packed, (h, _, times) in g.items() if times > 1]
+        return [(bucket, h, [{"a": a, "b": b} for a, b in runs(f) if f[a]]) for bucket, h, f in flags if f.any()]
 
     def batch_of(out):
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()),
+            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
              pa.array([r[2] for r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
-            names=["bucket", "pk", "spans"])
+            names=["bucket", "h", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if groups and groups[-1][-1][0] == row[0]:
-                    groups[-1].append(row)
-                else:
+            for bucket, h, packed, place, times in zip(*(c.to_pylist() for c in batch.columns)):
+                if not groups or groups[-1][0] != bucket:
                     if size > BATCH_BYTES:
                         yield batch_of(found(groups))
                         groups, size = [], 0
-                    groups.append([row])
-                size += len(row[1])
+                    groups.append((bucket, {}))
+                had = groups[-1][1].get(packed)
+                size += 0 if had else len(packed)
+                groups[-1][1][packed] = (h, place, times + (had[2] if had else 0))
         yield batch_of(found(groups))
 
     return run
@@ -236,16 +272,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     met = texts.select("tk", "text").mapInArrow(_minimisers(length, gram), "m long, tk binary, n long")
     shared = met.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1")
     hits = met.join(shared.withColumnRenamed("n", "times"), "m").groupBy("tk").agg(
-        F.collect_set(F.struct("m", F.col("times").alias("n"))).alias("shared"))
-    travelling = texts.join(hits, "tk").select("tk", "text", "shared").mapInArrow(
-        _strings(length, gram, hot), "bucket long, packed binary, place int, tk binary, start int")
-    distinct = travelling.groupBy("bucket", "packed").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
-    judged = distinct.repartition("bucket").sortWithinPartitions("bucket").select(
-        "bucket", "packed", "place", "times").mapInArrow(_judge(length), "bucket long, pk binary, spans array<struct<a:int,b:int>>")
-    single = copies.filter("copies = 1").select("tk")
-    places = travelling.select("bucket", F.unhex(F.md5("packed")).alias("pk"), "tk", "start").join(single, "tk", "left_semi")
+        F.collect_set(F.struct("m", F.col("times").alias("n"))).alias("shared")).join(copies, "tk")
+    # Sorted by text key, so copies stand together.
+    strings = texts.join(hits.hint("merge"), "tk").select("tk", "text", "shared", "copies").mapInArrow(
+        _strings(length, gram, hot),
+        "bucket long, h long, packed binary, place int, times long, tk binary, start int")
+    judged = strings.filter("packed is not null").select("bucket", "h", "packed", "place", "times").repartition(
+        "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(length), "bucket long, h long, spans array<struct<a:int,b:int>>")
+    places = strings.filter("tk is not null").select("tk", "bucket", "h", "start")
     here = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    spans = places.join(judged, ["bucket", "pk"]).select("tk", here.alias("spans")).groupBy("tk").agg(
+    spans = places.join(judged, ["bucket", "h"]).select("tk", here.alias("spans")).groupBy("tk").agg(
         F.flatten(F.collect_list("spans")).alias("spans"))
     return copies.join(spans, "tk", "left").filter("copies > 1 or spans is not null").select(
         "tk", (F.col("copies") > 1).alias("whole"), "spans")
