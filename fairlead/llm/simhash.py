@@ -14,6 +14,8 @@ from fairlead.llm.common import text_key, written
 from fairlead.operators.graph import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# Grid points with two owners are broadcast up to this many, eight megabytes; else the join shuffles.
+BROADCAST_CELLS = 1_000_000
 BYTE_LANES = np.uint64(0x0101010101010101)
 
 
@@ -98,6 +100,9 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     cells = distinct.select("fp", F.explode(_cells(_bit_counts(F.col("fp")))).alias("cell"))
     met = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
+    met = written(met, "cells")
+    if met.count() <= BROADCAST_CELLS:
+        met = F.broadcast(met)
     near = cells.join(met, "cell", "left_semi").select("fp").distinct()
     owners = near.select("fp", F.explode(_flips(F.col("fp"))).alias("via")).groupBy("via").agg(
         F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
