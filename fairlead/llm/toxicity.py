@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -302,10 +304,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars:
     pick = lambda label: known.filter(F.col("toxic_label") == label).orderBy(F.xxhash64("id"), "id").limit(rows)
     chosen = pick(0).unionByName(pick(1))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).filter(F.char_length("text") <= chars)
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "toxic_label").distinct().collect()
-    sample.sort(key=lambda r: (r[0], r[1]))
-    order = np.random.default_rng(11).permutation(len(sample))
-    return train([sample[i][0] for i in order], [sample[i][1] for i in order], counts[1] / sum(counts.values()))
+    sample = texts.join(F.broadcast(chosen), "id").select("text", "toxic_label").distinct()
+    share = counts[1] / sum(counts.values())
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["text", "toxic_label"]).iloc[np.random.default_rng(11).permutation(len(rows))]
+        model = train(rows["text"].tolist(), rows["toxic_label"].tolist(), share)
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # The bounded sample meets in one task, so that the driver holds no texts.
+    made = sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "model binary").head()
+    return pickle.loads(made[0]) if made else train([], [], share)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
