@@ -129,10 +129,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42) -> Dat
 
 
 def one_per_component(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The documents with one row of each component kept: the least id, then the least text key.
+    """The documents with one row of each ``component_id`` kept: the least id, then the least text key.
 
-    Equal rows of the kept id and text stay one row. Documents without an id cannot be told apart
-    from copies of themselves only if their texts are equal too; such copies become one row.
+    Equal rows of the kept id and text stay one row. A component_id does not tell components apart: all those
+    without any id, and those with the same least id, become one row. The pipeline uses
+    ``near_copies.one_per_near_copy``, which keeps them apart.
     """
     found = simhash_components(docs, shingle, seed)
     best = found.groupBy("component_id").agg(F.min(F.struct(
