@@ -122,7 +122,7 @@ def _strings(window: int, gram: int):
                         packed = w.string(x, y, window)
                         h = xxhash.xxh64_intdigest(packed) - (1 << 63)
                         bucket = h if kind == 2 else m
-                        if sent.get((bucket, h), NEVER) <= o:
+                        if sent.get((bucket, h), NEVER + 1) <= o:  # NEVER is a null id's place and travels too
                             packed = None
                         else:
                             sent[bucket, h] = o

@@ -378,6 +378,17 @@ def test_repeated_windows(docs, rows, none, hot):
     assert superkmer.substring_dedup(none, hot=hot).count() == 0
 
 
+def test_a_null_id_loses_an_embedded_passage(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = some(60)
+    more = [(1, some(30) + " " + passage + " " + some(30)), (None, some(25) + " " + passage + " " + some(25)),
+            (None, some(9) + " " + passage[:200] + " " + some(9))]
+    got = superkmer.substring_dedup(frame(spark, more)).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same(got, plain_windows(more, 13))
+    assert sorted(r.n_removed for r in got)[-1] >= 60
+
+
 # Benchmark decontamination
 
 def plain_edits(item, text):
