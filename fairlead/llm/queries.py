@@ -17,6 +17,7 @@ from fairlead.llm.suffix_columns import remove_repeated_bytes
 from fairlead.llm.superkmer import substring_dedup
 from fairlead.llm.token_matrix import token_matrix
 from fairlead.llm.toxicity import score_documents
+from fairlead.llm.vector_codes import digest, encode_vectors
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, END_ID, SHARDS = 1024, 2, 40
@@ -88,3 +89,12 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(table(spark, folder, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = encode_vectors(table(spark, folder, "embeddings"), 8, 16, 6, 4096)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    sums = coded.groupBy(F.col("label").alias("same_label")).agg(F.sum("error").alias("label_error"))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("same_label"))).select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
