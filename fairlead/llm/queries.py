@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import table
 from fairlead.llm.decontaminate import contaminated
+from fairlead.llm.divergence import source_divergence
 from fairlead.llm.licenses import license_scan
 from fairlead.llm.minhash import fingerprint_documents
 from fairlead.llm.packing import pack_documents
@@ -98,3 +99,47 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     sums = coded.groupBy(F.col("label").alias("same_label")).agg(F.sum("error").alias("label_error"))
     return coded.join(sums, F.col("label").eqNullSafe(F.col("same_label"))).select(
         F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"), 3, 200)
+
+
+ORACLE["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT lang, source, doc, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (n.n + v.v) AS p
+  FROM n JOIN v ON v.lang = n.lang JOIN kept k ON k.lang = n.lang
+  LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (SELECT l.lang, l.term, 1 + (1000000000::HUGEINT * (l.c + 1)) // (m.n + v.v) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term) l
+  JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) m ON m.lang = l.lang JOIN v ON v.lang = l.lang),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+term AS (
+  SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // q.q AS value
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value,
+    row_number() OVER (PARTITION BY lang, source ORDER BY coalesce(value, 0) DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+    row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
