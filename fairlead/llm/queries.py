@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fairlead.llm.common import table
 from fairlead.llm.decontaminate import contaminated
 from fairlead.llm.divergence import source_divergence
+from fairlead.llm.language_mixture import identify_languages
 from fairlead.llm.licenses import license_scan
 from fairlead.llm.minhash import fingerprint_documents
 from fairlead.llm.packing import pack_documents
@@ -143,3 +144,9 @@ ranked AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    told = identify_languages(table(spark, folder, "documents"))
+    return told.select("row.doc_id", "held_out", "lang_pred", "score", "mixture")
