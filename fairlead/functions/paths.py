@@ -65,15 +65,17 @@ def simplify_positions(lat: Column, lon: Column, epsilon: float) -> Column:
 
 
 def frechet(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    """Discrete Frechet metres of m path pairs, given as (m, n1) and (m, n2) arrays."""
-    gaps = distance(lat1[:, :, None], lon1[:, :, None], lat2[:, None, :], lon2[:, None, :])
-    reach = np.maximum.accumulate(gaps[:, 0, :], axis=1)
-    for i in range(1, gaps.shape[1]):
-        row = np.empty_like(reach)
-        row[:, 0] = np.maximum(reach[:, 0], gaps[:, i, 0])
-        for j in range(1, gaps.shape[2]):
-            best = np.minimum(np.minimum(reach[:, j], reach[:, j - 1]), row[:, j - 1])
-            row[:, j] = np.maximum(best, gaps[:, i, j])
+    """Discrete Frechet metres of m path pairs, given as (m, n1) and (m, n2) arrays; one row of the table is held."""
+    gaps = lambda i: distance(lat1[:, i, None], lon1[:, i, None], lat2, lon2)
+    reach = np.maximum.accumulate(gaps(0), axis=1)
+    for i in range(1, lat1.shape[1]):
+        gap = gaps(i)
+        # The cheaper of the two ways in from the row above; the way along the row is taken in turn.
+        above = reach.copy()
+        above[:, 1:] = np.minimum(reach[:, 1:], reach[:, :-1])
+        row = np.maximum(above, gap)
+        for j in range(1, gap.shape[1]):
+            row[:, j] = np.minimum(row[:, j], np.maximum(row[:, j - 1], gap[:, j]))
         reach = row
     return reach[:, -1]
 
@@ -84,9 +86,9 @@ def _frechet_metres(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.
     out = np.empty(len(lat1))
     shapes = pd.Series(list(zip(lat1.str.len(), lat2.str.len())))
     for places in shapes.groupby(shapes).indices.values():
-        # Large batches of long paths are cut so that the gap tables stay small.
-        area = len(lat1.iloc[places[0]]) * len(lat2.iloc[places[0]])
-        step = max(1, 2_000_000 // max(1, area))
+        # Large batches of long paths are cut so that their points stay few.
+        points = len(lat1.iloc[places[0]]) + len(lat2.iloc[places[0]])
+        step = max(1, 1_000_000 // max(1, points))
         for start in range(0, len(places), step):
             part = places[start:start + step]
             out[part] = frechet(*[np.stack(list(s.iloc[part])) for s in (lat1, lon1, lat2, lon2)])

@@ -9,7 +9,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
@@ -19,6 +20,8 @@ from fairlead.operators.windows import number_chunk, position
 from fairlead.session import checkpoint
 
 BLOCK_ROWS = 2_000  # rows of one side of a block that meet in one task
+WITNESSES = 32  # members of a ball tried before all others
+ROUNDING = 1e-9  # bounds leave this much to rounding; what lies within is measured
 
 
 def as_arrays(trips: DataFrame, key: str = "path_id", points: str = "points") -> DataFrame:
@@ -41,74 +44,131 @@ def least_latitude(paths: DataFrame) -> float:
     return float(paths.agg(F.min(near)).first()[0] or 0.0)
 
 
-def _distance(alpha: float):
+def _distance(alpha: float) -> Column:
     metres = p.frechet_metres("lat_i", "lon_i", "lat_j", "lon_j")
     return (1 - alpha) * metres + alpha * F.abs(F.col("dir_i") - F.col("dir_j"))
 
 
+def _least_distance(alpha: float) -> Column:
+    """A lower bound of the distance in built-in functions: starts meet starts, ends meet ends."""
+    gap = lambda at: geo.haversine(*[at(c) for c in ("lat_i", "lon_i", "lat_j", "lon_j")])
+    ends = F.greatest(gap(lambda c: F.get(c, F.lit(0))), gap(lambda c: F.element_at(c, -1)))
+    return ((1 - alpha) * ends + alpha * F.abs(F.col("dir_i") - F.col("dir_j"))) * (1 - ROUNDING)
+
+
 def _sided(df: DataFrame, side: str, *extra: str) -> DataFrame:
     cols = ("path_id", "lat", "lon", "dir", *extra)
     return df.select(*[F.col(c).alias(f"{c}_{side}") for c in cols])
 
 
-def close_pairs(paths: DataFrame, alpha: float, max_dist: float, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs i < j within ``max_dist``, and their distances.
+def _ends_of(side: str):
+    """(latitude, longitude) of start and end."""
+    of = lambda c: f"{c}_{side}" if side else c
+    return [tuple(F.get(of(c), F.lit(0)) if at == 0 else F.element_at(of(c), -1) for c in ("lat", "lon")) for at in (0, -1)]
+
 
-    The distance is at least (1 - alpha) times the gap of the starts and of the ends, so
-    only paths whose starts and ends both lie within max_dist / (1 - alpha) can qualify.
-    A grid over start and end brings these together: one side stays in its cell, the other
-    visits every cell its reach touches. Each band of latitude has longitude cells of its own width,
-    counted around the globe, so the date line is no edge and a band at a pole is one cell.
-    Crowded cells are split over several tasks.
+class Grid:
+    """Cells over starts and ends, two reaches wide, so that a reach touches two per axis (three at an edge).
+
+    The distance is at least (1 - alpha) times the gap of the starts and of the ends, so only paths
+    whose starts and ends both lie within max_dist / (1 - alpha) can be that near. Each band of latitude has
+    longitude cells of its own width, counted around the globe, so the date line is no edge and a band at a
+    pole is one cell.
     """
-    if alpha >= 1:
-        raise ValueError("alpha must be below 1: directions alone bound no area")
-    reach = max_dist / (1 - alpha)
-    lat_step = p.lat_degrees(reach)
-    # Cells are two reaches wide, so a reach touches two of them per axis (three at an edge).
-    band = lambda lat: F.floor(lat / (2 * lat_step)).cast("long")
-
-    def ring(at):
+
+    def __init__(self, alpha: float, max_dist: float):
+        if alpha >= 1:
+            raise ValueError("alpha must be below 1: directions alone bound no area")
+        self.reach = max_dist / (1 - alpha)
+        self.lat_step = p.lat_degrees(self.reach)
+
+    def _band(self, lat: Column) -> Column:
+        return F.floor(lat / (2 * self.lat_step)).cast("long")
+
+    def _ring(self, band: Column) -> tuple[Column, Column]:
         """Longitude reach in degrees and number of cells of a band, for its own points and those a reach away."""
-        farthest = F.least(F.greatest(F.abs(at), F.abs(at + 1)) * (2 * lat_step) + lat_step, F.lit(90.0))
-        step = p.lon_reach(reach, farthest)
+        farthest = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * (2 * self.lat_step) + self.lat_step, F.lit(90.0))
+        step = p.lon_reach(self.reach, farthest)
         return step, F.greatest(F.lit(1), F.floor(F.lit(180.0) / step)).cast("long")
 
-    def ring_cell(lon, cells):
+    @staticmethod
+    def _ring_cell(lon: Column, cells: Column) -> Column:
         return F.floor((lon + 180) / 360 * cells).cast("long")
 
-    own = _sided(paths, "j", *extra)
-    home = []
-    for lat, lon in _ends_of("j"):
-        cells = ring(band(lat))[1]
-        home += [band(lat), F.pmod(ring_cell(lon, cells), cells)]
-    own = own.withColumn("cell", F.array(*home))
+    def home(self, side: str = "") -> Column:
+        """The cell a path lies in."""
+        cell = []
+        for lat, lon in _ends_of(side):
+            cells = self._ring(self._band(lat))[1]
+            cell += [self._band(lat), F.pmod(self._ring_cell(lon, cells), cells)]
+        return F.array(*cell)
+
+    def visiting(self, paths: DataFrame, side: str) -> DataFrame:
+        """A row for every cell the reach of a path touches."""
+        for k, (lat, lon) in enumerate(_ends_of(side)):
+            bands = F.sequence(self._band(lat - self.lat_step), self._band(lat + self.lat_step))
+            paths = paths.withColumn(f"_{2 * k}", F.explode(bands))
+            step, cells = self._ring(F.col(f"_{2 * k}"))
+            touched = F.when(2 * step >= 360, F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(
+                F.sequence(self._ring_cell(lon - step, cells), self._ring_cell(lon + step, cells)))
+            around = F.array_distinct(F.transform(touched, lambda x: F.pmod(x, cells)))
+            paths = paths.withColumn(f"_{2 * k + 1}", F.explode(around))
+        return paths.withColumn("cell", F.array(*[f"_{a}" for a in range(4)])).drop(*[f"_{a}" for a in range(4)])
+
+
+def _meetings(visitors: DataFrame, residents: DataFrame, grid: Grid, extra: tuple[str, ...] = (),
+              marks: tuple[str, ...] = ()) -> DataFrame:
+    """Visitors (side i) and residents (side j) that share a cell; crowded cells are split over several tasks."""
+    own = _sided(residents, "j", *extra, *marks).withColumn("cell", grid.home("j"))
     crowd = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS).select(
         "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
     own = own.join(crowd, "cell", "left").withColumn(
         "part", F.pmod(F.xxhash64("path_id_j"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
-    visits = _sided(paths, "i", *extra)
-    for k, (lat, lon) in enumerate(_ends_of("i")):
-        visits = visits.withColumn(f"_{2 * k}", F.explode(F.sequence(band(lat - lat_step), band(lat + lat_step))))
-        step, cells = ring(F.col(f"_{2 * k}"))
-        touched = F.when(2 * step >= 360, F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(
-            F.sequence(ring_cell(lon - step, cells), ring_cell(lon + step, cells)))
-        around = F.array_distinct(F.transform(touched, lambda x: F.pmod(x, cells)))
-        visits = visits.withColumn(f"_{2 * k + 1}", F.explode(around))
-    visits = visits.withColumn("cell", F.array(*[f"_{a}" for a in range(4)])).drop(*[f"_{a}" for a in range(4)])
-    visits = visits.join(crowd, "cell", "left").withColumn(
+    visits = grid.visiting(_sided(visitors, "i", *extra), "i").join(crowd, "cell", "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    pairs = visits.join(own, ["cell", "part"]).filter(F.col("path_id_i") < F.col("path_id_j"))
-    gap = lambda at: geo.haversine(*[at(c) for c in ("lat_i", "lon_i", "lat_j", "lon_j")])
-    slack = reach * (1 + 1e-9)
-    near = pairs.filter((gap(lambda c: F.get(c, F.lit(0))) <= slack) & (gap(lambda c: F.element_at(c, -1)) <= slack))
-    return near.drop("cell", "part").withColumn("dist", _distance(alpha)).filter(F.col("dist") <= max_dist)
+    return visits.join(own, ["cell", "part"]).drop("cell", "part")
 
 
-def _ends_of(side: str):
-    """(latitude, longitude) of start and end."""
-    return [tuple(F.get(f"{c}_{side}", F.lit(0)) if at == 0 else F.element_at(f"{c}_{side}", -1) for c in ("lat", "lon"))
-            for at in (0, -1)]
+def close_pairs(paths: DataFrame, alpha: float, max_dist: float, extra: tuple[str, ...] = (),
+                within: Column | None = None) -> DataFrame:
+    """Pairs i < j within ``max_dist``, or within a limit per pair that is no larger, and their distances."""
+    limit = F.lit(max_dist) if within is None else within
+    pairs = _meetings(paths, paths, Grid(alpha, max_dist), extra).filter(F.col("path_id_i") < F.col("path_id_j"))
+    near = pairs.filter(_least_distance(alpha) <= limit)
+    return near.withColumn("dist", _distance(alpha)).filter(F.col("dist") <= limit)
+
+
+def cover(paths: DataFrame, alpha: float, radius: float, first: int = 4, rounds: int = 8) -> DataFrame:
+    """(path_id, pivot, gap): every path within ``radius`` of its pivot, gap being their distance.
+
+    Each round picks ``first`` open paths of a cell by hash, twice as many as the round before. Picked paths
+    with no earlier picked one within the radius become pivots, and open paths join the nearest of them
+    within the radius. So a crowded ball is settled by a few distances per path whatever its size. What is
+    open after the last round is its own pivot, which is a cover too.
+    """
+    grid = Grid(alpha, radius)
+    columns = ["path_id", "lat", "lon", "dir"]
+    left, found = paths.select(*columns), []
+    for turn in range(rounds):
+        in_cell = F.row_number().over(W.partitionBy("cell").orderBy("rank", "path_id"))
+        picked = checkpoint(left.withColumn("cell", grid.home()).withColumn("rank", F.xxhash64(F.lit(turn), "path_id")).withColumn(
+            "place", in_cell).filter(F.col("place") <= first * 2 ** turn).select(*columns, "rank"))
+        met = _meetings(left, picked, grid, marks=("rank",)).filter(_least_distance(alpha) <= radius)
+        near = checkpoint(met.withColumn("dist", _distance(alpha)).filter(F.col("dist") <= radius).select(
+            F.col("path_id_i").alias("path_id"), F.col("path_id_j").alias("pivot"), F.col("rank_j").alias("rank"), "dist"))
+        own = picked.select("path_id", F.struct("rank", "path_id").alias("own"))
+        later = near.join(own, "path_id").filter(F.struct("rank", F.col("pivot").alias("path_id")) < F.col("own")).select(
+            F.col("path_id").alias("pivot"))
+        joined = checkpoint(near.join(later, "pivot", "left_anti").groupBy("path_id").agg(
+            F.min(F.struct("dist", "pivot")).alias("to")).select("path_id", "to.pivot", F.col("to.dist").alias("gap")))
+        found.append(joined)
+        left = checkpoint(left.join(joined, "path_id", "left_anti"))
+        if left.isEmpty():
+            break
+    out = left.select("path_id", F.col("path_id").alias("pivot"), F.lit(0.0).alias("gap"))
+    for joined in found:
+        out = out.unionByName(joined)
+    return out
 
 
 def with_direction(paths: DataFrame) -> DataFrame:
@@ -127,135 +187,156 @@ def cluster_paths(paths: DataFrame, alpha: float = 0.3, eps: float = 100.0, min_
                   epsilon: float = 10.0) -> DataFrame:
     """DBSCAN over path distances: (path_id, label), noise -1, labels in order of their first core path.
 
-    Paths of one cell (equal point counts, each point in the same small square, similar
-    direction) lie within eps / 2 of each other. A cell of ``min_samples`` paths or more is
-    therefore one piece of a cluster, however many paths it holds, and is represented by
-    its first path; only its meetings with other cells need distances. Border paths take
-    the smallest label among their core neighbours, the one that reaches them first.
+    The distance is a metric, so the paths within eps / 2 of a pivot lie within eps of each other,
+    whatever their numbers of points. A ball of ``min_samples`` paths or more is therefore one piece of a
+    cluster, however many it holds. It meets others through its pivot, and is named by its first path; the gaps
+    of its members to the pivot settle most questions by the triangle inequality, and only what they leave
+    open needs distances. Border paths take the smallest label among their core neighbours, the one that
+    reaches them first.
     """
     simple = checkpoint(with_direction(simplify(paths, epsilon)).select("path_id", "lat", "lon", "dir"))
     radius = eps / 2
-    side = 3 * eps / (16 * (1 - alpha))
-    turn = eps / (8 * alpha) if alpha > 0 else math.inf
-    lat_step = p.lat_degrees(side)
-    lon_step = lat_step / max(math.cos(math.radians(least_latitude(simple))), 1e-9)
-    grid = lambda c, step: F.transform(c, lambda x: F.floor(x / step).cast("long"))
-    heading = F.floor((F.col("dir") + math.pi) / turn).cast("long") if turn <= 2 * math.pi else F.lit(0).cast("long")
-    celled = simple.withColumn("cell_key", F.xxhash64(grid("lat", lat_step), grid("lon", lon_step), heading)).withColumn(
-        "shape", F.struct(F.size("lat").alias("n"), grid("lat", lat_step).alias("la"), grid("lon", lon_step).alias("lo"),
-                          heading.alias("h")))
-    cells = celled.groupBy("cell_key", "shape").agg(
-        F.min("path_id").alias("unit"), F.count(F.lit(1)).alias("weight"),
-        F.min_by(F.struct("lat", "lon", "dir"), "path_id").alias("rep"),
-    )
-    cells = checkpoint(cells)
-    dense = cells.filter(F.col("weight") >= min_samples)
-    members = checkpoint(celled.join(cells.select("cell_key", "shape", "unit", "weight"), ["cell_key", "shape"]).select(
-        "path_id", "unit", "lat", "lon", "dir", (F.col("weight") >= min_samples).alias("dense")))
-    lone = members.filter(~F.col("dense"))
-    units = dense.select(F.col("unit").alias("path_id"), "rep.*", F.lit(True).alias("dense")).unionByName(
+    covered = checkpoint(cover(simple, alpha, radius))
+    balls = covered.groupBy("pivot").agg(F.min("path_id").alias("unit"), (F.count(F.lit(1)) >= min_samples).alias("dense"))
+    placed = checkpoint(simple.join(covered, "path_id").join(balls, "pivot").select(
+        "path_id", "pivot", "unit", "gap", "lat", "lon", "dir", "dense"))
+    members, lone = placed.filter("dense"), placed.filter(~F.col("dense"))
+    dense = members.filter("path_id = pivot").select("unit", "lat", "lon", "dir")
+    units = dense.select(F.col("unit").alias("path_id"), "lat", "lon", "dir", F.lit(True).alias("dense")).unionByName(
         lone.select("path_id", "lat", "lon", "dir", "dense"))
 
     # Every meeting of two units that a pair of their paths within eps could come from.
-    meetings = close_pairs(units, alpha, 2 * eps, ("dense",))
     reach = eps + radius * (F.col("dense_i").cast("int") + F.col("dense_j").cast("int"))
-    meetings = checkpoint(meetings.filter(F.col("dist") <= reach).select(
+    meetings = checkpoint(close_pairs(units, alpha, 2 * eps, ("dense",), reach * (1 + ROUNDING)).select(
         F.col("path_id_i").alias("i"), F.col("path_id_j").alias("j"), "dense_i", "dense_j", "dist"))
 
     lone_pairs = meetings.filter(~F.col("dense_i") & ~F.col("dense_j") & (F.col("dist") <= eps)).select("i", "j")
+    both_ways = lone_pairs.select(F.col("i").alias("path_id"), F.col("j").alias("other")).unionByName(
+        lone_pairs.select(F.col("j").alias("path_id"), F.col("i").alias("other")))
     mixed = meetings.filter(F.col("dense_i") != F.col("dense_j")).select(
         F.when(F.col("dense_i"), F.col("j")).otherwise(F.col("i")).alias("path_id"),
         F.when(F.col("dense_i"), F.col("i")).otherwise(F.col("j")).alias("unit"), "dist")
-    # Within eps - radius of the representative all members are near; farther off they are counted.
-    sure = mixed.filter(F.col("dist") <= eps - radius).select("path_id", "unit", F.lit(min_samples).cast("long").alias("n"))
-    open_mixed = mixed.filter(F.col("dist") > eps - radius)
-    checked = _member_distances(open_mixed.select("path_id", "unit"), lone, members, alpha).filter(F.col("dist") <= eps)
-    counted = checked.groupBy("path_id", "unit").agg(F.count(F.lit(1)).alias("n"))
-    at_cells = checkpoint(sure.unionByName(counted))
-
-    both_ways = lone_pairs.select(F.col("i").alias("path_id"), F.col("j").alias("other")).unionByName(
-        lone_pairs.select(F.col("j").alias("path_id"), F.col("i").alias("other")))
-    tallies = both_ways.groupBy("path_id").agg(F.count(F.lit(1)).alias("n")).unionByName(
-        at_cells.groupBy("path_id").agg(F.sum("n").alias("n")))
-    near_counts = tallies.groupBy("path_id").agg(F.sum("n").alias("n"))
-    core_lone = checkpoint(lone.select("path_id").join(near_counts, "path_id", "left").filter(
-        F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("path_id"))
+    at_balls, core_lone = _lone_neighbours(mixed, both_ways, lone, members, alpha, eps, min_samples)
 
     nodes = dense.select(F.col("unit").alias("node")).unionByName(core_lone.select(F.col("path_id").alias("node")))
     core_a, core_b = (core_lone.select(F.col("path_id").alias(c)) for c in ("i", "j"))
     dense_pairs = meetings.filter(F.col("dense_i") & F.col("dense_j"))
     edges = (
         lone_pairs.join(core_a, "i", "left_semi").join(core_b, "j", "left_semi").select(F.col("i").alias("a"), F.col("j").alias("b"))
-        .unionByName(at_cells.join(core_lone, "path_id", "left_semi").select(F.col("path_id").alias("a"), F.col("unit").alias("b")))
+        .unionByName(at_balls.join(core_lone, "path_id", "left_semi").select(F.col("path_id").alias("a"), F.col("unit").alias("b")))
         .unionByName(dense_pairs.filter(F.col("dist") <= eps).select(F.col("i").alias("a"), F.col("j").alias("b")))
     )
     parts = connected_components(nodes, edges)
 
-    # Cells whose representatives are up to 2 eps apart may still touch through other members.
+    # Balls whose pivots are up to 2 eps apart may still touch through other members.
     # This matters only between different components, and is tried cheapest evidence first.
-    unsure = dense_pairs.filter(F.col("dist") > eps).select("i", "j")
-    for evidence in (_touch_representative, _touch_any):
+    unsure, facing = dense_pairs.filter(F.col("dist") > eps).select("i", "j", "dist"), None
+    for evidence in ("pivots", "nearest", "all"):
         apart = checkpoint(_apart(unsure, parts))
         if apart.isEmpty():
             break
-        found = evidence(apart, dense, members, alpha, eps, radius)
+        if facing is None:
+            facing = checkpoint(_facing(apart, dense, members, alpha, eps))
+            found = facing.filter(F.col("dist") <= eps).select("a", "b").distinct()
+        else:
+            facing = facing.join(apart.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_semi")
+            found = _touching(facing, members, alpha, eps, WITNESSES if evidence == "nearest" else None)
         parts = _merge(parts, checkpoint(found))
 
     core = nodes.join(parts, "node").select("node", "component")
-    of_members = members.filter("dense").join(core.withColumnRenamed("node", "unit"), "unit").select("path_id", "component")
+    of_members = members.join(core.withColumnRenamed("node", "unit"), "unit").select("path_id", "component")
     of_lone = core_lone.join(core.withColumnRenamed("node", "path_id"), "path_id").select("path_id", "component")
     claims = both_ways.join(of_lone.withColumnRenamed("path_id", "other"), "other").select("path_id", "component").unionByName(
-        at_cells.join(core.withColumnRenamed("node", "unit"), "unit").select("path_id", "component"))
+        at_balls.join(core.withColumnRenamed("node", "unit"), "unit").select("path_id", "component"))
     border = claims.join(core_lone, "path_id", "left_anti").groupBy("path_id").agg(F.min("component").alias("component"))
-    placed = of_members.unionByName(of_lone).unionByName(border)
+    found = of_members.unionByName(of_lone).unionByName(border)
     clusters = position(core.select("component").distinct(), "component", number_chunk("component", 100_000.0))
-    labels = placed.join(clusters, "component").select("path_id", (F.col("position") - 1).alias("label"))
+    labels = found.join(clusters, "component").select("path_id", (F.col("position") - 1).alias("label"))
     return simple.select("path_id").join(labels, "path_id", "left").select(
         "path_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
-def _member_distances(wanted: DataFrame, single: DataFrame, members: DataFrame, alpha: float) -> DataFrame:
-    """Distances of single paths to every member of the wanted cells: (path_id, unit, member, dist)."""
-    left = wanted.join(_sided(single, "i").withColumnRenamed("path_id_i", "path_id"), "path_id")
-    right = _sided(members, "j").join(members.select(F.col("path_id").alias("path_id_j"), "unit"), "path_id_j")
-    return left.join(right, "unit").withColumn("dist", _distance(alpha)).select(
-        "path_id", "unit", F.col("path_id_j").alias("member"), "dist")
+def _lone_neighbours(mixed: DataFrame, both_ways: DataFrame, lone: DataFrame, members: DataFrame, alpha: float, eps: float,
+                     min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Balls near each lone path (path_id, unit, n), and the lone paths that are core.
+
+    n counts members within eps, up to what decides: one for a link, ``min_samples`` for a core path.
+    A member counts without a distance when its gap and the distance of the pivot add up to eps or
+    less. Pairs still open are tried with a few members of the ball, and then with all that could be near.
+    """
+    by_gap = F.row_number().over(W.partitionBy("unit").orderBy("gap", "path_id"))
+    gaps = members.select("unit", "gap", "path_id").withColumn("_n", by_gap).filter(F.col("_n") <= min_samples).groupBy("unit").agg(
+        F.collect_list("gap").alias("gaps"))
+    surely = lambda dist: eps * (1 - ROUNDING) - dist
+    known = checkpoint(mixed.join(gaps, "unit").select(
+        "path_id", "unit", "dist", F.size(F.filter("gaps", lambda g: g <= surely(F.col("dist")))).cast("long").alias("n")))
+    alone = both_ways.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def tallied() -> DataFrame:
+        counts = alone.unionByName(known.groupBy("path_id").agg(F.sum("n").alias("n")))
+        return counts.groupBy("path_id").agg((F.sum("n") + 1 >= min_samples).alias("core"))
+
+    some = F.row_number().over(W.partitionBy("unit").orderBy(F.xxhash64("path_id"), "path_id"))
+    witnesses = members.withColumn("_n", some).filter(F.col("_n") <= WITNESSES).drop("_n")
+    for pool in (witnesses, members):
+        still = known.join(tallied(), "path_id").filter((F.col("n") == 0) | (~F.col("core") & (F.col("n") < min_samples)))
+        still = checkpoint(still.select("path_id", "unit", F.col("dist").alias("far")))
+        if still.isEmpty():
+            break
+        asked = still.join(lone.select("path_id", "lat", "lon", "dir"), "path_id")
+        pairs = _sided(asked, "i", "unit", "far").join(
+            _sided(pool, "j", "unit", "gap"), F.col("unit_i") == F.col("unit_j")).filter(
+            F.abs(F.col("far_i") - F.col("gap_j")) <= eps * (1 + ROUNDING))
+        by_bound = F.col("gap_j") <= surely(F.col("far_i"))
+        sure = pairs.filter(by_bound).select("path_id_i", "unit_i")
+        tried = pairs.filter(~by_bound & (_least_distance(alpha) <= eps)).withColumn("dist", _distance(alpha)).filter(
+            F.col("dist") <= eps).select("path_id_i", "unit_i")
+        counted = sure.unionByName(tried).groupBy(F.col("path_id_i").alias("path_id"), F.col("unit_i").alias("unit")).agg(
+            F.count(F.lit(1)).alias("met"))
+        known = checkpoint(known.join(counted, ["path_id", "unit"], "left").select(
+            "path_id", "unit", "dist", F.greatest("n", F.coalesce("met", F.lit(0))).alias("n")))
+    core = lone.select("path_id").join(tallied(), "path_id", "left").filter(F.coalesce("core", F.lit(min_samples <= 1)))
+    return known.filter("n > 0").select("path_id", "unit", "n"), checkpoint(core.select("path_id"))
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    return pairs.join(side("i"), "i").join(side("j"), "j").filter(F.col("c_i") != F.col("c_j")).select("i", "j")
-
+    return pairs.join(side("i"), "i").join(side("j"), "j").filter(F.col("c_i") != F.col("c_j")).select("i", "j", "dist")
 
-def _to_representatives(apart: DataFrame, dense: DataFrame, members: DataFrame, alpha: float) -> DataFrame:
-    """Distance of each member of one cell to the other cell's first path: (path_id, own, other, member, dist)."""
-    wanted = apart.select(F.col("i").alias("path_id"), F.col("j").alias("unit")).unionByName(
-        apart.select(F.col("j").alias("path_id"), F.col("i").alias("unit")))
-    reps = dense.select(F.col("unit").alias("path_id"), "rep.*")
-    return _member_distances(wanted, reps, members, alpha)
 
+def _facing(apart: DataFrame, dense: DataFrame, members: DataFrame, alpha: float, eps: float) -> DataFrame:
+    """Members of one ball that could be near a member of the other: (a, b, of_a, path_id, gap, dist to the other's pivot)."""
+    limit = 1.5 * eps * (1 + ROUNDING)
+    asked = apart.select("i", "j", "dist", F.lit(True).alias("of_a")).unionByName(
+        apart.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist", F.lit(False).alias("of_a")))
+    own = _sided(members, "i", "unit", "gap").join(asked.withColumnRenamed("dist", "far"), F.col("unit_i") == F.col("i")).filter(
+        F.col("far") - F.col("gap_i") <= limit)
+    pairs = own.join(dense.select(F.col("unit").alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("lat", "lon", "dir")]), "j")
+    near = pairs.filter(_least_distance(alpha) <= limit).withColumn("dist", _distance(alpha)).filter(F.col("dist") <= limit)
+    return near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "of_a", F.col("path_id_i").alias("path_id"),
+                       F.col("gap_i").alias("gap"), "dist")
 
-def _touch_representative(apart, dense, members, alpha, eps, radius) -> DataFrame:
-    """Cells with a member near the other's representative: linear in the members."""
-    near = _to_representatives(apart, dense, members, alpha).filter(F.col("dist") <= eps)
-    return near.select(F.col("path_id").alias("a"), F.col("unit").alias("b")).distinct()
 
+def _touching(facing: DataFrame, members: DataFrame, alpha: float, eps: float, nearest: int | None) -> DataFrame:
+    """Balls (a, b) with two members within eps, among the ``nearest`` facing ones of each side or among all.
 
-def _touch_any(apart, dense, members, alpha, eps, radius) -> DataFrame:
-    """Cells with any two members near each other, among those that could be."""
-    facing = checkpoint(_to_representatives(apart, dense, members, alpha).filter(F.col("dist") <= eps + radius).select(
-        F.least("path_id", "unit").alias("a"), F.greatest("path_id", "unit").alias("b"),
-        (F.col("unit") < F.col("path_id")).alias("of_a"), F.col("member").alias("path_id")))
-    facing = facing.join(members.select("path_id", "lat", "lon", "dir"), "path_id")
-    sides = [_sided(facing.filter(cond), side, "a", "b") for cond, side in ((F.col("of_a"), "i"), (~F.col("of_a"), "j"))]
-    split = F.pmod(F.xxhash64("path_id_i"), F.lit(16)).cast("int")
-    left = sides[0].withColumn("part", split)
-    right = sides[1].withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    Of members x and y, the distance of x to the pivot of y and the gap of y bound their distance from both
+    sides. Many facing members of one pair of balls are split over several tasks.
+    """
+    if nearest is not None:
+        place = F.row_number().over(W.partitionBy("a", "b", "of_a").orderBy("dist", "path_id"))
+        facing = facing.withColumn("_n", place).filter(F.col("_n") <= nearest).drop("_n")
+    facing = checkpoint(facing)
+    crowd = facing.filter("of_a").groupBy("a", "b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    whole = facing.join(crowd, ["a", "b"]).join(members.select("path_id", "lat", "lon", "dir"), "path_id")
+    left = _sided(whole.filter("of_a"), "i", "a", "b", "gap", "dist", "parts").withColumn(
+        "part", F.pmod(F.xxhash64("path_id_i"), F.col("parts_i").cast("long")).cast("int"))
+    right = _sided(whole.filter("not of_a"), "j", "a", "b", "gap", "dist", "parts").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts_j") - 1)))
     met = left.join(right, (F.col("a_i") == F.col("a_j")) & (F.col("b_i") == F.col("b_j")) & (left["part"] == right["part"]))
-    ends = [geo.haversine(*[f(c) for c in ("lat_i", "lon_i", "lat_j", "lon_j")])
-            for f in (lambda c: F.get(c, F.lit(0)), lambda c: F.element_at(c, -1))]
-    limit = eps / (1 - alpha) * (1 + 1e-9)
-    near = met.filter((ends[0] <= limit) & (ends[1] <= limit)).withColumn("dist", _distance(alpha)).filter(F.col("dist") <= eps)
+    apart = F.greatest(F.abs(F.col("dist_i") - F.col("gap_j")), F.abs(F.col("dist_j") - F.col("gap_i")), _least_distance(alpha))
+    near = met.filter(apart <= eps * (1 + ROUNDING)).drop("dist_i", "dist_j").withColumn("dist", _distance(alpha)).filter(
+        F.col("dist") <= eps)
     return near.select(F.col("a_i").alias("a"), F.col("b_i").alias("b")).distinct()
 
 
@@ -264,7 +345,7 @@ def _merge(parts: DataFrame, edges: DataFrame) -> DataFrame:
     name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     links = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     roots = parts.select(F.col("component").alias("node")).distinct()
-    merged = connected_components(roots, links).withColumnsRenamed({"node": "component", "component": "merged"})
+    merged = connected_components(roots, links).select(F.col("node").alias("component"), F.col("component").alias("merged"))
     return checkpoint(parts.join(merged, "component").select("node", F.col("merged").alias("component")))
 
 
