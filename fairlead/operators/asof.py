@@ -5,46 +5,36 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions.calendar import micros
+from fairlead.operators import scan
 from fairlead.session import join_lookup
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str,
-                 tolerance: float, payload: list[str], tiebreak: str, bucket: float = 86_400.0) -> DataFrame:
+                 tolerance: float, payload: list[str], tiebreak: str) -> DataFrame:
     """Add to each left row the right row nearest in time, if within ``tolerance`` seconds.
 
     On equal distance the earlier right row wins, and on equal times the lowest
-    ``tiebreak``. Time buckets join the key so that a hot key spreads; a right row is
-    repeated only into a neighbouring bucket it can be matched from. Every left row
+    ``tiebreak``. Both sides are put in one order by key and time and scanned for the last right row
+    before and the first after, so nothing is repeated and a hot key is spread by ranges of time. Every left row
     is kept; ``payload`` columns and ``gap_seconds`` are null without a match. A null key or time
     matches nothing.
     """
-    reach, width = int(tolerance * 1_000_000), int(max(bucket, 2 * tolerance) * 1_000_000)
-    cell = lambda c: F.floor(c / F.lit(width))
+    reach = int(tolerance * 1_000_000)
     known = lambda t: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], t.isNotNull())
-    # Left rows that can match nothing are spread over buckets by a hash.
-    base = left.withColumn("_t", micros(left_ts)).withColumn("_bucket", F.when(
-        known(F.col("_t")), cell(F.col("_t"))).otherwise(F.xxhash64(*left.columns)))
-    left_cols = left.columns
+    base = left.withColumn("_t", micros(left_ts))
     record = F.struct(F.col("_t").alias("t"), F.col(tiebreak).alias("k"), *[F.col(c) for c in payload])
-    spread = right.withColumn("_t", micros(right_ts)).filter(known(F.col("_t"))).withColumn(
-        "_bucket",
-        F.explode(F.array_distinct(F.array(cell(F.col("_t") - reach), cell(F.col("_t")), cell(F.col("_t") + reach)))),
-    )
     # One candidate per instant: the lowest tiebreak.
-    candidates = spread.groupBy(*by, "_bucket", "_t").agg(F.min_by(record, F.col(tiebreak)).alias("_right"))
-    kinds = base.select(*by, "_bucket", "_t", F.struct(*left_cols).alias("_left"))
-    merged = kinds.unionByName(candidates, allowMissingColumns=True)
-    at = W.partitionBy(*by, "_bucket").orderBy("_t")
-    before = at.rangeBetween(W.unboundedPreceding, W.currentRow)
-    after = at.rangeBetween(W.currentRow, W.unboundedFollowing)
-    found = merged.withColumns({
-        "_back": F.last("_right", ignorenulls=True).over(before),
-        "_ahead": F.first("_right", ignorenulls=True).over(after),
-    }).filter(F.col("_left").isNotNull())
+    candidates = right.withColumn("_t", micros(right_ts)).filter(known(F.col("_t"))).groupBy(*by, "_t").agg(
+        F.min_by(record, F.col(tiebreak)).alias("_right"))
+    whole = F.struct(*left.columns).alias("_left")
+    merged = base.filter(known(F.col("_t"))).select(*by, "_t", whole).unionByName(candidates, allowMissingColumns=True)
+    found = scan.by_ranges(merged, by, ["_t"], lambda rows, ranges: scan.nearest_known(
+        rows, ranges, by, "_t", "_right", "_back", "_ahead")).filter(F.col("_left").isNotNull())
+    unmatched = base.filter(~known(F.col("_t"))).select(*by, "_t", whole)
+    found = found.unionByName(unmatched, allowMissingColumns=True)
     d_back, d_ahead = F.col("_t") - F.col("_back.t"), F.col("_ahead.t") - F.col("_t")
     nearest = F.when(d_back.isNull() | (d_ahead < d_back), F.col("_ahead")).otherwise(F.col("_back"))
     gap = F.abs(F.col("_near.t") - F.col("_t"))
@@ -57,16 +47,14 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
 
 
 def with_next(df: DataFrame, by: list[str], order: list[str], cols: dict[str, str],
-              self_if_last: bool = True) -> DataFrame:
+              self_if_last: bool = True, bounded: bool = False) -> DataFrame:
     """Add the following row's values; the last row of a key repeats its own, or gets nulls."""
-    window = W.partitionBy(*by).orderBy(*order)
-    following = {
-        new: F.when(F.lead(F.lit(1)).over(window).isNotNull(), F.lead(old).over(window)).otherwise(
-            F.col(old) if self_if_last else F.lit(None)
-        )
-        for old, new in cols.items()
-    }
-    return df.withColumns(following)
+    following = {old: f"_next_{new}" for old, new in cols.items()}
+    rows = scan.by_ranges(df, by, order, lambda rows, ranges: scan.neighbour(
+        rows, ranges, by, order, following, ahead=True, there="_followed"), bounded)
+    own = lambda old: F.col(old) if self_if_last else F.lit(None)
+    return rows.withColumns({new: F.when(F.col("_followed"), F.col(f"_next_{new}")).otherwise(own(old)) for old, new in cols.items()}).drop(
+        "_followed", *following.values())
 
 
 def pair_inbound(trips: DataFrame, by: list[str], start: str = "start_time", end: str = "end_time",
@@ -103,7 +91,7 @@ def match_timetable(trips: DataFrame, timetable: DataFrame, route: str, ts: str,
         route, slot, F.timestamp_seconds(F.col(slot) + F.col("_day")).alias("_slot_clock")
     )
     matched = asof_nearest(
-        clocks, slots, [route], "_clock", "_slot_clock", tolerance_min * 60, [slot], slot, bucket=3_600.0
+        clocks, slots, [route], "_clock", "_slot_clock", tolerance_min * 60, [slot], slot
     ).drop("_clock")
     return join_lookup(keyed, matched, [route, "_second"]).drop("_second").withColumn(
         "doubtful", F.col(slot).isNull()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.functions import paths as p
 from fairlead.operators.graph import connected_components
-from fairlead.operators.windows import number_chunk, position
+from fairlead.operators.windows import position
 from fairlead.session import checkpoint
 
 BLOCK_ROWS = 2_000  # rows of one side of a block that meet in one task
@@ -250,7 +250,7 @@ def cluster_paths(paths: DataFrame, alpha: float = 0.3, eps: float = 100.0, min_
         at_balls.join(core.withColumnRenamed("node", "unit"), "unit").select("path_id", "component"))
     border = claims.join(core_lone, "path_id", "left_anti").groupBy("path_id").agg(F.min("component").alias("component"))
     found = of_members.unionByName(of_lone).unionByName(border)
-    clusters = position(core.select("component").distinct(), "component", number_chunk("component", 100_000.0))
+    clusters = position(core.select("component").distinct(), "component")
     labels = found.join(clusters, "component").select("path_id", (F.col("position") - 1).alias("label"))
     return simple.select("path_id").join(labels, "path_id", "left").select(
         "path_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
@@ -384,10 +384,10 @@ def representative_path(paths: DataFrame, cluster: str = "label", epsilon: float
     return points.groupBy(cluster).cogroup(about.groupBy("_cluster")).applyInPandas(centres, schema)
 
 
-def map_rows(paths: DataFrame, label: str | None = None, chunk_width: float = 100_000.0) -> DataFrame:
+def map_rows(paths: DataFrame, label: str | None = None) -> DataFrame:
     """A map-layer row per path: [lon, lat] pairs and a colour, by label or by place in id order."""
     if label is None:
-        paths = position(paths, "path_id", number_chunk("path_id", chunk_width), "_at").withColumn(
+        paths = position(paths, "path_id", "_at").withColumn(
             "_label", F.col("_at") - 1).drop("_at")
     else:
         paths = paths.withColumn("_label", F.col(label))

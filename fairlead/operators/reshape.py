@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions.text import parse_selection
-from fairlead.operators.windows import number_chunk, position
+from fairlead.operators.windows import position
 
 
 def fill_range(df: DataFrame, key: str, start: int, end: int, fill: dict) -> DataFrame:
@@ -97,10 +97,10 @@ def rename(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     return df.withColumnsRenamed(aliases or {"rogue_score": "rouge_score"})
 
 
-def select_tests(df: DataFrame, spec: str, order: str, chunk_width: float = 10_000) -> DataFrame:
+def select_tests(df: DataFrame, spec: str, order: str) -> DataFrame:
     """Rows at the 1-based positions of a selection such as ``"1,3,7-10"``."""
     wanted = F.array_contains(parse_selection(F.lit(spec)), F.col("position").cast("int"))
-    return position(df, order, number_chunk(order, chunk_width)).filter(wanted)
+    return position(df, order).filter(wanted)
 
 
 def plan_runs(cases: DataFrame, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import calendar as cal
 from fairlead.functions import geo
 from fairlead.functions import measures as m
-from fairlead.operators import asof, windows
+from fairlead.operators import asof, scan
 from fairlead.operators.reshape import pivot_telemetry
 from fairlead.session import join_lookup
 
@@ -38,21 +38,22 @@ def wide_points(df: DataFrame, fuel: list[str] = (), lat: str = LAT, lon: str =
 
 
 def trip_points(points: DataFrame, by: list[str], time: str = "time", speed_kn: float = 1.0, stop_min: float = 1.0,
-                zone: str = "CET", chunk: Column | None = None, bounded: bool = False) -> DataFrame:
+                zone: str = "CET", bounded: bool = False) -> DataFrame:
     """Moving samples numbered by trip, with the step from the previous sample in metres.
 
     The speed filter comes first: gaps are measured between the samples it keeps. Keys of
-    ``bounded`` size, such as a vessel's day, need no chunks and take one shuffle.
+    ``bounded`` size, such as a vessel's day, are never dealt to ranges.
     """
-    if not bounded:
-        chunk = windows.time_chunk(time) if chunk is None else chunk
-    kept = m.moving(points, "sog", speed_kn)
     before = {time: "_time", "lat": "_lat", "lon": "_lon"}
-    rows = windows.with_previous(kept, by, time, before, chunk).withColumn("dt", cal.seconds_between("_time", time))
-    starts = F.coalesce(F.col("dt"), F.lit(0.0)) > stop_min * 60
-    step = geo.haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    rows = rows.withColumn("step_m", F.when(~starts, F.coalesce(step, F.lit(0.0))).otherwise(F.lit(0.0)))
-    rows = windows.running_sum(rows, by, [time], starts.cast("int"), chunk, "trip_no")
+
+    def step(rows: DataFrame, ranges: list[str]) -> DataFrame:
+        rows = scan.neighbour(rows, ranges, by, [time], before).withColumn("dt", cal.seconds_between("_time", time))
+        starts = F.coalesce(F.col("dt"), F.lit(0.0)) > stop_min * 60
+        step_m = geo.haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+        rows = rows.withColumn("step_m", F.when(~starts, F.coalesce(step_m, F.lit(0.0))).otherwise(F.lit(0.0)))
+        return scan.running(rows, ranges, by, [time], starts.cast("int"), "trip_no")
+
+    rows = scan.by_ranges(m.moving(points, "sog", speed_kn), by, [time], step, bounded)
     return rows.withColumn("local_time", F.date_trunc("second", cal.local_time(time, zone))).drop("_time", "_lat", "_lon")
 
 
@@ -83,10 +84,10 @@ def trip_paths(rows: DataFrame, by: list[str], extra: list[str] = (), time: str
 
 def trips_from_telemetry(df: DataFrame, speed_kn: float = 1.0, stop_min: float = 1.0, lat: str = LAT, lon: str = LON,
                          sog: str = SOG, zone: str = "CET", fuel: list[str] = (), by: str = "vessel_id",
-                         chunk: Column | None = None, tiebreak: str | None = None) -> DataFrame:
+                         tiebreak: str | None = None) -> DataFrame:
     """Trips with their paths from long readings; no position or speed means no trips."""
     points = wide_points(df, list(fuel), lat, lon, sog, by, tiebreak=tiebreak)
-    return trip_paths(trip_points(points, [by], "time", speed_kn, stop_min, zone, chunk), [by], list(fuel))
+    return trip_paths(trip_points(points, [by], "time", speed_kn, stop_min, zone), [by], list(fuel))
 
 
 DERIVED = ("fuelcons_outbound_l", "distance_outbound_nm", "start_time_outbound", "end_time_outbound",
@@ -97,7 +98,7 @@ def round_trips(table: DataFrame, by: list[str], max_minutes: float | None = Non
     """Each trip as an outbound one with the next of the same day as its inbound one."""
     names = {"fuel_l": "fuelcons_{}_l", "distance_nm": "distance_{}_nm", "start_time": "start_time_{}", "end_time": "end_time_{}"}
     following = {c: n.format("inbound") for c, n in names.items()}
-    rows = asof.with_next(table, by, ["start_time", "trip_no"], following, self_if_last)
+    rows = asof.with_next(table, by, ["start_time", "trip_no"], following, self_if_last, bounded=True)
     if max_minutes is not None:
         short = cal.minutes_between("start_time", "end_time") <= max_minutes
         rows = rows.withColumns({c: F.when(short, F.col(c)) for c in following.values()})

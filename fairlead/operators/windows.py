@@ -1,107 +1,47 @@
-"""Ordered computations that stay parallel when one key holds most rows.
-
-A plain window sends all rows of a key to one task. Here an order-preserving
-``chunk`` expression (an hour, a day, a block of line numbers) joins the
-partition key, and one small row per chunk carries the state across chunk edges.
-"""
+"""Ordered computations by key: neighbours, running sums, segments, positions, statements."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.functions.calendar import seconds_between
 from fairlead.functions.text import strip
+from fairlead.operators import scan
 
 
-def time_chunk(ts: str, unit: str = "day") -> Column:
-    return F.date_trunc(unit, F.col(ts))
-
-
-def number_chunk(col: str, width: float) -> Column:
-    return F.floor(F.col(col) / F.lit(width))
-
-
-def _edges(df: DataFrame, by: list[str], **carried: Column) -> DataFrame:
-    """One row per chunk with the carried aggregates."""
-    return df.groupBy(*by, "_chunk").agg(*[c.alias(n) for n, c in carried.items()])
-
-
-def _join_edges(df: DataFrame, edges: DataFrame, by: list[str], carried: str) -> DataFrame:
-    """Add the chunk's carried value. Rows whose key or time is null form groups of their own, as in a plain window."""
-    keys = [*by, "_chunk"]
-    edges = edges.select(*[F.col(k).alias(f"_edge_{i}") for i, k in enumerate(keys)], carried)
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_edge_{i}"))
-    return df.join(edges, same).drop(*[f"_edge_{i}" for i in range(len(keys))])
-
+def with_previous(df: DataFrame, by: list[str], ts: str, cols: dict[str, str], tiebreak: list[str] = (),
+                  bounded: bool = False) -> DataFrame:
+    """Add the previous row's values: ``cols`` maps a source column to its new name."""
+    order = [ts, *tiebreak]
+    return scan.by_ranges(df, by, order, lambda rows, ranges: scan.neighbour(rows, ranges, by, order, cols), bounded)
 
-def with_previous(df: DataFrame, by: list[str], ts: str, cols: dict[str, str], chunk: Column | None,
-                  tiebreak: list[str] = ()) -> DataFrame:
-    """Add the previous row's values: ``cols`` maps a source column to its new name.
 
-    Without a chunk a plain window is used, for keys whose groups are bounded.
-    """
-    order = [ts, *tiebreak]
-    if chunk is None:
-        before = W.partitionBy(*by).orderBy(*order)
-        return df.withColumns({new: F.lag(c).over(before) for c, new in cols.items()})
-    df = df.withColumn("_chunk", chunk)
-    packed = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *cols])])
-    within = W.partitionBy(*by, "_chunk").orderBy(*order)
-    across = W.partitionBy(*by).orderBy("_chunk")
-    edges = _edges(df, by, _last=F.max_by(packed, F.struct(*order))).withColumn(
-        "_carried", F.lag("_last").over(across)
-    ).drop("_last")
-    df = df.withColumn("_before", F.lag(packed).over(within))
-    df = _join_edges(df, edges, by, "_carried")
-    before = F.coalesce(F.col("_before"), F.col("_carried"))
-    return df.withColumns({new: before[c] for c, new in cols.items()}).drop("_chunk", "_before", "_carried")
-
-
-def lag_seconds(df: DataFrame, by: list[str], ts: str, chunk: Column | None = None,
-                out: str = "dt", tiebreak: list[str] = ()) -> DataFrame:
+def lag_seconds(df: DataFrame, by: list[str], ts: str, out: str = "dt", tiebreak: list[str] = ()) -> DataFrame:
     """Seconds since the previous row of the key; null on its first row."""
-    chunk = time_chunk(ts) if chunk is None else chunk
-    df = with_previous(df, by, ts, {ts: "_previous_ts"}, chunk, tiebreak)
+    df = with_previous(df, by, ts, {ts: "_previous_ts"}, tiebreak)
     return df.withColumn(out, seconds_between("_previous_ts", ts)).drop("_previous_ts")
 
 
-def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, chunk: Column | None,
-                out: str) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, out: str, bounded: bool = False) -> DataFrame:
     """Inclusive running sum in ``order``, whose keys should be unique within ``by``."""
-    if chunk is None:
-        so_far = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(so_far), F.lit(0)))
-    df = df.withColumn("_chunk", chunk).withColumn("_value", value)
-    within = W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    edges = _edges(df, by, _sum=F.sum("_value")).withColumn(
-        "_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
-    ).drop("_sum")
-    df = _join_edges(df.withColumn("_run", F.sum("_value").over(within)), edges, by, "_offset")
-    return df.withColumn(out, F.coalesce("_run", F.lit(0)) + F.col("_offset")).drop(
-        "_chunk", "_value", "_run", "_offset"
-    )
+    return scan.by_ranges(df, by, order, lambda rows, ranges: scan.running(rows, ranges, by, order, value, out), bounded)
 
 
-def segment(df: DataFrame, by: list[str], ts: str, gap: float, chunk: Column | None = None,
-            out: str = "trip_no", tiebreak: list[str] = ()) -> DataFrame:
+def segment(df: DataFrame, by: list[str], ts: str, gap: float, out: str = "trip_no", tiebreak: list[str] = ()) -> DataFrame:
     """Number runs of rows; a new run starts after a gap strictly above ``gap`` seconds."""
-    chunk = time_chunk(ts) if chunk is None else chunk
-    df = lag_seconds(df, by, ts, chunk, "dt", tiebreak)
-    breaks = (F.coalesce(F.col("dt"), F.lit(0.0)) > gap).cast("int")
-    return running_sum(df, by, [ts, *tiebreak], breaks, chunk, out)
+    order = [ts, *tiebreak]
+
+    def step(rows: DataFrame, ranges: list[str]) -> DataFrame:
+        rows = scan.neighbour(rows, ranges, by, order, {ts: "_previous_ts"}).withColumn("dt", seconds_between("_previous_ts", ts))
+        breaks = (F.coalesce(F.col("dt"), F.lit(0.0)) > gap).cast("int")
+        return scan.running(rows.drop("_previous_ts"), ranges, by, order, breaks, out)
+    return scan.by_ranges(df, by, order, step)
 
 
-def position(df: DataFrame, order: str, chunk: Column, out: str = "position", by: list[str] = ()) -> DataFrame:
-    """1-based position by a unique order column."""
-    keyed = df if by else df.withColumn("_all", F.lit(0))
-    keys = list(by) or ["_all"]
-    keyed = running_sum(keyed, keys, [order], F.lit(1), chunk, out)
-    return keyed if by else keyed.drop("_all")
+def position(df: DataFrame, order: str, out: str = "position", by: list[str] = ()) -> DataFrame:
+    """1-based position by a unique order column, in all rows or per key."""
+    return running_sum(df, list(by), [order], F.lit(1), out)
 
 
 def argmax(df: DataFrame, by: list[str], value: str, tiebreak: list[str], lowest: bool = False) -> DataFrame:
@@ -113,10 +53,10 @@ def argmax(df: DataFrame, by: list[str], value: str, tiebreak: list[str], lowest
     return best.select(*by, "_row.*")
 
 
-def distinct_ordered(df: DataFrame, by: list[str], value: str, order: str, chunk_width: float = 10_000) -> DataFrame:
+def distinct_ordered(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Distinct values per key with their first order key and 1-based position."""
     first = df.groupBy(*by, value).agg(F.min(order).alias("first_at"))
-    return position(first, "first_at", number_chunk("first_at", chunk_width), by=by)
+    return position(first, "first_at", by=by)
 
 
 def latest_status(log: DataFrame, by: list[str], status: str, order: str) -> DataFrame:
@@ -124,21 +64,19 @@ def latest_status(log: DataFrame, by: list[str], status: str, order: str) -> Dat
     return log.groupBy(*by).agg(F.max_by(status, order).alias(status), F.max(order).alias(order))
 
 
-def extract_sql(log: DataFrame, session: str = "session_id", line_no: str = "line_no", line: str = "line",
-                chunk_width: float = 10_000) -> DataFrame:
+def extract_sql(log: DataFrame, session: str = "session_id", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """Statements of an agent log: ``Running:`` opens one, plain lines continue it."""
     marker = "Running:"
     opens = F.col(line).contains(marker)
     after = F.col(line).substr(F.locate(marker, line) + len(marker), F.length(line))
     body = strip(F.when(opens, after).otherwise(F.col(line)))
     lines = log.withColumns({"_open": opens.cast("int"), "_text": body})
-    return statements(lines, [session], line_no, "_open", "_text", chunk_width)
+    return statements(lines, [session], line_no, "_open", "_text")
 
 
-def statements(lines: DataFrame, by: list[str], order: str, opens: str, text: str,
-               chunk_width: float = 10_000) -> DataFrame:
+def statements(lines: DataFrame, by: list[str], order: str, opens: str, text: str) -> DataFrame:
     """Group ordered lines into blocks at each opening line and join their texts."""
-    numbered = running_sum(lines, by, [order], F.col(opens), number_chunk(order, chunk_width), "statement_no")
+    numbered = running_sum(lines, by, [order], F.col(opens), "statement_no")
     opening = F.col(opens) == 1
     kept = numbered.filter(
         (F.col("statement_no") > 0) & (opening | ((F.col(text) != "") & ~F.col(text).startswith("INFO")))

@@ -68,7 +68,7 @@ TRACKS = f"""{b.segments_sql("vessel_id", 21600)}, tracks AS (SELECT min(event_i
   SELECT path_id, n AS n_points, round(first_lon, 6) AS first_lon,
     [{", ".join(str(r) for r, _, _ in geo.CLUSTER_COLORS)}][k + 1] AS red FROM c""")
 def map_rows(spark, d):
-    rows = pt.map_rows(trip_paths(spark, d), chunk_width=1_000.0)
+    rows = pt.map_rows(trip_paths(spark, d))
     return rows.select("path_id", F.size("path").alias("n_points"), F.get(F.get("path", F.lit(0)), F.lit(0)).alias("first_lon"),
                        F.get("color", F.lit(0)).alias("red"))
 

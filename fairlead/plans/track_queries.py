@@ -22,8 +22,8 @@ PREVIOUS = """prev AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plo
 def _neighbours(spark, d):
     """Each point with the two before it."""
     points = b.points(spark, d).withColumnRenamed("vessel_id", "user_id")
-    one = windows.with_previous(points, ["user_id"], "time", {"lat": "plat", "lon": "plon"}, windows.time_chunk("time"))
-    return windows.with_previous(one, ["user_id"], "time", {"plat": "slat", "plon": "slon"}, windows.time_chunk("time"))
+    one = windows.with_previous(points, ["user_id"], "time", {"lat": "plat", "lon": "plon"})
+    return windows.with_previous(one, ["user_id"], "time", {"plat": "slat", "plon": "slon"})
 
 
 @query("S-12", """SELECT event_id, epoch_us(ts) AS t FROM events WHERE user_id = 8 AND ts >= TIMESTAMP '2024-01-03'

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fairlead.operators import asof, graph, scoring, windows
+from fairlead.operators import asof, graph, scan, scoring, windows
 
 T = dt.datetime(2024, 1, 1, 23, 59)
 
@@ -18,13 +18,13 @@ def rows(spark):
         "k string, ts timestamp_ntz, v int")
 
 
-def test_chunked_windows_keep_null_groups(rows):
+@pytest.mark.parametrize("task_rows", [0, 1, 500_000])
+def test_windows_keep_null_groups(rows, task_rows, monkeypatch):
+    monkeypatch.setattr(scan, "TASK_ROWS", task_rows)
     pick = lambda df: sorted(map(tuple, df.select("v", "before").collect()))
-    chunked = windows.with_previous(rows, ["k"], "ts", {"v": "before"}, windows.time_chunk("ts"))
-    plain = windows.with_previous(rows, ["k"], "ts", {"v": "before"}, None)
-    assert pick(chunked) == pick(plain) == [(1, None), (2, 1), (3, None), (4, 3), (5, None), (6, 5)]
-    sums = lambda chunk: sorted(map(tuple, windows.running_sum(rows, ["k"], ["ts"], F.col("v"), chunk, "s").select("v", "s").collect()))
-    assert sums(windows.time_chunk("ts")) == sums(None) == [(1, 1), (2, 3), (3, 3), (4, 7), (5, 5), (6, 11)]
+    assert pick(windows.with_previous(rows, ["k"], "ts", {"v": "before"})) == [(1, None), (2, 1), (3, None), (4, 3), (5, None), (6, 5)]
+    sums = windows.running_sum(rows, ["k"], ["ts"], F.col("v"), "s").select("v", "s").collect()
+    assert sorted(map(tuple, sums)) == [(1, 1), (2, 3), (3, 3), (4, 7), (5, 5), (6, 11)]
 
 
 def test_null_keys_match_nothing_as_of(spark, rows):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import metrics as mt
 from fairlead.functions import tails
 from fairlead.functions import text as tx
-from fairlead.operators import reshape, scoring, stats, warehouse, windows
+from fairlead.operators import reshape, scan, scoring, stats, warehouse, windows
 from fairlead.sources import catalog, files, sinks, store
 
 
@@ -105,12 +105,13 @@ def test_score_job(spark):
         scoring.add_scores(answers.drop("reference"), ["bleu_score"])
 
 
-def test_log_statements(spark):
+@pytest.mark.parametrize("task_rows", [0, 2, 500_000])
+def test_log_statements(spark, task_rows, monkeypatch):
+    monkeypatch.setattr(scan, "TASK_ROWS", task_rows)
     lines = ["noise", "INFO Running: SELECT 1", "  FROM t ", "", "INFO done", "Running: ", "lost", "Running: SELECT 2"]
     log = spark.createDataFrame([(7, i, x) for i, x in enumerate(lines)], "session_id long, line_no int, line string")
-    for width in (2, 100):
-        found = windows.extract_sql(log, chunk_width=width).orderBy("first_line").collect()
-        assert [r.sql for r in found] == ["SELECT 1 FROM t", "SELECT 2"]
+    found = windows.extract_sql(log).orderBy("first_line").collect()
+    assert [r.sql for r in found] == ["SELECT 1 FROM t", "SELECT 2"]
 
 
 def test_pairwise_combination(spark):

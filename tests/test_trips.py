@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import calendar as cal
 from fairlead.functions import measures as m
-from fairlead.operators import asof, ranks, telemetry as tm, trips as t, windows
+from fairlead.operators import asof, ranks, scan, telemetry as tm, trips as t, windows
 from fairlead.streaming import stream
 
 T0 = dt.datetime(2024, 1, 5, 8, 0, 0)
@@ -96,12 +96,12 @@ def test_slow_points_go_before_gaps_are_measured(spark):
     assert [r.trip_no for r in tm.trip_points(rows, ["vessel_id"]).orderBy("time").collect()] == [0, 1]
 
 
-def test_segmentation_ignores_chunk_edges(spark):
+@pytest.mark.parametrize("task_rows", [0, 3, 500_000])
+def test_segmentation_ignores_range_edges(spark, task_rows, monkeypatch):
+    monkeypatch.setattr(scan, "TASK_ROWS", task_rows)
     seconds = [0, 30, 59, 3590, 3610, 3625, 7300]
-    rows = points(spark, seconds)
-    for unit in ("minute", "hour", "day"):
-        found = windows.segment(rows, ["vessel_id"], "time", 60, windows.time_chunk("time", unit)).orderBy("time").collect()
-        assert [r.trip_no for r in found] == [0, 0, 0, 1, 1, 1, 2]
+    found = windows.segment(points(spark, seconds), ["vessel_id"], "time", 60).orderBy("time").collect()
+    assert [r.trip_no for r in found] == [0, 0, 0, 1, 1, 1, 2]
 
 
 def test_missing_fuel_sample_voids_the_sum(spark):
@@ -116,7 +116,7 @@ def test_nearest_join_edges(spark):
                                  "id int, by string, t timestamp_ntz")
     right = spark.createDataFrame([(10, "k", at(0)), (12, "k", at(100)), (11, "k", at(100)), (13, "k", at(600))],
                                   "rid int, by string, rt timestamp_ntz")
-    found = asof.asof_nearest(left, right, ["by"], "t", "rt", 300, ["rid"], "rid", bucket=100.0)
+    found = asof.asof_nearest(left, right, ["by"], "t", "rt", 300, ["rid"], "rid")
     # 1: 200 s back beats 300 s ahead; 2: 301 s is too far; 3: a tie goes to the earlier; 4: no such key
     assert {r.id: r.rid for r in found.collect()} == {1: 11, 2: None, 3: 10, 4: None}
     exact = asof.asof_nearest(left.filter("id = 2"), right, ["by"], "t", "rt", 301, ["rid"], "rid")
