@@ -135,48 +135,69 @@ def counted(rows: DataFrame, hashes) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = {lang: Shards(*told) for lang, told in hashes.value.items()}
         dense: dict[tuple[str, str], np.ndarray] = {}
+        groups: dict[tuple[str, str], Counter] = {}
+        known: dict[str, dict[bytes, int]] = {lang: {} for lang in lookups}
+
+        def places(lang: str, keys: list[bytes]) -> np.ndarray:
+            """Places of keys; those found or missed lately are remembered, up to a bound."""
+            lately = known[lang]
+            out = np.fromiter((lately.get(k, -2) for k in keys), np.int64, len(keys))
+            new = np.flatnonzero(out == -2)
+            if len(new):
+                asked = [keys[i] for i in new]
+                out[new] = lookups[lang].find(asked)
+                if len(lately) > HELD_TERMS:
+                    lately.clear()
+                lately.update(zip(asked, out[new].tolist()))
+            return out
+
+        def counted_in():
+            for group, found in groups.items():
+                at = places(group[0], list(found))
+                hit = at >= 0
+                if hit.any():
+                    if group not in dense:
+                        dense[group] = np.zeros(len(lookups[group[0]]), np.int64)
+                    dense[group][at[hit]] += np.fromiter(found.values(), np.int64, len(found))[hit]
+                if sum(map(len, dense.values())) > HELD_SLOTS:
+                    yield from sent()
+            groups.clear()
 
         def sent():
             for (lang, source), slots in dense.items():
-                places = np.flatnonzero(slots)
-                for i in range(0, len(places), 50_000):
-                    part = places[i:i + 50_000]
+                used = np.flatnonzero(slots)
+                for i in range(0, len(used), 50_000):
+                    part = used[i:i + 50_000]
                     shard, slot = lookups[lang].shard_and_slot(part)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()),
+                        [pa.repeat(pa.scalar(lang, pa.string()), len(part)), pa.repeat(pa.scalar(source, pa.string()), len(part)),
                          pa.array(shard), pa.array(slot), pa.array(slots[part])],
                         names=["lang", "source", "shard", "slot", "count"])
             dense.clear()
 
         for batch in batches:
-            groups: dict[tuple[str, str], Counter] = {}
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if lang in lookups:
                     groups.setdefault((lang, source), Counter()).update(terms(text.as_py()))
-            for group, found in groups.items():
-                places = lookups[group[0]].find(list(found))
-                hit = places >= 0
-                if hit.any():
-                    if group not in dense:
-                        dense[group] = np.zeros(len(lookups[group[0]]), np.int64)
-                    dense[group][places[hit]] += np.fromiter(found.values(), np.int64, len(found))[hit]
-                if sum(map(len, dense.values())) > HELD_SLOTS:
-                    yield from sent()
+            if sum(map(len, groups.values())) > HELD_TERMS:
+                yield from counted_in()
+        yield from counted_in()
         yield from sent()
 
     return rows.mapInArrow(run, "lang string, source string, shard long, slot long, count long")
 
 
 def share(count: Column, total: Column) -> Column:
-    """1 + floor(10^9 * count / total), exact for any counts."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    scaled = (wide(count) * F.lit(ONE).cast("decimal(10,0)")).cast("decimal(30,0)")
-    # The rest of the division is taken away first, so that the quotient is whole.
-    return (((scaled - scaled % wide(total)) / wide(total)).cast("decimal(20,0)").cast("long") + 1)
+    """1 + floor(10^9 * count / total) by long division in three steps of 1000, within 64 bits for totals below 9 * 10^15."""
+    div = lambda a, b: F.call_function("div", a, b)
+    whole, rest = div(count, total), count % total
+    for _ in range(3):
+        whole, rest = whole * 1000 + div(rest * 1000, total), (rest * 1000) % total
+    return whole + 1
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The same for arrays: long division in three steps of 1000, within 64 bits for totals below 9 * 10^15."""
+    """The same for arrays."""
     whole, rest = np.divmod(count, total)
     for _ in range(3):
         more, rest = np.divmod(rest * 1000, total)
