@@ -89,7 +89,7 @@ def hashed_terms(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     schema = ("lang string, shard long, slot long, term binary, shards long, terms long, seed string, steps binary, "
               "lengths binary, keys binary")
     NAMES = [c.split()[0] for c in schema.split(", ")]
-    return dealt.groupBy("lang", "shard").applyInPandas(make, schema)
+    return dealt.repartition("lang", "shard").groupBy("lang", "shard").applyInPandas(make, schema)
 
 
 def blocks_of(heads: DataFrame) -> list[list[tuple[str, int]]]:
