@@ -13,14 +13,14 @@ from fairlead.session import join_lookup
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str,
-                 tolerance: float, payload: list[str], tiebreak: str) -> DataFrame:
+                 tolerance: float, payload: list[str], tiebreak: str, bounded: bool = False) -> DataFrame:
     """Add to each left row the right row nearest in time, if within ``tolerance`` seconds.
 
     On equal distance the earlier right row wins, and on equal times the lowest
     ``tiebreak``. Both sides are put in one order by key and time and scanned for the last right row
     before and the first after, so nothing is repeated and a hot key is spread by ranges of time. Every left row
     is kept; ``payload`` columns and ``gap_seconds`` are null without a match. A null key or time
-    matches nothing.
+    matches nothing. ``bounded`` keys fit a task by their nature.
     """
     reach = int(tolerance * 1_000_000)
     known = lambda t: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], t.isNotNull())
@@ -32,7 +32,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     whole = F.struct(*left.columns).alias("_left")
     merged = base.filter(known(F.col("_t"))).select(*by, "_t", whole).unionByName(candidates, allowMissingColumns=True)
     found = scan.by_ranges(merged, by, ["_t"], lambda rows, ranges: scan.nearest_known(
-        rows, ranges, by, "_t", "_right", "_back", "_ahead")).filter(F.col("_left").isNotNull())
+        rows, ranges, by, "_t", "_right", "_back", "_ahead"), bounded, left.select(*by).unionByName(right.select(*by))).filter(
+        F.col("_left").isNotNull())
     unmatched = base.filter(~known(F.col("_t"))).select(*by, "_t", whole)
     found = found.unionByName(unmatched, allowMissingColumns=True)
     d_back, d_ahead = F.col("_t") - F.col("_back.t"), F.col("_ahead.t") - F.col("_t")

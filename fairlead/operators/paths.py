@@ -20,6 +20,8 @@ from fairlead.operators.windows import position
 from fairlead.session import checkpoint
 
 BLOCK_ROWS = 2_000  # rows of one side of a block that meet in one task
+CELL_REACHES = 2  # width of a grid cell
+FEW = 100  # paths that need no further round of pivots
 WITNESSES = 32  # members of a ball tried before all others
 ROUNDING = 1e-9  # bounds leave this much to rounding; what lies within is measured
 
@@ -68,7 +70,7 @@ def _ends_of(side: str):
 
 
 class Grid:
-    """Cells over starts and ends, two reaches wide, so that a reach touches two per axis (three at an edge).
+    """Cells over starts and ends, several reaches wide, so that a reach touches one or two per axis.
 
     The distance is at least (1 - alpha) times the gap of the starts and of the ends, so only paths
     whose starts and ends both lie within max_dist / (1 - alpha) can be that near. Each band of latitude has
@@ -83,13 +85,13 @@ class Grid:
         self.lat_step = p.lat_degrees(self.reach)
 
     def _band(self, lat: Column) -> Column:
-        return F.floor(lat / (2 * self.lat_step)).cast("long")
+        return F.floor(lat / (CELL_REACHES * self.lat_step)).cast("long")
 
     def _ring(self, band: Column) -> tuple[Column, Column]:
         """Longitude reach in degrees and number of cells of a band, for its own points and those a reach away."""
-        farthest = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * (2 * self.lat_step) + self.lat_step, F.lit(90.0))
+        farthest = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * (CELL_REACHES * self.lat_step) + self.lat_step, F.lit(90.0))
         step = p.lon_reach(self.reach, farthest)
-        return step, F.greatest(F.lit(1), F.floor(F.lit(180.0) / step)).cast("long")
+        return step, F.greatest(F.lit(1), F.floor(F.lit(360.0 / CELL_REACHES) / step)).cast("long")
 
     @staticmethod
     def _ring_cell(lon: Column, cells: Column) -> Column:
@@ -144,7 +146,7 @@ def cover(paths: DataFrame, alpha: float, radius: float, first: int = 4, rounds:
     Each round picks ``first`` open paths of a cell by hash, twice as many as the round before. Picked paths
     with no earlier picked one within the radius become pivots, and open paths join the nearest of them
     within the radius. So a crowded ball is settled by a few distances per path whatever its size. What is
-    open after the last round is its own pivot, which is a cover too.
+    open after the last round, or a few paths left before it, are their own pivots, which is a cover too.
     """
     grid = Grid(alpha, radius)
     columns = ["path_id", "lat", "lon", "dir"]
@@ -163,7 +165,7 @@ def cover(paths: DataFrame, alpha: float, radius: float, first: int = 4, rounds:
             F.min(F.struct("dist", "pivot")).alias("to")).select("path_id", "to.pivot", F.col("to.dist").alias("gap")))
         found.append(joined)
         left = checkpoint(left.join(joined, "path_id", "left_anti"))
-        if left.isEmpty():
+        if left.limit(FEW + 1).count() <= FEW:
             break
     out = left.select("path_id", F.col("path_id").alias("pivot"), F.lit(0.0).alias("gap"))
     for joined in found:
@@ -228,20 +230,22 @@ def cluster_paths(paths: DataFrame, alpha: float = 0.3, eps: float = 100.0, min_
     )
     parts = connected_components(nodes, edges)
 
-    # Balls whose pivots are up to 2 eps apart may still touch through other members.
-    # This matters only between different components, and is tried cheapest evidence first.
-    unsure, facing = dense_pairs.filter(F.col("dist") > eps).select("i", "j", "dist"), None
-    for evidence in ("pivots", "nearest", "all"):
-        apart = checkpoint(_apart(unsure, parts))
-        if apart.isEmpty():
-            break
-        if facing is None:
-            facing = checkpoint(_facing(apart, dense, members, alpha, eps))
-            found = facing.filter(F.col("dist") <= eps).select("a", "b").distinct()
-        else:
-            facing = facing.join(apart.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_semi")
-            found = _touching(facing, members, alpha, eps, WITNESSES if evidence == "nearest" else None)
-        parts = _merge(parts, checkpoint(found))
+    # Balls whose pivots are up to 2 eps apart may still touch through other members. This matters
+    # only between different components: members near the other pivot and the nearest few of each side come
+    # first, all others only where there are more and no link was found.
+    apart = checkpoint(_apart(dense_pairs.filter(F.col("dist") > eps).select("i", "j", "dist"), parts))
+    if not apart.isEmpty():
+        facing = checkpoint(_facing(apart, dense, members, alpha, eps))
+        found = checkpoint(facing.filter(F.col("dist") <= eps).select("a", "b").unionByName(
+            _touching(facing, members, alpha, eps, WITNESSES)).distinct())
+        if not found.isEmpty():
+            parts = _merge(parts, found)
+        crowded = facing.groupBy("a", "b", "of_a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WITNESSES)
+        open_pairs = checkpoint(_apart(apart, parts).select(F.col("i").alias("a"), F.col("j").alias("b")).join(
+            crowded, ["a", "b"], "left_semi"))
+        if not open_pairs.isEmpty():
+            found = checkpoint(_touching(facing.join(open_pairs, ["a", "b"], "left_semi"), members, alpha, eps, None))
+            parts = _merge(parts, found)
 
     core = nodes.join(parts, "node").select("node", "component")
     of_members = members.join(core.withColumnRenamed("node", "unit"), "unit").select("path_id", "component")
@@ -278,8 +282,11 @@ def _lone_neighbours(mixed: DataFrame, both_ways: DataFrame, lone: DataFrame, me
 
     some = F.row_number().over(W.partitionBy("unit").orderBy(F.xxhash64("path_id"), "path_id"))
     witnesses = members.withColumn("_n", some).filter(F.col("_n") <= WITNESSES).drop("_n")
+    large = members.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WITNESSES).select("unit")
     for pool in (witnesses, members):
         still = known.join(tallied(), "path_id").filter((F.col("n") == 0) | (~F.col("core") & (F.col("n") < min_samples)))
+        if pool is members:  # smaller balls were tried whole
+            still = still.join(large, "unit", "left_semi")
         still = checkpoint(still.select("path_id", "unit", F.col("dist").alias("far")))
         if still.isEmpty():
             break
@@ -341,12 +348,12 @@ def _touching(facing: DataFrame, members: DataFrame, alpha: float, eps: float, n
 
 
 def _merge(parts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components after joining those that new edges connect."""
+    """Components after joining those that new edges connect; only the connected ones are worked on."""
     name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    links = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-    roots = parts.select(F.col("component").alias("node")).distinct()
-    merged = connected_components(roots, links).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    return checkpoint(parts.join(merged, "component").select("node", F.col("merged").alias("component")))
+    links = checkpoint(edges.join(name("a"), "a").join(name("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    roots = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    merged = connected_components(roots, links).select(F.col("node").alias("component"), F.col("component").alias("_merged"))
+    return checkpoint(parts.join(merged, "component", "left").select("node", F.coalesce("_merged", "component").alias("component")))
 
 
 def representative_path(paths: DataFrame, cluster: str = "label", epsilon: float = 10.0) -> DataFrame:

@@ -32,21 +32,21 @@ def same_key(keys: list[str], other: Callable[[str], str]) -> Column:
 
 def large_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
     """Keys with more rows than a task may sort (at most one per TASK_ROWS rows); nothing when there are none."""
-    large = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") > TASK_ROWS).drop("_n")
-    if not by:
-        large = df.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TASK_ROWS)
-    large = checkpoint(large)
-    return None if large.isEmpty() else large
+    keys = [F.col(k).alias(f"_key_{k}") for k in by]
+    counts = df.groupBy(*keys) if by else df
+    large = counts.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TASK_ROWS).drop("_n")
+    return None if large.isEmpty() else checkpoint(large) if by else large
 
 
-def by_ranges(df: DataFrame, by: list[str], order: list[str], step: Step, bounded: bool = False) -> DataFrame:
+def by_ranges(df: DataFrame, by: list[str], order: list[str], step: Step, bounded: bool = False,
+              sized: DataFrame | None = None) -> DataFrame:
     """Apply a step to whole keys, and to ranges where a key is large.
 
-    ``bounded`` keys, such as a vessel's day, are never looked at for size. The ranges are stored
-    before they are scanned, so all that is derived from them sees the same ones.
+    ``bounded`` keys, such as a vessel's day, are never looked at for size; ``sized`` has as many rows per key
+    or more and is cheaper to count. The ranges are stored before they are scanned, so all that is
+    derived from them sees the same ones.
     """
-    large = None if bounded else large_keys(df, by)
+    large = None if bounded else large_keys(df if sized is None else sized, by)
     if large is None:
         return step(df, [])
     same = same_key(by, lambda k: f"_key_{k}")
@@ -100,15 +100,16 @@ def running(rows: DataFrame, ranges: list[str], by: list[str], order: list[str],
 
 def nearest_known(rows: DataFrame, ranges: list[str], by: list[str], order: str, value: str, back: str, ahead: str) -> DataFrame:
     """Step: the last known value at or before each row and the first at or after it, by a numeric order."""
-    at = W.partitionBy(*ranges, *by).orderBy(order)
-    rows = rows.withColumns({
-        back: F.last(value, ignorenulls=True).over(at.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        ahead: F.first(value, ignorenulls=True).over(at.rangeBetween(W.currentRow, W.unboundedFollowing))})
+    # The way ahead is the way back in reverse order: frames that only grow cost one step per row.
+    so_far = lambda o: W.partitionBy(*ranges, *by).orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({back: F.last(value, ignorenulls=True).over(so_far(F.col(order).asc())),
+                             ahead: F.last(value, ignorenulls=True).over(so_far(F.col(order).desc()))})
     if ranges:
         known = F.when(F.col(value).isNotNull(), F.col(order))
         edges = carried(rows, by, _last=F.max_by(value, known), _first=F.min_by(value, known)).withColumns({
             "_before": F.last("_last", ignorenulls=True).over(over_ranges(by).rowsBetween(W.unboundedPreceding, -1)),
-            "_after": F.first("_first", ignorenulls=True).over(over_ranges(by).rowsBetween(1, W.unboundedFollowing))})
+            "_after": F.last("_first", ignorenulls=True).over(W.partitionBy(*by).orderBy(F.col(RANGE).desc()).rowsBetween(
+                W.unboundedPreceding, -1))})
         rows = with_carried(rows, edges, by, "_before", "_after").withColumns({
             back: F.coalesce(back, "_before"), ahead: F.coalesce(ahead, "_after")}).drop("_before", "_after")
     return rows

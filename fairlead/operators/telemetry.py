@@ -130,7 +130,7 @@ def enrich_trips(trips: DataFrame, fleet: DataFrame, telemetry: DataFrame, toler
     ).drop("_name").withColumn("day", F.to_date(departure))
     matched = asof.asof_nearest(
         left, table.select(*by, "trip_no", "start_time", *DERIVED), by, departure, "start_time",
-        tolerance_min * 60, list(DERIVED), "trip_no",
+        tolerance_min * 60, list(DERIVED), "trip_no", bounded=True,
     )
     return matched.drop("day", "vessel_id", "gap_seconds")
 

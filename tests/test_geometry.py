@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,75 @@ def test_representative_path(spark):
     simple = [p.kept_points(np.array([q[0] for q in x]), np.array([q[1] for q in x]), 1.0) for x in paths]
     assert len(found) == math.ceil(sum(map(len, simple)) / len(simple)) + 1
     assert found[0].lon == pytest.approx(18.0, abs=1e-3) and found[-1].lon == pytest.approx(18.03, abs=1e-3)
+
+
+def lane(n, seed=1):
+    """Noisy trips of one lane, a few of them much noisier."""
+    rng = np.random.default_rng(seed)
+    base = np.array([[59.0, 18.0], [59.004, 18.01], [59.002, 18.03]])
+    return [base + rng.normal(0, 0.00018, base.shape) * (1 if rng.random() < 0.97 else 3) for _ in range(n)]
+
+
+def lane_dbscan(paths, alpha, eps, min_samples):
+    a = np.array(paths)
+    turn = np.arctan2(a[:, -1, 1] - a[:, 0, 1], a[:, -1, 0] - a[:, 0, 0])
+    near = []
+    for i in range(len(a)):
+        one = np.repeat(a[i:i + 1], len(a), 0)
+        metres = p.frechet(one[..., 0], one[..., 1], a[..., 0], a[..., 1])
+        near.append(np.flatnonzero((1 - alpha) * metres + alpha * np.abs(turn - turn[i]) <= eps))
+    labels, label = [-1] * len(a), -1
+    for start in range(len(a)):
+        if labels[start] == -1 and len(near[start]) >= min_samples:
+            label, stack = label + 1, [start]
+            while stack:
+                at = stack.pop()
+                if labels[at] == -1:
+                    labels[at] = label
+                    stack += [j for j in near[at] if labels[j] == -1] if len(near[at]) >= min_samples else []
+    return labels
+
+
+def test_one_lane_takes_few_distances(spark, monkeypatch):
+    """Trips of one lane are told apart by no end point: distances per trip must not grow with the trips."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def counted(alpha):
+        @F.pandas_udf("double")
+        def tally(x: pd.Series) -> pd.Series:
+            taken.add(len(x))
+            return x
+        metres = tally.asNondeterministic()(p.frechet_metres("lat_i", "lon_i", "lat_j", "lon_j"))
+        return (1 - alpha) * metres + alpha * F.abs(F.col("dir_i") - F.col("dir_j"))
+
+    monkeypatch.setattr(pt, "_distance", counted)
+    monkeypatch.setattr(pt, "FEW", 10)
+    share = {}
+    for n in (400, 2000):
+        paths = [[tuple(map(float, q)) for q in x] for x in lane(n)]
+        taken.value = 0
+        found = {r.path_id: r.label for r in pt.cluster_paths(frame(spark, paths), 0.3, 60.0, 4, 0.0).collect()}
+        share[n] = taken.value / n
+        assert [found[i] for i in range(n)] == lane_dbscan(paths, 0.3, 60.0, 4)
+    assert share[2000] < 1.5 * share[400] and share[2000] < 80
+
+
+@pytest.mark.parametrize("first,rounds", [(1, 2), (4, 8)])
+def test_cover(spark, first, rounds):
+    paths = make_paths()
+    found = pt.cover(pt.with_direction(frame(spark, paths)), 0.3, 60.0, first, rounds).collect()
+    assert sorted(r.path_id for r in found) == list(range(len(paths)))
+    for r in found:
+        assert r.gap == pytest.approx(plain_path_distance(paths[r.path_id], paths[r.pivot], 0.3), abs=1e-6) and r.gap <= 60.0
+    assert {r.pivot for r in found} <= {r.path_id for r in found if r.path_id == r.pivot}
+
+
+@pytest.mark.parametrize("witnesses,few", [(1, 0), (3, 100)])
+def test_clusters_with_few_witnesses(spark, monkeypatch, witnesses, few):
+    monkeypatch.setattr(pt, "WITNESSES", witnesses)
+    monkeypatch.setattr(pt, "FEW", few)
+    monkeypatch.setattr(pt, "BLOCK_ROWS", 3)
+    paths = make_paths(12, routes=2, per_route=25)
+    for eps, min_samples in ((70.0, 3), (110.0, 5)):
+        found = {r.path_id: r.label for r in pt.cluster_paths(frame(spark, paths), 0.3, eps, min_samples, 0.0).collect()}
+        assert [found[i] for i in range(len(paths))] == plain_dbscan(paths, 0.3, eps, min_samples)
