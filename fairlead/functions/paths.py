@@ -99,12 +99,10 @@ def _frechet_metres(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.
 frechet_metres = _frechet_metres.asNondeterministic()
 
 
-def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward clusters of weighted points by nearest-neighbour chains, cut at k clusters."""
-    n = len(points)
-    if k >= n:
-        return np.arange(n)
-    centre, weight = points.astype(float).copy(), weights.astype(float).copy()
+def ward_merges(centre: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
+    """(cost, a, b) of all Ward merges of weighted points by nearest-neighbour chains; a merged pair goes on as its lesser number."""
+    n = len(centre)
+    centre, weight = centre.astype(float).copy(), weight.astype(float).copy()
     alive, merges, chain = np.ones(n, dtype=bool), [], []
     for _ in range(n - 1):
         if not chain:
@@ -120,22 +118,12 @@ def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
                 break
             chain.append(near)
         a, b = min(at, near), max(at, near)
-        merges.append((cost[near], a, b))
+        merges.append((float(cost[near]), a, b))
         centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / (weight[a] + weight[b])
         weight[a] += weight[b]
         alive[b] = False
         del chain[-2:]
-    # The cut keeps the cheapest merges; a chain's merge order need not be the cost order.
-    parent = np.arange(n)
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - k]:
-        parent[root(b)] = root(a)
-    return np.array([root(i) for i in range(n)])
+    return merges
 
 
 def direction(lat: Column, lon: Column) -> Column:

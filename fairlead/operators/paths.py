@@ -17,9 +17,11 @@ from fairlead.functions import geo
 from fairlead.functions import paths as p
 from fairlead.operators.graph import connected_components
 from fairlead.operators.windows import position
-from fairlead.session import checkpoint
+from fairlead.session import checkpoint, stored
 
 BLOCK_ROWS = 2_000  # rows of one side of a block that meet in one task
+TREE_NODES = 500  # nodes of a Ward tree that one task finishes
+LEVELS, CELL_NODES = 24, 24  # grids tried for neighbours, and nodes a cell may have
 CELL_REACHES = 2  # width of a grid cell
 FEW = 100  # paths that need no further round of pivots
 WITNESSES = 32  # members of a ball tried before all others
@@ -363,32 +365,138 @@ def representative_path(paths: DataFrame, cluster: str = "label", epsilon: float
     alike. Centres follow the nearest position on the cluster's first path.
     """
     simple = simplify(paths, epsilon)
-    sizes = simple.groupBy(cluster).agg(F.avg(F.size("lat")).alias("mean_points"))
+    about = simple.groupBy(cluster).agg((F.ceil(F.avg(F.size("lat"))) + 1).cast("int").alias("k"))
     first = paths.groupBy(cluster).agg(F.min_by(F.struct("lat", "lon"), "path_id").alias("first"))
     points = simple.select(cluster, F.inline(F.arrays_zip("lat", "lon"))).groupBy(cluster, "lat", "lon").agg(
         F.count(F.lit(1)).alias("weight"))
-    about = sizes.join(first, cluster).select(
-        cluster, (F.ceil("mean_points") + 1).cast("int").alias("k"), F.col("first.lat").alias("first_lat"),
-        F.col("first.lon").alias("first_lon"))
-    schema = f"{cluster} long, seq int, lat double, lon double"
-
-    def centres(key, points_pdf: pd.DataFrame, about_pdf: pd.DataFrame) -> pd.DataFrame:
-        points_pdf = points_pdf.sort_values(["lat", "lon"])
-        xy, weight = points_pdf[["lat", "lon"]].to_numpy(), points_pdf["weight"].to_numpy()
-        head = about_pdf.iloc[0]
-        ref = np.column_stack([head["first_lat"], head["first_lon"]])
-        groups = p.ward_labels(xy, weight, int(head["k"]))
+    centres = ward_centres(points, about, cluster)
+    off = F.zip_with("first.lat", "first.lon", lambda a, o: F.hypot(a - F.col("lat"), o - F.col("lon")))
+    placed = centres.join(first, cluster).withColumn("_at", F.array_position(off, F.array_min(off)))
+    # A cluster has about as many centres as a path has points.
+    in_order = W.partitionBy(cluster).orderBy("_at", "node")
+    return placed.select(F.col(cluster).cast("long").alias(cluster), (F.row_number().over(in_order) - 1).alias("seq"), "lat", "lon")
+
+
+def ward_centres(points: DataFrame, about: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, node, lat, lon, weight): the centres left when a cluster's Ward tree is cut at its ``k``.
+
+    ``points`` are distinct (cluster, lat, lon) with weights. Ward's rule is reducible: mutual nearest
+    neighbours may merge in any order and give the same tree, so each round merges all of them at once. Once a
+    cluster has few nodes left, one task finishes its tree. Costs grow towards the root, so the k - 1
+    dearest merges are the top of the tree, and the children they part are the centres.
+    """
+    node = F.struct("lat", "lon")  # a node is named by its first point and told apart from its parents by its size
+    active = stored(points.select(cluster, node.alias("node"), F.lit(1).cast("long").alias("size"), "lat", "lon",
+                                      F.col("weight").cast("double").alias("weight")), "nodes")
+    leaves, merges, scale = active, [], None
+    while True:
+        large = active.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).filter(F.col("n") > TREE_NODES)
+        large = stored(large, "large")
+        if large.isEmpty():
+            break
+        many = active.join(large.select(cluster), cluster, "left_semi")
+        scale = _scales(many, large, scale, cluster)
+        merged = stored(_mutual_nearest(many, scale, cluster), "merges")
+        merges.append(merged)
+        # Where nothing was sure to be nearest, the cells must be wider.
+        waiting = scale.join(merged.groupBy(cluster).agg(F.count(F.lit(1)).alias("_met")), cluster, "left")
+        scale = stored(waiting.withColumn("level", F.col("level") + F.when(F.col("_met").isNull(), 2).otherwise(0)).drop("_met"), "scales")
+        gone = merged.select(cluster, F.explode(F.array("a.node", "b.node")).alias("node"))
+        active = stored(active.join(gone, [cluster, "node"], "left_anti").unionByName(_parents(merged, cluster)), "nodes")
+    merges.append(_finished(active, cluster))
+    tree = merges[0]
+    for more in merges[1:]:
+        tree = tree.unionByName(more)
+    tree = stored(tree, "tree")
+    from_top = W.partitionBy(cluster).orderBy(F.col("cost").desc(), F.col("size").desc(), "node")
+    most = about.agg(F.max("k")).first()[0] or 0
+    cut = stored(tree.withColumn("_n", F.row_number().over(from_top)).filter(F.col("_n") < most).join(
+        about, cluster).filter(F.col("_n") < F.col("k")), "cut")
+    parted = cut.select(cluster, F.explode(F.array("a", "b")).alias("child")).select(cluster, "child.*")
+    below = parted.join(cut.select(cluster, "node", "size"), [cluster, "node", "size"], "left_anti")
+    # A tree that is not cut is one centre; so is a lone point.
+    whole = leaves.join(cut.select(cluster).distinct(), cluster, "left_anti").groupBy(cluster).agg(
+        F.min("node").alias("node"), F.sum("size").alias("size"), (F.sum(F.col("lat") * F.col("weight")) / F.sum("weight")).alias("lat"),
+        (F.sum(F.col("lon") * F.col("weight")) / F.sum("weight")).alias("lon"), F.sum("weight").alias("weight"))
+    return below.unionByName(whole).select(cluster, "node", "lat", "lon", "weight")
+
+
+def _scales(active: DataFrame, large: DataFrame, before: DataFrame | None, cluster: str) -> DataFrame:
+    """(cluster, lat0, lon0, unit, level, least): the widest grid, in powers of two, that has no crowded cell."""
+    if before is None:
+        reach = F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon"))
+        start = active.groupBy(cluster).agg(F.min("lat").alias("lat0"), F.min("lon").alias("lon0"),
+                                            (F.greatest(reach, F.lit(1e-12)) / 2 ** LEVELS).alias("unit")).withColumn("level", F.lit(0))
+        tried = LEVELS
+    else:
+        start, tried = before.drop("least"), 4
+    start = start.join(large.select(cluster, "least"), cluster)
+    steps = F.sequence(F.col("level"), F.least(F.col("level") + tried, F.greatest(F.col("level"), F.lit(LEVELS))))
+    side = F.col("unit") * F.pow(F.lit(2.0), F.col("_level"))
+    cells = active.join(start, cluster).withColumn("_level", F.explode(steps)).groupBy(
+        cluster, "_level", F.floor((F.col("lat") - F.col("lat0")) / side).alias("x"), F.floor((F.col("lon") - F.col("lon0")) / side).alias("y"))
+    fullest = cells.agg(F.count(F.lit(1)).alias("n")).groupBy(cluster, "_level").agg(F.max("n").alias("n"))
+    widest = fullest.filter(F.col("n") <= CELL_NODES).groupBy(cluster).agg(F.max("_level").alias("_level"))
+    return stored(start.join(widest, cluster, "left").withColumn("level", F.coalesce("_level", "level")).drop("_level"), "scales")
+
+
+def _mutual_nearest(active: DataFrame, scale: DataFrame, cluster: str) -> DataFrame:
+    """Merges of mutual nearest neighbours: (cluster, cost, size, node, a, b) with the children's centres.
+
+    Neighbours are looked for in the cells around. What lies farther is at least a cell away and costs
+    at least h(weight, least weight) * side^2, so a best cost below that is the best of all; others wait.
+    Pairs of equal cost go by their names, the same from both sides.
+    """
+    side = F.col("unit") * F.pow(F.lit(2.0), F.col("level"))
+    placed = active.join(scale, cluster).withColumns({
+        "x": F.floor((F.col("lat") - F.col("lat0")) / side), "y": F.floor((F.col("lon") - F.col("lon0")) / side),
+        "sure": F.col("weight") * F.col("least") / (F.col("weight") + F.col("least")) * side * side})
+    item = F.struct("node", "size", "lat", "lon", "weight")
+    own = placed.select(cluster, "x", "y", item.alias("b"))
+    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    visits = placed.select(cluster, item.alias("a"), "sure", "x", "y").withColumn("_dx", F.explode(around)).withColumn(
+        "_dy", F.explode(around)).withColumns({"x": F.col("x") + F.col("_dx"), "y": F.col("y") + F.col("_dy")})
+    met = visits.join(own, [cluster, "x", "y"]).filter(F.col("a.node") != F.col("b.node"))
+    gap = lambda c: (F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}"))
+    cost = F.col("a.weight") * F.col("b.weight") / (F.col("a.weight") + F.col("b.weight")) * (gap("lat") + gap("lon"))
+    rank = F.struct(cost.alias("cost"), F.least("a.node", "b.node").alias("low"), F.greatest("a.node", "b.node").alias("high"))
+    best = met.withColumn("rank", rank).groupBy(cluster, F.col("a.node").alias("node")).agg(
+        F.min_by(F.struct("rank", "a", "b", "sure"), "rank").alias("best")).select(cluster, "best.*")
+    best = best.filter(F.col("rank.cost") <= F.col("sure"))
+    pairs = best.groupBy(cluster, "rank").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("a", "a.node").alias("a"), F.max_by("a", "a.node").alias("b")).filter("n = 2")
+    return pairs.select(cluster, F.col("rank.cost").alias("cost"), (F.col("a.size") + F.col("b.size")).alias("size"),
+                        F.col("a.node").alias("node"), "a", "b")
+
+
+def _parents(merged: DataFrame, cluster: str) -> DataFrame:
+    weight = F.col("a.weight") + F.col("b.weight")
+    mean = lambda c: (F.col(f"a.{c}") * F.col("a.weight") + F.col(f"b.{c}") * F.col("b.weight")) / weight
+    return merged.select(cluster, "node", "size", mean("lat").alias("lat"), mean("lon").alias("lon"), weight.alias("weight"))
+
+
+def _finished(active: DataFrame, cluster: str) -> DataFrame:
+    """The rest of each tree, from at most ``TREE_NODES`` nodes, in one task per cluster."""
+    child = "struct<node: struct<lat: double, lon: double>, size: bigint, lat: double, lon: double, weight: double>"
+    schema = f"{cluster} {dict(active.dtypes)[cluster]}, cost double, size long, node struct<lat: double, lon: double>, a {child}, b {child}"
+    flat = active.select(cluster, F.col("node.lat").alias("node_lat"), F.col("node.lon").alias("node_lon"), "size", "lat", "lon", "weight")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node_lat", "node_lon"])
+        name = list(zip(pdf["node_lat"], pdf["node_lon"]))
+        size, weight = pdf["size"].tolist(), pdf["weight"].tolist()
+        centre = pdf[["lat", "lon"]].to_numpy()
+        told = lambda i: {"node": dict(zip(("lat", "lon"), name[i])), "size": size[i], "lat": float(centre[i][0]),
+                          "lon": float(centre[i][1]), "weight": weight[i]}
         rows = []
-        for group in np.unique(groups):
-            chosen = groups == group
-            centre = np.average(xy[chosen], axis=0, weights=weight[chosen])
-            rows.append((int(np.argmin(np.hypot(*(ref - centre).T))), centre[0], centre[1]))
-        rows.sort(key=lambda r: r[0])
-        return pd.DataFrame([(key[0], i, lat, lon) for i, (_, lat, lon) in enumerate(rows)],
-                            columns=[cluster, "seq", "lat", "lon"])
-
-    about = about.withColumnRenamed(cluster, "_cluster")
-    return points.groupBy(cluster).cogroup(about.groupBy("_cluster")).applyInPandas(centres, schema)
+        for cost, a, b in p.ward_merges(centre, pdf["weight"].to_numpy()):
+            left, right = told(a), told(b)
+            centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / (weight[a] + weight[b])
+            size[a], weight[a] = size[a] + size[b], weight[a] + weight[b]
+            rows.append((pdf[cluster].iloc[0], cost, size[a], left["node"], left, right))
+        return pd.DataFrame(rows, columns=[cluster, "cost", "size", "node", "a", "b"])
+
+    return flat.groupBy(cluster).applyInPandas(grow, schema)
 
 
 def map_rows(paths: DataFrame, label: str | None = None) -> DataFrame:

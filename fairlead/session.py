@@ -53,6 +53,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage through a table in the shared folder.
+
+    For rounds that build on each other: a checkpoint keeps the constraints of its plan, which joins
+    multiply from round to round; a table keeps none.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core for work that is heavy per row, when a table has too few splits.
 

@@ -151,13 +151,41 @@ def test_components_of_a_long_chain(spark):
     assert {tuple(r) for r in found.groupBy("component").count().collect()} == {(0, 201), (201, 1), (202, 1)}
 
 
-def test_ward_cut():
-    points = np.array([[0.0, 0.0], [0.0, 1.0], [10.0, 0.0], [10.0, 1.0], [30.0, 0.0]])
-    labels = p.ward_labels(points, np.ones(5), 3)
-    assert labels[0] == labels[1] and labels[2] == labels[3] and len(set(labels)) == 3
-    # A heavy pair is dearer to join than a light one at the same distance.
-    labels = p.ward_labels(np.array([[0.0, 0.0], [0.0, 2.0], [9.0, 0.0], [9.0, 2.0]]), np.array([9, 9, 1, 1]), 3)
-    assert labels[2] == labels[3] and labels[0] != labels[1]
+def greedy_ward(points, weights, k):
+    """Centres after merging the cheapest pair until k are left."""
+    nodes = [(np.array(x, float), float(w)) for x, w in zip(points, weights)]
+    cost = lambda a, b: a[1] * b[1] / (a[1] + b[1]) * ((a[0] - b[0]) ** 2).sum()
+    while len(nodes) > k:
+        _, i, j = min((cost(a, b), i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]))
+        (x, v), (y, w) = nodes[i], nodes[j]
+        nodes = [n for m, n in enumerate(nodes) if m not in (i, j)] + [((x * v + y * w) / (v + w), v + w)]
+    return sorted((*map(float, x), w) for x, w in nodes)
+
+
+def centres(spark, groups, monkeypatch, nodes):
+    """Centres per cluster; groups are (points, weights, k)."""
+    monkeypatch.setattr(pt, "TREE_NODES", nodes)
+    rows = [(c, float(x[0]), float(x[1]), int(w)) for c, (points, weights, _) in enumerate(groups) for x, w in zip(points, weights)]
+    points = spark.createDataFrame(rows, "label long, lat double, lon double, weight long").repartition(3)
+    about = spark.createDataFrame([(c, k) for c, (_, _, k) in enumerate(groups)], "label long, k int")
+    found = {c: [] for c in range(len(groups))}
+    for r in pt.ward_centres(points, about, "label").collect():
+        found[r.label].append((r.lat, r.lon, r.weight))
+    return [sorted(x) for x in found.values()]
+
+
+@pytest.mark.parametrize("nodes", [4, 500])
+def test_ward_cut(spark, monkeypatch, nodes):
+    rng = np.random.default_rng(2)
+    heaps = np.concatenate([rng.normal(c, s, (25, 2)) for c, s in (((0, 0), 0.001), ((0.1, 0.3), 0.05), ((2, 2), 0.3))])
+    groups = [
+        (np.array([[0.0, 0.0], [0.0, 1.0], [10.0, 0.0], [10.0, 1.0], [30.0, 0.0]]), np.ones(5), 3),
+        # A heavy pair is dearer to join than a light one at the same distance.
+        (np.array([[0.0, 0.0], [0.0, 2.0], [9.0, 0.0], [9.0, 2.0]]), np.array([9, 9, 1, 1]), 3),
+        (heaps, rng.integers(1, 40, len(heaps)), 6), (heaps[:30] + 50, np.ones(30), 1), (heaps[:1], np.array([4]), 3),
+        (heaps[:4], np.ones(4), 9)]
+    for found, group in zip(centres(spark, groups, monkeypatch, nodes), groups):
+        assert np.allclose(found, greedy_ward(*group), atol=1e-9)
 
 
 def test_representative_path(spark):
