@@ -1,7 +1,7 @@
-"""Exact ranks and quantiles over groups of any size.
+"""Exact ranks and quantiles over groups of any size and values of any unit.
 
 Values are counted first, so ties and hot values collapse before the shuffle;
-cumulative counts then run per value bucket with small per-bucket totals.
+cumulative counts are running sums over sampled ranges of the values of a large key.
 """
 
 from __future__ import annotations
@@ -10,28 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fairlead.operators import scan
+
 
 def value_counts(df: DataFrame, by: list[str], value: str, *extra: Column) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_equal"), *extra)
 
 
-def cumulative(counts: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
-    """Add ``n_below`` (rows with smaller values) and ``n_total`` to value counts."""
-    counts = counts.withColumn("_bucket", F.floor(F.col(value) / F.lit(width)))
-    within = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        counts.groupBy(*by, "_bucket").agg(F.sum("n_equal").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("n_total", F.sum("_n").over(W.partitionBy(*by)))
-        .drop("_n")
-    )
-    ranked = counts.withColumn("_inside", F.coalesce(F.sum("n_equal").over(within), F.lit(0)))
-    return (
-        ranked.join(totals, [*by, "_bucket"])
-        .withColumn("n_below", F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_inside", "_offset")
-    )
+def cumulative(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Add ``n_below`` (rows with smaller values) and ``n_total`` to value counts.
+
+    The different values of a key are ranked in one task while they fit it, else dealt to ranges whose
+    splitters are sampled from the values themselves, so neither unit nor spread matters.
+    """
+    totals = counts.groupBy(*[F.col(k).alias(f"_of_{k}") for k in by]).agg(F.sum("n_equal").alias("n_total"))
+    ranked = scan.by_ranges(counts, by, [value], lambda rows, ranges: scan.running(
+        rows, ranges, by, [value], F.col("n_equal"), "n_below"))
+    return ranked.withColumn("n_below", F.col("n_below") - F.col("n_equal")).join(
+        totals, scan.same_key(by, lambda k: f"_of_{k}")).drop(*[f"_of_{k}" for k in by])
 
 
 def avg_rank(df: DataFrame, block: list[str], value: str, out: str = "rank") -> DataFrame:
@@ -43,9 +39,9 @@ def avg_rank(df: DataFrame, block: list[str], value: str, out: str = "rank") ->
     )
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], width: float = 0.001) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, without holding a group in memory."""
-    ranked = cumulative(value_counts(df, by, value), by, value, width)
+    ranked = cumulative(value_counts(df, by, value), by, value)
     aggs = []
     for name, q in points.items():
         place = (F.col("n_total") - 1) * F.lit(q)
@@ -60,18 +56,18 @@ def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]
     return out
 
 
-def describe(df: DataFrame, by: list[str], value: str, width: float = 0.001) -> DataFrame:
+def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, exact median and population deviation per key."""
     moments = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    return moments.join(quantiles(df, by, value, {"median": 0.5}, width), by).select(
+    return moments.join(quantiles(df, by, value, {"median": 0.5}), by).select(
         *by, "n", "mean", "median", "std"
     )
 
 
-def boxplot(df: DataFrame, by: list[str], value: str, width: float = 0.001) -> DataFrame:
+def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and the number of outliers."""
     counts = value_counts(df, by, value)
-    box = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, width).withColumn(
+    box = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumn(
         "_reach", 1.5 * (F.col("q3") - F.col("q1"))
     )
     inside = (F.col(value) >= F.col("q1") - F.col("_reach")) & (F.col(value) <= F.col("q3") + F.col("_reach"))
@@ -82,9 +78,9 @@ def boxplot(df: DataFrame, by: list[str], value: str, width: float = 0.001) -> D
     )
 
 
-def boxplot_outliers(df: DataFrame, by: list[str], value: str, width: float = 0.001) -> DataFrame:
+def boxplot_outliers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The outlying values themselves, with their counts."""
-    box = quantiles(df, by, value, {"q1": 0.25, "q3": 0.75}, width)
+    box = quantiles(df, by, value, {"q1": 0.25, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return value_counts(df, by, value).join(box, by).filter(
         (F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)

@@ -97,11 +97,11 @@ def nemenyi(ranks: DataFrame, treatment: str, by: str = "metric") -> DataFrame:
 
 
 def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str, by: str | None = None,
-                   alpha: float = 0.05, width: float = 0.001) -> DataFrame:
+                   alpha: float = 0.05, exact_up_to: int = 50) -> DataFrame:
     """Signed-rank test of every treatment pair over complete blocks, Bonferroni-adjusted.
 
     Equal pairs drop out. Differences are rounded to 12 places, so that values equal
-    but for summation order tie. ``width`` is the bucket of the distributed ranking.
+    but for summation order tie. Up to ``exact_up_to`` differences without ties or zeros the p-value is exact.
     """
     scores, by = _by(scores, by)
     full = complete_scores(scores, block, treatment, value, [by])
@@ -117,7 +117,7 @@ def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str, by
     counts = diffs.filter(F.col("d") != 0).groupBy(*keys, F.abs("d").alias("size")).agg(
         F.count(F.lit(1)).alias("n_equal"), F.count_if(F.col("d") > 0).alias("n_up")
     )
-    ranked = cumulative(counts, keys, "size", width).withColumn(
+    ranked = cumulative(counts, keys, "size").withColumn(
         "rank", F.col("n_below") + (F.col("n_equal") + 1) / 2
     )
     sums = ranked.groupBy(*keys).agg(
@@ -128,7 +128,7 @@ def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str, by
     )
     n_pairs = zeros.groupBy(by).agg(F.count(F.lit(1)).alias("_pairs"))  # a row per metric
     out = zeros.join(sums, keys, "left").join(F.broadcast(n_pairs), by).fillna(0, ["up", "down", "n", "ties"])
-    exact = (F.col("n") <= 50) & (F.col("ties") == 0) & (F.col("n_zero") == 0)
+    exact = (F.col("n") <= exact_up_to) & (F.col("ties") == 0) & (F.col("n_zero") == 0)
     p = _signed_rank_p(F.col("w"), F.col("n"), F.col("ties"), exact)
     out = out.withColumn("w", F.least("up", "down").cast("double")).withColumn("p_value", p)
     adjusted = F.least(F.col("p_value") * F.col("_pairs"), F.lit(1.0))

@@ -9,6 +9,7 @@ from fairlead.functions import text as tx
 from fairlead.operators import scoring, warehouse, windows
 from fairlead.plans import bindings as b
 from fairlead.plans.registry import query
+from fairlead.session import scratch
 from fairlead.sources import sinks, store as st
 
 W = f"WITH {b.ANSWERS_SQL}"
@@ -311,24 +312,39 @@ def _scored_rows(spark, d):
             (F.col("n_chars") + 1).cast("double").alias("total_tokens"))).alias("token_usage"))
 
 
-@query("S-14", """SELECT 'query_result' AS name, count(*) FILTER (doc_id % 5 <> 0) AS n, 0 AS total FROM documents
-  UNION ALL SELECT 'query_evaluation', count(*), 0 FROM documents
-  UNION ALL SELECT 'evaluation_metrics', count(*), coalesce(sum(quality), 0) FROM documents LEFT JOIN labels USING (doc_id)
-  UNION ALL SELECT 'token_usage', count(*) FILTER (doc_id % 2 = 0), sum(CASE WHEN doc_id % 2 = 0 THEN n_chars + 1 END) FROM documents""")
+_ID = "md5('{}/' || doc_id)"
+_RESULT_ID = f"CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS VARCHAR) ELSE {_ID.format('query_result')} END AS query_result_id"
+_ANSWERS = f"""SELECT 'query_result' AS name, {_ID.format('query_result')} AS id, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS llm_model_id,
+    lang AS query, text AS direct_response, text AS full_response, '[]' AS sql_queries, CAST(doc_id % 20 AS INTEGER) AS test_no,
+    '[]' AS tool_calls FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL BY NAME SELECT 'token_usage' AS name, {_ID.format('token_usage')} AS id, {_RESULT_ID}, CAST(n_chars AS DOUBLE) AS prompt_tokens,
+    1.0::DOUBLE AS completion_tokens, CAST(n_chars + 1 AS DOUBLE) AS total_tokens FROM documents WHERE doc_id % 2 = 0"""
+_ROWS = ("name", "id", "query_result_id", "llm_model_id", "query", "direct_response", "full_response", "sql_queries", "test_no", "tool_calls",
+         "prompt_tokens", "completion_tokens", "total_tokens")
+
+
+def _all_rows(tables, names):
+    """The rows of all tables under each other, each with the name of its table."""
+    return warehouse.union_outcomes(*[df.withColumn("name", F.lit(n)) for n, df in tables.items() if n in names])
+
+
+@query("S-14", f"""{_ANSWERS}
+  UNION ALL BY NAME SELECT 'evaluation_metrics' AS name, {_ID.format('evaluation_metrics')} AS id, CAST(quality AS DOUBLE) AS factual_correctness
+    FROM documents LEFT JOIN labels USING (doc_id)
+  UNION ALL BY NAME SELECT 'query_evaluation' AS name, {_ID.format('query_evaluation')} AS id, {_RESULT_ID},
+    {_ID.format('evaluation_metrics')} AS evaluation_metrics_id, '[]' AS retrieved_contexts, 't' AS ground_truth FROM documents""")
 def fan_out(spark, d):
     parts = st.fan_out(_scored_rows(spark, d), "result_key")
-    totals = {"evaluation_metrics": F.sum("factual_correctness"), "token_usage": F.sum("total_tokens")}
-    out = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(totals.get(n, F.lit(0.0)), F.lit(0.0)).cast("double").alias("total"))
-           .select(F.lit(n).alias("name"), "n", "total") for n, df in parts.items()]
-    return warehouse.union_outcomes(*out)
+    return _all_rows(parts, parts).select(*_ROWS, "evaluation_metrics_id", "retrieved_contexts", "ground_truth", "factual_correctness")
 
 
-@query("S-15", """SELECT 'query_result' AS name, count(*) FILTER (doc_id % 5 <> 0) AS n FROM documents
-  UNION ALL SELECT 'token_usage', count(*) FILTER (doc_id % 2 = 0) FROM documents""")
+# Appended as a batch and again as the same one, and read back from the store.
+@query("S-15", _ANSWERS)
 def fan_out_plain(spark, d):
-    parts = st.fan_out(_scored_rows(spark, d), "result_key", evaluated=False)
-    return warehouse.union_outcomes(*[
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, df in parts.items()])
+    parts, folder = st.fan_out(_scored_rows(spark, d), "result_key", evaluated=False), scratch(spark, "store")
+    for _ in range(2):
+        st.append(parts, folder)
+    return _all_rows(st.read_store(spark, folder), ("query_result", "token_usage")).select(*_ROWS)
 
 
 @query("S-13", """SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS id, source AS name FROM documents

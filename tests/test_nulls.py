@@ -72,3 +72,31 @@ def test_appending_twice_changes_nothing(spark, tmp_path):
     for _ in range(2):
         store.append({"token_usage": rows}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/token_usage").count() == 2
+
+
+def test_a_killed_append_leaves_whole_rows_once(spark, tmp_path, monkeypatch):
+    """Killed between tables, a job shows nothing; run again it shows all rows once, beside other batches."""
+    from fairlead.sources import store
+
+    usage = lambda *ids: spark.createDataFrame([(i, "r", 1.0, 2.0, 3.0) for i in ids],
+                                               "id string, query_result_id string, prompt_tokens double, completion_tokens double, total_tokens double")
+    models = spark.createDataFrame([(3, "m", "open source")], "id int, name string, type string")
+    folder, publish = str(tmp_path), store._publish
+    count = lambda: {n: df.count() for n, df in store.read_store(spark, folder).items() if n in ("llm_models", "token_usage")}
+
+    def killed(*_):
+        raise RuntimeError("killed")
+    monkeypatch.setattr(store, "_publish", killed)
+    with pytest.raises(RuntimeError):
+        store.append({"llm_models": models, "token_usage": usage("a", "b")}, folder, "job 1")
+    assert count() == {"llm_models": 0, "token_usage": 0}
+    monkeypatch.setattr(store, "_publish", publish)
+    for _ in range(2):
+        store.append({"llm_models": models, "token_usage": usage("a", "b", "b")}, folder, "job 1")
+    assert count() == {"llm_models": 1, "token_usage": 2}
+    first = store.append({"token_usage": usage("c")}, folder)
+    assert first == store.append({"token_usage": usage("c")}, folder) != store.append({"token_usage": usage("d")}, folder)
+    assert count() == {"llm_models": 1, "token_usage": 4}
+    publish(spark, f"{folder}/_commits/{first}.json", "another writer's")  # the first commit stands
+    assert count() == {"llm_models": 1, "token_usage": 4}
+    assert store.committed(spark, folder).count() == 3

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,7 +162,7 @@ def test_exact_quantiles_match_numpy(spark):
     import numpy as np
     values = np.random.default_rng(1).integers(0, 50, 401) / 49
     rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0)], "g string, v double")
-    found = {r.g: r for r in ranks.quantiles(rows, ["g"], "v", {"q1": 0.25, "q2": 0.5}, width=0.1).collect()}
+    found = {r.g: r for r in ranks.quantiles(rows, ["g"], "v", {"q1": 0.25, "q2": 0.5}).collect()}
     assert found["a"].q1 == pytest.approx(np.quantile(values, 0.25)) and found["a"].q2 == pytest.approx(np.median(values))
     assert found["b"].q1 == 1.0
 
@@ -180,3 +181,18 @@ def test_enrichment_fills_both_directions(spark):
     assert found[1].start_time_outbound == T0 + hour and found[1].start_time_inbound == at(200) + hour
     assert found[1].fuelcons_outbound_l == pytest.approx(3 * 36 * 5 / 3600)
     assert found[2].start_time_outbound is None and found[3].distance_inbound_nm is None
+
+
+@pytest.mark.parametrize("unit", [1e-9, 1.0, 1e9])
+@pytest.mark.parametrize("task_rows", [5, 500_000])
+def test_quantiles_of_any_unit(spark, unit, task_rows, monkeypatch):
+    """Neither the unit of the values nor a key with most of them matters."""
+    monkeypatch.setattr(scan, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(6)
+    values = {"hot": rng.gamma(0.3, 5, 300), "a": rng.integers(0, 4, 40).astype(float), "one": np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v) * unit) for g, vs in values.items() for v in vs], "g string, v double").repartition(4)
+    found = {r.g: r for r in ranks.quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5, "q9": 0.9}).collect()}
+    box = {r.g: r for r in ranks.boxplot(df, ["g"], "v").collect()}
+    for g, vs in values.items():
+        want = np.quantile(vs * unit, [0.25, 0.5, 0.9, 0.75])
+        assert [found[g].q1, found[g].median, found[g].q9, box[g].q3] == pytest.approx(list(want), rel=1e-9) and found[g].n == len(vs)
