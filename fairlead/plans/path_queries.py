@@ -20,13 +20,54 @@ def trip_paths(spark, d):
     return pt.as_arrays(keyed)
 
 
-@query("G-7")
+def _metres(a_lat, a_lon, z_lat, z_lon):
+    return b.HAVERSINE_SQL.format(lat=z_lat, lon=z_lon, plat=a_lat, plon=a_lon)
+
+
+def _course(z):
+    """Course from the first point of a span to point z."""
+    turn = f"radians(lo[{z}] - lo[a])"
+    return (f"atan2(sin({turn}) * cos(radians(la[{z}])), cos(radians(la[a])) * sin(radians(la[{z}])) "
+            f"- sin(radians(la[a])) * cos(radians(la[{z}])) * cos({turn}))")
+
+
+# Simplified paths in SQL: a span with a point farther than the limit off its great circle is split there.
+SIMPLE = f"""WITH RECURSIVE {b.segments_sql("vessel_id", 21600)},
+  raw AS (SELECT min(event_id) AS path_id, list(lat ORDER BY time) AS la, list(lon ORDER BY time) AS lo
+    FROM segments GROUP BY vessel_id, trip_no HAVING count(*) > 1),
+  spans AS (
+    SELECT path_id, la, lo, 1::BIGINT AS a, len(la)::BIGINT AS b FROM raw
+    UNION ALL SELECT path_id, la, lo, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (
+      SELECT path_id, la, lo, a, b, a + list_position(far, list_max(far)) AS m, list_max(far) AS most FROM (
+        SELECT *, list_transform(range(a + 1, b), lambda i: abs(asin(sin({_metres("la[a]", "lo[a]", "la[i]", "lo[i]")} / 6371000)
+          * sin({_course("b")} - {_course("i")}))) * 6371000) AS far FROM spans WHERE b - a >= 2)) WHERE most > 1000),
+  kept AS (SELECT DISTINCT path_id, i FROM (SELECT path_id, unnest([a, b]) AS i FROM spans)),
+  simple AS (SELECT path_id, list(la[i] ORDER BY i) AS la, list(lo[i] ORDER BY i) AS lo FROM kept JOIN raw USING (path_id) GROUP BY path_id)"""
+
+# Their distances: the table of the discrete Frechet distance, one cell per round for all pairs whose ends are near.
+DISTANCES = f"""{SIMPLE},
+  turned AS (SELECT *, atan2(lo[-1] - lo[1], la[-1] - la[1]) AS dir FROM simple),
+  near AS (SELECT x.path_id AS i, y.path_id AS j, x.la AS la1, x.lo AS lo1, y.la AS la2, y.lo AS lo2, len(x.la) AS n1, len(y.la) AS n2,
+      abs(x.dir - y.dir) AS turn FROM turned x JOIN turned y ON x.path_id < y.path_id
+    WHERE {_metres("x.la[1]", "x.lo[1]", "y.la[1]", "y.lo[1]")} <= {REACH / (1 - ALPHA) + 1}
+      AND {_metres("x.la[-1]", "x.lo[-1]", "y.la[-1]", "y.lo[-1]")} <= {REACH / (1 - ALPHA) + 1}),
+  cells AS (
+    SELECT *, 0::BIGINT AS k, []::DOUBLE[] AS f FROM near
+    UNION ALL SELECT i, j, la1, lo1, la2, lo2, n1, n2, turn, k + 1, list_append(f, greatest(
+      {_metres("la1[k // n2 + 1]", "lo1[k // n2 + 1]", "la2[k % n2 + 1]", "lo2[k % n2 + 1]")},
+      CASE WHEN k = 0 THEN 0 WHEN k < n2 THEN f[k] WHEN k % n2 = 0 THEN f[k - n2 + 1]
+        ELSE least(f[k], f[k - n2 + 1], f[k - n2]) END)) FROM cells WHERE k < n1 * n2),
+  distances AS (SELECT i, j, {1 - ALPHA} * f[k] + {ALPHA} * turn AS dist FROM cells WHERE k = n1 * n2)"""
+
+
+@query("G-7", f"""{SIMPLE} SELECT path_id, len(la) AS n_points, round(list_sum(list_transform(range(1, len(la)),
+    lambda i: {_metres("la[i]", "lo[i]", "la[i + 1]", "lo[i + 1]")})), 4) AS metres FROM simple""", digits=4)
 def simplify(spark, d):
     rows = pt.simplify(trip_paths(spark, d), 1_000.0)
     return rows.select("path_id", F.size("lat").alias("n_points"), geo.path_length(F.arrays_zip("lat", "lon")).alias("metres"))
 
 
-@query("G-8")
+@query("G-8", f"{DISTANCES} SELECT i, j, round(dist, 4) AS dist FROM distances WHERE dist <= {REACH}", digits=4)
 def path_distances(spark, d):
     return pt.path_distances(pt.simplify(trip_paths(spark, d), 1_000.0), ALPHA, REACH)
 
@@ -48,7 +89,13 @@ def end_distances(spark, d):
     return pt.path_distances(ends, ALPHA, REACH)
 
 
-@query("G-9")
+# With two samples to a core every path that has a neighbour is one, and clusters are the components of the near pairs.
+@query("G-9", f"""{DISTANCES},
+  links AS (SELECT i AS a, j AS b FROM distances WHERE dist <= {EPS} UNION ALL SELECT j, i FROM distances WHERE dist <= {EPS}),
+  reached AS (SELECT DISTINCT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node),
+  parts AS (SELECT node, min(root) AS part FROM reached GROUP BY node)
+  SELECT path_id, coalesce(dense_rank() OVER (PARTITION BY part IS NULL ORDER BY part) - 1 + CASE WHEN part IS NULL THEN -1 ELSE 0 END, -1) AS label
+  FROM raw LEFT JOIN parts ON path_id = node""")
 def cluster_paths(spark, d):
     return pt.cluster_paths(trip_paths(spark, d), ALPHA, EPS, 2, 1_000.0)
 

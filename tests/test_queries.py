@@ -12,7 +12,7 @@ from check import TABLES, rows
 
 FOLDER = "/root/testdata/sf0.001"
 # Compared with plain loops in the geometry tests instead.
-CLUSTERING = {"G-9", "G-10"}
+CLUSTERING = {"G-10"}
 needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the driver tables are not here")
 
 
