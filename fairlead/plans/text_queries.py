@@ -31,6 +31,13 @@ def factual(spark, d):
     return rows.select("query_result_id", "factual_correctness")
 
 
+# Words by plain string functions: other characters become blanks, and the pieces between blanks are kept.
+_BLANKS = "translate({0}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')"
+_SPLIT = "list_filter(string_split({0}, ' '), lambda x: x <> '')"
+_BY_SPACE = _SPLIT.format(_BLANKS)
+_ALNUM = _SPLIT.format("regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')")
+
+
 def _grams(source, key):
     """Word n-grams of orders 1 to 4 by position, from rows (key, item_id, t)."""
     lead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in (1, 2, 3))
@@ -38,15 +45,15 @@ def _grams(source, key):
     for n in (1, 2, 3, 4):
         parts.append(f"SELECT {key}, item_id, {n} AS n, {text} AS g FROM {source}_p WHERE {text} IS NOT NULL")
         text += f" || ' ' || w{n}"
-    return f"""{source}_w AS (SELECT {key}, item_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM {source}),
+    return f"""{source}_w AS (SELECT {key}, item_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM {source}),
   {source}_p AS (SELECT {key}, item_id, w, {lead} FROM {source}_w WINDOW o AS (PARTITION BY {key} ORDER BY i)),
   {source}_g AS (SELECT {key}, item_id, n, g, count(*) AS c FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL)"""
 
 
 def _bleu_ctes(smooth):
     zero = "0.1 / size" if smooth else "2.2250738585072014e-308"
-    return rf"""said AS (SELECT query_result_id AS id, item_id, regexp_extract_all(response, '[^ \t\n\r\f\v]+') AS t FROM answers),
-  truth AS (SELECT item_id AS truth_id, item_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS t FROM benchmark),
+    return f"""said AS (SELECT query_result_id AS id, item_id, {_BY_SPACE.format("response")} AS t FROM answers),
+  truth AS (SELECT item_id AS truth_id, item_id, {_BY_SPACE.format("text")} AS t FROM benchmark),
   {_grams("said", "id")}, {_grams("truth", "truth_id")},
   orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
   hits AS (SELECT id, n, sum(least(s.c, r.c)) AS h FROM said_g s JOIN truth_g r USING (item_id, n, g) GROUP BY 1, 2),
@@ -73,12 +80,12 @@ SIMILAR_CTES = rf"""plain AS (SELECT query_result_id, {_ONE_BYTE.format("respons
       ELSE round(1 - levenshtein(a, b) / greatest(strlen(a), strlen(b)), 6) END AS non_llm_string_similarity FROM plain)"""
 
 # A row of the common-subsequence table is one number, a bit per reference word.
-ROUGE_CTES = r"""rt AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark),
-  rw AS (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i FROM rt),
+ROUGE_CTES = f"""rt AS (SELECT item_id, {_ALNUM.format("text")} AS t FROM benchmark),
+  rw AS (SELECT item_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM rt),
   bits AS (SELECT item_id, w, sum(CASE WHEN i > 120 THEN error('too many words')::HUGEINT ELSE 1::HUGEINT << i::INT END)::HUGEINT AS m
     FROM rw GROUP BY ALL),
-  st AS (SELECT query_result_id AS id, item_id, regexp_extract_all(lower(response), '[a-z0-9]+') AS t FROM answers),
-  sw AS (SELECT id, item_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM st),
+  st AS (SELECT query_result_id AS id, item_id, {_ALNUM.format("response")} AS t FROM answers),
+  sw AS (SELECT id, item_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM st),
   met AS (SELECT id, list(m ORDER BY i) AS ms FROM sw JOIN bits USING (item_id, w) GROUP BY id),
   filled AS (SELECT st.id, len(st.t) AS said, len(rt.t) AS truth, (1::HUGEINT << len(rt.t)::INT) - 1 AS everything, coalesce(ms, []) AS ms
     FROM st JOIN rt USING (item_id) LEFT JOIN met ON met.id = st.id),
