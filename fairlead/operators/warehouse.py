@@ -375,25 +375,40 @@ FOREIGN_KEYS = (
 )
 
 
+MODEL_TYPES = ("proprietary", "open source")  # fixed values
+
+
 def constraint_audit(store: Store) -> DataFrame:
-    """Violations of keys, uniqueness, the type domain and references, one row per constraint."""
-    def tally(rows: DataFrame, table: str, rule: str) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations")
-
-    def repeated(df: DataFrame, col: str) -> DataFrame:
-        return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(col).isNull())
-
-    parts = [tally(repeated(df, "id"), name, "primary key id") for name, df in store.items()]
-    models_ = store["llm_models"]
-    parts.append(tally(repeated(models_, "name"), "llm_models", "unique name"))
-    allowed = F.coalesce(F.col("type").isin("proprietary", "open source"), F.lit(True))
-    parts.append(tally(models_.filter(~allowed), "llm_models", "type domain"))
-    for child, column, parent in FOREIGN_KEYS:
-        keys = store[parent].select(F.col("id").alias(column))
-        orphans = store[child].filter(F.col(column).isNotNull()).select(column).join(keys, column, "left_anti")
-        parts.append(tally(orphans, child, f"foreign key {column}"))
-    return reduce(DataFrame.unionByName, parts)
+    """Violations of keys, uniqueness, the type domain and references, one row per constraint.
+
+    Every table is read once. Its rows become marks (space, value, role): a key marks its own space, a reference
+    the space of its parent. Marks are counted per value before they move, so a value that most rows
+    refer to is one row per task, and all rules are read off the counts of one grouping.
+    """
+    def marks(name: str, df: DataFrame) -> DataFrame:
+        mark = lambda space, col, role: F.struct(
+            F.lit(space).alias("space"), F.col(col).cast("string").alias("value"), F.lit(role).alias("role"))
+        own = ["id", "name", "type"] if name == "llm_models" else ["id"]
+        out = [mark(f"{name}.{c}", c, "own") for c in own]
+        out += [mark(f"{parent}.id", column, f"fk_{i}") for i, (child, column, parent) in enumerate(FOREIGN_KEYS) if child == name]
+        return df.select(F.inline(F.array(*out)))
+
+    roles = ["own", *[f"fk_{i}" for i in range(len(FOREIGN_KEYS))]]
+    counts = reduce(DataFrame.unionByName, [marks(n, df) for n, df in store.items()]).groupBy("space", "value").agg(
+        *[F.count_if(F.col("role") == r).alias(r) for r in roles])
+    within = lambda space: F.col("space") == space
+    total = lambda rows, n: F.coalesce(F.sum(F.when(rows, n)), F.lit(0)).cast("long")
+    repeated = (F.col("own") > 1) | (F.col("value").isNull() & (F.col("own") > 0))
+    rules = [(n, "primary key id", total(within(f"{n}.id") & repeated, F.lit(1))) for n in store]
+    rules.append(("llm_models", "unique name", total(within("llm_models.name") & repeated, F.lit(1))))
+    rules.append(("llm_models", "type domain", total(within("llm_models.type") & ~F.col("value").isin(*MODEL_TYPES), F.col("own"))))
+    for i, (child, column, parent) in enumerate(FOREIGN_KEYS):
+        orphans = within(f"{parent}.id") & F.col("value").isNotNull() & (F.col("own") == 0)
+        rules.append((child, f"foreign key {column}", total(orphans, F.col(f"fk_{i}"))))
+    found = counts.agg(*[n.alias(f"_{i}") for i, (_, _, n) in enumerate(rules)])
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations"))
+        for i, (table, rule, _) in enumerate(rules)])))
 
 
 def diagnostics(df: DataFrame, query_id: str, text: str, model: str) -> DataFrame:

@@ -236,3 +236,25 @@ def test_pivot_and_matrix(spark):
     assert {r.query for r in wide.collect()} == {"q1", "q2", "q3", "q4"}
     missing = {r.model: r.n_missing for r in reshape.missing_report(scores(spark), "query", "model", "score").collect()}
     assert missing == {"a": 0, "b": 1, "c": 1}
+
+
+def test_audit_reads_each_table_once(spark, tmp_path):
+    table = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    table("llm_models", [(1, "a", "open source"), (2, "a", None), (2, "b", "rented"), (None, None, "proprietary")], "id int, name string, type string")
+    table("query_result", [("q1", 1), ("q2", 9), ("q2", None), ("q3", 9)], "id string, llm_model_id int")
+    table("query_evaluation", [("e1", "q1", "m1"), ("e2", "q9", None), ("e3", None, "m7")],
+          "id string, query_result_id string, evaluation_metrics_id string")
+    table("evaluation_metrics", [("m1",), (None,), (None,)], "id string")
+    table("token_usage", [("t1", "q3")] * 3, "id string, query_result_id string")
+    held = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("llm_models", "query_result", "query_evaluation", "evaluation_metrics", "token_usage")}
+    audit = warehouse.constraint_audit(held)
+    assert {(r.table, r.rule): r.violations for r in audit.collect()} == {
+        ("llm_models", "primary key id"): 2, ("query_result", "primary key id"): 1, ("query_evaluation", "primary key id"): 0,
+        ("evaluation_metrics", "primary key id"): 1, ("token_usage", "primary key id"): 1, ("llm_models", "unique name"): 2,
+        ("llm_models", "type domain"): 1, ("query_result", "foreign key llm_model_id"): 2,
+        ("query_evaluation", "foreign key query_result_id"): 1, ("query_evaluation", "foreign key evaluation_metrics_id"): 1,
+        ("token_usage", "foreign key query_result_id"): 0}
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 5 and plan.count("Aggregate [space") == 1
+    empty = warehouse.constraint_audit({n: df.limit(0) for n, df in held.items()})
+    assert [r.violations for r in empty.collect()] == [0] * 11
