@@ -147,7 +147,7 @@ def telemetry_select(df: DataFrame, vessel: str, start: str, end: str, params: l
     """Readings of one vessel in [start, end) whose parameter contains any of the names.
 
     With a bucket the averages of that width are returned, filtered by bucket start. A start
-    before ``first`` is an error; null allows any.
+    before ``first`` is an error; null allows any. A table laid out by ``day`` is read for the days of the range alone.
     """
     from fairlead.streaming.stream import BUCKETS, bucket_average
 
@@ -161,6 +161,9 @@ def telemetry_select(df: DataFrame, vessel: str, start: str, end: str, params: l
         raise ValueError(f"unknown bucket {bucket!r}; choose one of {', '.join(BUCKETS)}")
     hit = reduce(lambda a, b: a | b, [F.col("parameter_id").ilike(f"%{p.replace('*', '%')}%") for p in params])
     rows = df.filter((F.col("vessel_id") == vessel) & hit)
+    if dict(df.dtypes).get("day") == "date":
+        # A bucket that starts in the range may reach into the next day.
+        rows = rows.filter(F.col("day").between(F.to_date(low), F.date_add(F.to_date(high), 0 if bucket is None else 1)))
     kind = dict(df.dtypes)["time"]
     if bucket is None:
         return rows.filter((F.col("time") >= low.cast(kind)) & (F.col("time") < high.cast(kind)))

@@ -369,4 +369,6 @@ def archive(spark, d):
     rows = b.table(spark, d, "documents").select(
         "doc_id", F.col("lang").alias("query"), F.col("text").alias("response"),
         F.array(F.concat(F.lit("SELECT "), F.col("doc_id").cast("string")), F.lit("SELECT 2")).alias("sql_queries"))
-    return sinks.render_archive(rows).select("doc_id", "value")
+    folder = scratch(spark, "archive")
+    sinks.write_archive(rows, folder, "doc_id")
+    return sinks.read_archive(spark, folder, "long", "doc_id")

@@ -9,6 +9,8 @@ from fairlead.operators import asof, telemetry as tm, windows
 from fairlead.operators.reshape import pivot_telemetry
 from fairlead.plans import bindings as b
 from fairlead.plans.registry import query
+from fairlead.session import scratch
+from fairlead.sources import sinks
 from fairlead.streaming import stream
 
 SIX_HOURS = 360.0  # minutes: events of one user are hours apart
@@ -26,13 +28,25 @@ def _neighbours(spark, d):
     return windows.with_previous(one, ["user_id"], "time", {"plat": "slat", "plon": "slon"})
 
 
-@query("S-12", """SELECT event_id, epoch_us(ts) AS t FROM events WHERE user_id = 8 AND ts >= TIMESTAMP '2024-01-03'
-  AND ts < TIMESTAMP '2024-01-20' AND (event_type ILIKE '%lic%' OR event_type ILIKE '%ERR%')""")
+SELECTED = """SELECT event_id, epoch_us(ts) AS t FROM events WHERE user_id = 8 AND ts >= TIMESTAMP '2024-01-03'
+  AND ts < TIMESTAMP '2024-01-20' AND (event_type ILIKE '%lic%' OR event_type ILIKE '%ERR%')"""
+
+
+@query("S-12", SELECTED)
 def telemetry_select(spark, d):
     rows = tm.telemetry_select(b.event_telemetry(spark, d), "8", "2024-01-03T00:00:00", "2024-01-20T00:00:00", ["lic", "ERR"])
     return rows.select("event_id", F.unix_micros(F.col("time").cast("timestamp")).alias("t"))
 
 
+# Written in the layout by day and vessel first, and selected from there.
+@query("S-12-layout", SELECTED)
+def telemetry_layout(spark, d):
+    folder = scratch(spark, "telemetry")
+    sinks.write_telemetry(b.event_telemetry(spark, d), folder)
+    rows = tm.telemetry_select(spark.read.parquet(folder), "8", "2024-01-03T00:00:00", "2024-01-20T00:00:00", ["lic", "ERR"])
+    return rows.select("event_id", F.unix_micros(F.col("time").cast("timestamp")).alias("t"))
+
+
 @query("S-12-bucket", """SELECT event_type AS parameter_id, time_bucket(INTERVAL 10 MINUTE, ts) AS bucket, round(avg(value), 6) AS avg_value
   FROM events WHERE user_id = 8 AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2""")
 def telemetry_buckets(spark, d):

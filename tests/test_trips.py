@@ -1,14 +1,17 @@
 """Null rules, ties and strict thresholds of trip and telemetry jobs."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from fairlead.functions import calendar as cal
 from fairlead.functions import measures as m
 from fairlead.operators import asof, ranks, scan, telemetry as tm, trips as t, windows
+from fairlead.sources import sinks
 from fairlead.streaming import stream
 
 T0 = dt.datetime(2024, 1, 5, 8, 0, 0)
@@ -196,3 +199,34 @@ def test_quantiles_of_any_unit(spark, unit, task_rows, monkeypatch):
     for g, vs in values.items():
         want = np.quantile(vs * unit, [0.25, 0.5, 0.9, 0.75])
         assert [found[g].q1, found[g].median, found[g].q9, box[g].q3] == pytest.approx(list(want), rel=1e-9) and found[g].n == len(vs)
+
+
+def test_layout_reads_few_row_groups(spark, tmp_path):
+    """One vessel and a few days: other days' folders and other vessels' row groups are not read."""
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("v"), F.expr("case when id % 3 = 0 then 7 else id % 40 end").cast("string")).alias("vessel_id"),
+        F.lit("sog").alias("parameter_id"), F.expr("timestamp_ntz '2024-01-05 00:00:00' + make_dt_interval(0, 0, 0, id * 6)").alias("time"),
+        F.sha2(F.col("id").cast("string"), 256).alias("value")).repartition(8)
+    rows.write.parquet(f"{tmp_path}/plain")
+    sinks.write_telemetry(rows, f"{tmp_path}/laid", vessels=100, group_bytes=20_000)
+
+    def read(folder):
+        found = tm.telemetry_select(spark.read.parquet(f"{tmp_path}/{folder}"), "v11", "2024-01-06T00:00:00", "2024-01-07T00:00:00", ["sog"])
+        got = sorted(map(tuple, found.select("time", "value").collect()))
+        plan = found.select("time", "value")._jdf.queryExecution()
+        plan.toRdd().count()
+        scan_ = plan.executedPlan().collectLeaves().head()
+        return got, scan_.metrics().get("numOutputRows").get().value()
+
+    (plain, all_rows), (laid, few_rows) = read("plain"), read("laid")
+    assert plain == laid and len(plain) > 200
+    assert all_rows == 60_000 and few_rows < 6_000 and few_rows < 14_400 / 2
+    groups = hit = 0
+    for path in Path(tmp_path, "laid", "day=2024-01-06").glob("*.parquet"):
+        told = pq.ParquetFile(path).metadata
+        for g in range(told.num_row_groups):
+            column = told.row_group(g).column(0)
+            assert column.path_in_schema == "vessel_id"
+            groups += 1
+            hit += column.statistics.min <= "v11" <= column.statistics.max
+    assert groups > 8 and hit <= groups / 3
