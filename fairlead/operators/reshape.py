@@ -10,10 +10,15 @@ from fairlead.functions.text import parse_selection
 from fairlead.operators.windows import position
 
 
-def fill_range(df: DataFrame, key: str, start: int, end: int, fill: dict) -> DataFrame:
-    """One row per key in [start, end); absent measures take the fill values."""
-    spine = df.sparkSession.range(start, end).select(F.col("id").cast(df.schema[key].dataType).alias(key))
-    return spine.join(df, key, "left").fillna(fill)
+def fill_range(df: DataFrame, key: str, start: int, end: int, fill: dict, by: list[str] = ()) -> DataFrame:
+    """One row per key in [start, end), for each group of ``by``; absent measures take the fill values."""
+    kind = df.schema[key].dataType
+    if not by:
+        spine = df.sparkSession.range(start, end).select(F.col("id").cast(kind).alias(key))
+    else:
+        every = F.explode(F.sequence(F.lit(start), F.lit(end - 1)))
+        spine = df.select(*by).distinct().withColumn(key, every).withColumn(key, F.col(key).cast(kind))
+    return spine.join(df, [*by, key], "left").fillna(fill)
 
 
 def to_documents(df: DataFrame, cols: list[str], row_index: str, route: str, ferry: str) -> DataFrame:

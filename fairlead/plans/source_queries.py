@@ -115,13 +115,14 @@ def parse_timetable(spark, d):
     return files.parse_timetable(lines)
 
 
-@query("S-11-wide", """SELECT hour(ts) AS hour, day AS holiday, CAST(n AS VARCHAR) AS departures FROM (
-    SELECT hour(ts) AS h, any_value(ts) AS ts, 'click' AS day, count(*) FILTER (event_type = 'click') AS n FROM events GROUP BY 1
-    UNION ALL SELECT hour(ts), any_value(ts), 'view', count(*) FILTER (event_type = 'view') FROM events GROUP BY 1)""")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("S-11-wide", "SELECT h AS hour, day AS holiday, CAST(n AS VARCHAR) AS departures FROM (" + " UNION ALL ".join(
+    f"SELECT hour(ts) AS h, '{e}' AS day, count(*) FILTER (event_type = '{e}') AS n FROM events GROUP BY 1" for e in EVENT_TYPES) + ")")
 def holiday_timetable(spark, d):
     wide = b.table(spark, d, "events").groupBy(F.hour("ts").alias("Hour")).agg(
-        *[F.count_if(F.col("event_type") == e).cast("string").alias(e) for e in ("click", "view")],
-        F.lit("").alias("Remarks"))
+        *[F.count_if(F.col("event_type") == e).cast("string").alias(e) for e in EVENT_TYPES], F.lit("").alias("Remarks"))
     return files.unpivot_timetable(wide).select(F.col("Hour").alias("hour"), "holiday", "departures")
 
 

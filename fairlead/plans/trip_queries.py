@@ -416,14 +416,15 @@ def zone(spark, d):
 # Joins and reshaping of trips
 
 
-@query("J-4", f"""{W}, n AS (SELECT hour(time_departure) AS hour, count(*) AS n FROM trips
-    WHERE route_name = '2-HIGH' AND year(time_departure) = 1997 AND month(time_departure) = 1 GROUP BY 1)
-  SELECT s.hour, coalesce(n, 0) AS n FROM (SELECT unnest(range(24)) AS hour) s LEFT JOIN n USING (hour)""")
+@query("J-4", f"""{W}, n AS (SELECT route_name, year(time_departure) AS year, month(time_departure) AS month,
+    hour(time_departure) AS hour, count(*) AS n FROM trips GROUP BY ALL)
+  SELECT s.route_name, s.year, s.month, s.hour, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT route_name, year, month, unnest(range(24)) AS hour FROM n) s LEFT JOIN n USING (route_name, year, month, hour)""")
 def spine(spark, d):
-    rows = b.trips(spark, d, 1997, 1).filter(F.col("route_name") == "2-HIGH")
-    rows = cal.calendar_filter(rows, "time_departure", month=1, year=1997)
-    counts = rows.groupBy(F.hour("time_departure").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return reshape.fill_range(counts, "hour", 0, 24, {"n": 0})
+    when = F.col("time_departure")
+    counts = b.trips(spark, d).groupBy("route_name", F.year(when).alias("year"), F.month(when).alias("month"),
+                                       F.hour(when).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return reshape.fill_range(counts, "hour", 0, 24, {"n": 0}, ["route_name", "year", "month"])
 
 
 @query("J-5", f"""{W}, {b.FLEET_SQL} SELECT trip_id, n_name AS ferry_name, capacity FROM trips
