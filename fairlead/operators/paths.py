@@ -23,6 +23,7 @@ BLOCK_ROWS = 2_000  # rows of one side of a block that meet in one task
 TREE_NODES = 500  # nodes of a Ward tree that one task finishes
 LEVELS, CELL_NODES = 24, 24  # grids tried for neighbours, and nodes a cell may have
 CELL_REACHES = 2  # width of a grid cell
+CROWD = 32  # paths of a cell that need no pivots: each has few others to meet
 FEW = 100  # paths that need no further round of pivots
 WITNESSES = 32  # members of a ball tried before all others
 ROUNDING = 1e-9  # bounds leave this much to rounding; what lies within is measured
@@ -148,11 +149,18 @@ def cover(paths: DataFrame, alpha: float, radius: float, first: int = 4, rounds:
     Each round picks ``first`` open paths of a cell by hash, twice as many as the round before. Picked paths
     with no earlier picked one within the radius become pivots, and open paths join the nearest of them
     within the radius. So a crowded ball is settled by a few distances per path whatever its size. What is
-    open after the last round, or a few paths left before it, are their own pivots, which is a cover too.
+    open after the last round, or a few paths left before it, are their own pivots, which is a cover too; so are
+    the paths of cells without a crowd.
     """
     grid = Grid(alpha, radius)
     columns = ["path_id", "lat", "lon", "dir"]
-    left, found = paths.select(*columns), []
+    alone = lambda df: df.select("path_id", F.col("path_id").alias("pivot"), F.lit(0.0).alias("gap"))
+    crowds = checkpoint(paths.groupBy(grid.home().alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > CROWD).select("cell"))
+    if crowds.isEmpty():
+        return alone(paths)
+    celled = paths.select(*columns, grid.home().alias("cell"))
+    left, found = celled.join(crowds, "cell", "left_semi").drop("cell"), [alone(celled.join(crowds, "cell", "left_anti"))]
     for turn in range(rounds):
         in_cell = F.row_number().over(W.partitionBy("cell").orderBy("rank", "path_id"))
         picked = checkpoint(left.withColumn("cell", grid.home()).withColumn("rank", F.xxhash64(F.lit(turn), "path_id")).withColumn(
@@ -169,7 +177,7 @@ def cover(paths: DataFrame, alpha: float, radius: float, first: int = 4, rounds:
         left = checkpoint(left.join(joined, "path_id", "left_anti"))
         if left.limit(FEW + 1).count() <= FEW:
             break
-    out = left.select("path_id", F.col("path_id").alias("pivot"), F.lit(0.0).alias("gap"))
+    out = alone(left)
     for joined in found:
         out = out.unionByName(joined)
     return out
@@ -209,9 +217,10 @@ def cluster_paths(paths: DataFrame, alpha: float = 0.3, eps: float = 100.0, min_
     units = dense.select(F.col("unit").alias("path_id"), "lat", "lon", "dir", F.lit(True).alias("dense")).unionByName(
         lone.select("path_id", "lat", "lon", "dir", "dense"))
 
-    # Every meeting of two units that a pair of their paths within eps could come from.
+    # Every meeting of two units that a pair of their paths within eps could come from; single paths meet within eps.
+    farthest = eps if dense.isEmpty() else 2 * eps
     reach = eps + radius * (F.col("dense_i").cast("int") + F.col("dense_j").cast("int"))
-    meetings = checkpoint(close_pairs(units, alpha, 2 * eps, ("dense",), reach * (1 + ROUNDING)).select(
+    meetings = checkpoint(close_pairs(units, alpha, farthest, ("dense",), reach * (1 + ROUNDING)).select(
         F.col("path_id_i").alias("i"), F.col("path_id_j").alias("j"), "dense_i", "dense_j", "dist"))
 
     lone_pairs = meetings.filter(~F.col("dense_i") & ~F.col("dense_j") & (F.col("dist") <= eps)).select("i", "j")

@@ -126,8 +126,9 @@ def test_date_line_and_poles(spark):
     assert got == {(0, 1), (3, 4), (6, 7)}
 
 
-@pytest.mark.parametrize("eps,min_samples,seed", [(100.0, 2, 3), (60.0, 4, 5), (45.0, 3, 8)])
-def test_clusters_match_plain_dbscan(spark, eps, min_samples, seed):
+@pytest.mark.parametrize("eps,min_samples,seed,crowd", [(100.0, 2, 3, 0), (60.0, 4, 5, 0), (45.0, 3, 8, 32), (60.0, 4, 5, 8)])
+def test_clusters_match_plain_dbscan(spark, monkeypatch, eps, min_samples, seed, crowd):
+    monkeypatch.setattr(pt, "CROWD", crowd)
     paths = make_paths(seed)
     found = {r.path_id: r.label for r in pt.cluster_paths(frame(spark, paths), 0.3, eps, min_samples, 0.0).collect()}
     want = plain_dbscan(paths, 0.3, eps, min_samples)
@@ -135,8 +136,9 @@ def test_clusters_match_plain_dbscan(spark, eps, min_samples, seed):
     assert len(set(want)) > 2
 
 
-def test_dense_cells_touching_only_through_members(spark):
+def test_dense_cells_touching_only_through_members(spark, monkeypatch):
     """Two heaps of paths whose first members are far apart and whose edges touch."""
+    monkeypatch.setattr(pt, "CROWD", 0)
     step = math.degrees(1 / 6_371_000)
     line = lambda north: [(59.0 + north * step, 18.0), (59.0 + north * step, 18.02)]
     paths = [line(m) for m in (0.5, 5, 9, 13, 17)] + [line(m) for m in (172, 160, 158, 157)]
@@ -249,7 +251,8 @@ def test_one_lane_takes_few_distances(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("first,rounds", [(1, 2), (4, 8)])
-def test_cover(spark, first, rounds):
+def test_cover(spark, monkeypatch, first, rounds):
+    monkeypatch.setattr(pt, "CROWD", 3)
     paths = make_paths()
     found = pt.cover(pt.with_direction(frame(spark, paths)), 0.3, 60.0, first, rounds).collect()
     assert sorted(r.path_id for r in found) == list(range(len(paths)))
@@ -261,6 +264,7 @@ def test_cover(spark, first, rounds):
 @pytest.mark.parametrize("witnesses,few", [(1, 0), (3, 100)])
 def test_clusters_with_few_witnesses(spark, monkeypatch, witnesses, few):
     monkeypatch.setattr(pt, "WITNESSES", witnesses)
+    monkeypatch.setattr(pt, "CROWD", 0)
     monkeypatch.setattr(pt, "FEW", few)
     monkeypatch.setattr(pt, "BLOCK_ROWS", 3)
     paths = make_paths(12, routes=2, per_route=25)
