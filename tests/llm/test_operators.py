@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -452,13 +454,60 @@ def test_contaminated(spark, docs, rows, none):
 ])
 def test_classify(text, name):
     (a, b), = licenses.blocks(text)
-    assert licenses.classify(text[a:b])["license"] == name
+    assert {r["license"] for r in licenses.classify(text[a:b])} == {name}
+
+
+@pytest.mark.parametrize("text, names", [
+    ("MIT License or Apache License, Version 2.0", ["MIT", "Apache-2.0"]),
+    ("Parts are under the MIT License.\nBSD 3-Clause License\nMozilla Public License, v. 2.0\n", ["MIT", "BSD-3-Clause", "MPL-2.0"]),
+    ("SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0"]),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND LGPL-2.1+", ["MIT", "Apache-2.0", "LGPL-2.1"]),
+    ("GNU General Public License v3.0", ["GPL-3.0"]),
+    ("Licensed under GPLv3 or AGPL version 3", ["GPL-3.0", "AGPL-3.0"]),
+    ("CC BY 4.0 text, CC BY-SA 4.0 pictures, CC BY 4.0 data", ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-4.0"]),
+    ("Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+    ("MIT License\n\nCopyright (c) someone\n\n" + licenses.TEMPLATES["MIT-text"][1][1], ["MIT", "MIT"]),
+    ("GNU Lesser General Public License of no version", [None]),
+])
+def test_every_license_of_a_block(text, names):
+    found = [r for a, b in licenses.blocks(text) for r in licenses.classify(text[a:b])]
+    assert [r["license"] for r in found] == names
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from(["a", "b", "c", "d", None]), max_size=12))
+def test_common_places(wording, stretch):
+    def longest(i, j):
+        if i == len(wording) or j == len(stretch):
+            return 0
+        return max(longest(i + 1, j), longest(i, j + 1), *([1 + longest(i + 1, j + 1)] if wording[i] == stretch[j] else []))
+
+    got = licenses.common_places(wording, stretch)
+    assert all(wording[i] == stretch[j] for i, j in got) and len(got) == len({j for _, j in got}) == len({i for i, _ in got})
+    assert got == sorted(got) and [j for _, j in got] == sorted(j for _, j in got)
+    if len(wording) <= 5 and len(stretch) <= 7:
+        assert len(got) == longest(0, 0)
+
+
+def test_wordings_hold_where_a_plain_search_finds_them():
+    """Every stretch of the block, widest allowed, against every wording: a license is found exactly where one has enough words."""
+    rng = random.Random(11)
+    for _ in range(60):
+        name = rng.choice([n for n in licenses.TEMPLATES if n.endswith("-text") or n == "GPL-3.0"])
+        wording = licenses.words(max(licenses.TEMPLATES[name][1], key=len))
+        must = set(licenses.words(licenses.TEMPLATES[name][0])) & set(wording)
+        text = [w for w in wording if rng.random() > 0.15]
+        have = ["x"] * rng.randrange(9) + text + ["y"] * rng.randrange(9)
+        enough = len(text) >= licenses.COVER * len(wording) and must <= set(text)
+        assert len(list(licenses._held(wording, must, have))) == enough
 
 
 def test_license_scan(spark, docs, none):
     more = docs.unionByName(frame(spark, [(800, "y " * 90_000 + "\nReleased under the MIT License.\n" + "z " * 90_000), (801, "Released under the MIT License.")]))
     got = {(r.doc_id, r.start, r.license) for r in licenses.license_scan(more).collect()}
     assert got == {(800, 180_001, "MIT"), (801, 0, "MIT")}
+    dual = frame(spark, [(802, "MIT License or Apache-2.0"), (None, "MIT License or Apache-2.0"), (803, "A copyright of no license.")])
+    same([(r.doc_id, r.block, r.license, r.place) for r in licenses.license_scan(dual).collect()],
+         [(i, 0, n, p) for i in (802, None) for n, p in (("MIT", 0), ("Apache-2.0", 3))] + [(803, 0, None, None)])
     assert licenses.license_scan(none).count() == 0
 
 
