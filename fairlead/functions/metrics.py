@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from fairlead.functions.stems import stem
 from fairlead.functions.text import relative_score
 
 SMOOTHING = 0.1  # fixed value: numerator of an n-gram order without a match
@@ -40,14 +41,17 @@ def bleu(response: str, reference: str, smooth: bool = True) -> float:
 
 
 WORD = re.compile(r"[a-z0-9]+")
+STEM_FROM = 4  # fixed value: shorter words are compared as they are
 
 
-def rouge_l(response: str, reference: str) -> float:
-    """F1 of the longest common subsequence of lower-case alphanumeric words.
+def rouge_l(response: str, reference: str, stems: bool = False) -> float:
+    """F1 of the longest common subsequence of lower-case alphanumeric words, or of their stems.
 
     The row of the subsequence table is one integer, a bit per reference word.
     """
     said, truth = WORD.findall((response or "").lower()), WORD.findall((reference or "").lower())
+    if stems:
+        said, truth = ([stem(w) if len(w) >= STEM_FROM else w for w in words] for words in (said, truth))
     if not said or not truth:
         return 0.0
     places: dict[str, int] = {}
@@ -112,6 +116,7 @@ def pairwise(score):
 _BLEU = pairwise(bleu)
 _BLEU_PLAIN = pairwise(lambda a, b: bleu(a, b, smooth=False))
 _ROUGE_L = pairwise(rouge_l)
+_ROUGE_L_STEMS = pairwise(lambda a, b: rouge_l(a, b, stems=True))
 _SIMILARITY = pairwise(similarity)
 
 
@@ -119,8 +124,8 @@ def bleu_score(response: Column, reference: Column, smooth: bool = True) -> Colu
     return (_BLEU if smooth else _BLEU_PLAIN)(response, reference)
 
 
-def rouge_score(response: Column, reference: Column) -> Column:
-    return _ROUGE_L(response, reference)
+def rouge_score(response: Column, reference: Column, stems: bool = False) -> Column:
+    return (_ROUGE_L_STEMS if stems else _ROUGE_L)(response, reference)
 
 
 def string_similarity(response: Column, reference: Column) -> Column:

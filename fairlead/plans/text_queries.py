@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairlead.functions import metrics as mt
+from fairlead.functions import stems
 from fairlead.functions import text as tx
 from fairlead.operators import scoring, warehouse, windows
 from fairlead.plans import bindings as b
@@ -80,13 +81,16 @@ SIMILAR_CTES = rf"""plain AS (SELECT query_result_id, {_ONE_BYTE.format("respons
       ELSE round(1 - levenshtein(a, b) / greatest(strlen(a), strlen(b)), 6) END AS non_llm_string_similarity FROM plain)"""
 
 # A row of the common-subsequence table is one number, a bit per reference word.
-ROUGE_CTES = f"""rt AS (SELECT item_id, {_ALNUM.format("text")} AS t FROM benchmark),
+def _rouge_ctes(said="", truth=""):
+    """``said`` and ``truth`` are joins that put another word ``w`` in place of a row's."""
+    return f"""rt AS (SELECT item_id, {_ALNUM.format("text")} AS t FROM benchmark),
   rw AS (SELECT item_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM rt),
-  bits AS (SELECT item_id, w, sum(CASE WHEN i > 120 THEN error('too many words')::HUGEINT ELSE 1::HUGEINT << i::INT END)::HUGEINT AS m
-    FROM rw GROUP BY ALL),
   st AS (SELECT query_result_id AS id, item_id, {_ALNUM.format("response")} AS t FROM answers),
   sw AS (SELECT id, item_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM st),
-  met AS (SELECT id, list(m ORDER BY i) AS ms FROM sw JOIN bits USING (item_id, w) GROUP BY id),
+  {said}{truth}
+  bits AS (SELECT item_id, w, sum(CASE WHEN i > 120 THEN error('too many words')::HUGEINT ELSE 1::HUGEINT << i::INT END)::HUGEINT AS m
+    FROM {"rw" if not truth else "rws"} GROUP BY ALL),
+  met AS (SELECT id, list(m ORDER BY i) AS ms FROM {"sw" if not said else "sws"} JOIN bits USING (item_id, w) GROUP BY id),
   filled AS (SELECT st.id, len(st.t) AS said, len(rt.t) AS truth, (1::HUGEINT << len(rt.t)::INT) - 1 AS everything, coalesce(ms, []) AS ms
     FROM st JOIN rt USING (item_id) LEFT JOIN met ON met.id = st.id),
   rows AS (SELECT id, said, truth, truth - bit_count(list_reduce(list_prepend(everything, ms),
@@ -95,6 +99,70 @@ ROUGE_CTES = f"""rt AS (SELECT item_id, {_ALNUM.format("text")} AS t FROM benchm
       ELSE 2 * (common / said) * (common / truth) / (common / said + common / truth) END, 6) AS rogue_score FROM rows)"""
 
 
+ROUGE_CTES = _rouge_ctes()
+
+# Stems in SQL: a consonant y is marked, so that vowels are one class of letters; each step is one column.
+_V, _C = "[aeiouy]", "[^aeiouy]"
+
+
+def _marked(w):
+    return rf"regexp_replace(regexp_replace({w}, '^y', 'Y'), '([aeiou])y', '\1Y', 'g')"
+
+
+def _times(w, n):
+    """At least n vowels followed by a consonant."""
+    return f"regexp_matches({_marked(w)}, '^{_C}*({_V}+{_C}+){{{n - 1}}}{_V}+{_C}')"
+
+
+def _ends_short(w):
+    return f"regexp_matches({_marked(w)}, '^{_V}{_C}$|{_C}{_V}[^aeiouywxY]$')"
+
+
+def _rest(w, n):
+    return f"left({w}, length({w})::INT - {n})"
+
+
+def _step(w, rules, n):
+    """The first suffix that fits is replaced where enough stands before it."""
+    cases = []
+    for suffix, instead in rules:
+        rest = _rest(w, len(suffix))
+        also = f" AND right({rest}, 1) IN ('s', 't')" if suffix == "ion" else ""
+        cases.append(f"WHEN ends_with({w}, '{suffix}') THEN CASE WHEN {_times(rest, n)}{also} THEN {rest} || '{instead}' ELSE {w} END")
+    return f"CASE {' '.join(cases)} ELSE {w} END"
+
+
+def _stem_ctes():
+    odd = " ".join(f"WHEN '{a}' THEN '{z}'" for a, z in stems.IRREGULAR.items())
+    ied = lambda tail: f"WHEN ends_with(w1, '{tail}') THEN CASE WHEN length(w1) = 4 THEN {_rest('w1', 1)} ELSE {_rest('w1', 2)} END"
+    bare = lambda tail: f"WHEN ends_with(w2, '{tail}') AND regexp_matches({_marked(_rest('w2', len(tail)))}, '{_V}') THEN {_rest('w2', len(tail))}"
+    logi = f"WHEN ends_with(w5, 'logi') THEN CASE WHEN {_times(_rest('w5', 3), 1)} THEN {_rest('w5', 1)} ELSE w5 END"
+    step_2 = _step("w5", stems.STEP_2, 1).replace("CASE ", f"CASE {logi} ", 1)
+    e = _rest("w8", 1)
+    return f"""s1 AS (SELECT DISTINCT w AS w0, w AS w1 FROM (SELECT w FROM rw UNION ALL SELECT w FROM sw) WHERE length(w) > 3),
+  s2 AS (SELECT w0, CASE {ied('ies')} WHEN ends_with(w1, 'sses') THEN {_rest('w1', 2)}
+    WHEN ends_with(w1, 's') AND NOT ends_with(w1, 'ss') THEN {_rest('w1', 1)} ELSE w1 END AS w2 FROM s1),
+  s3 AS (SELECT w0, w2, CASE WHEN ends_with(w2, 'ied') OR ends_with(w2, 'eed') THEN NULL {bare('ed')} {bare('ing')} END AS b FROM s2),
+  s4 AS (SELECT w0, CASE WHEN ends_with(w2, 'ied') THEN CASE WHEN length(w2) = 4 THEN {_rest('w2', 1)} ELSE {_rest('w2', 2)} END
+    WHEN ends_with(w2, 'eed') THEN CASE WHEN {_times(_rest('w2', 3), 1)} THEN {_rest('w2', 1)} ELSE w2 END
+    WHEN b IS NULL THEN w2 WHEN right(b, 2) IN ('at', 'bl', 'iz') THEN b || 'e'
+    WHEN length(b) > 1 AND right(b, 1) = left(right(b, 2), 1) AND regexp_matches({_marked('b')}, '{_C}$')
+      THEN CASE WHEN right(b, 1) IN ('l', 's', 'z') THEN b ELSE {_rest('b', 1)} END
+    WHEN {_times('b', 1)} AND NOT {_times('b', 2)} AND {_ends_short('b')} THEN b || 'e' ELSE b END AS w4 FROM s3),
+  s5 AS (SELECT w0, CASE WHEN length(w4) > 2 AND ends_with(w4, 'y') AND regexp_matches({_marked(_rest('w4', 1))}, '{_C}$')
+    THEN {_rest('w4', 1)} || 'i' ELSE w4 END AS w5a FROM s4),
+  s5b AS (SELECT w0, CASE WHEN ends_with(w5a, 'alli') AND {_times(_rest('w5a', 4), 1)} THEN {_rest('w5a', 2)} ELSE w5a END AS w5 FROM s5),
+  s6 AS (SELECT w0, {step_2} AS w6 FROM s5b),
+  s7 AS (SELECT w0, {_step("w6", stems.STEP_3, 1)} AS w7 FROM s6),
+  s8 AS (SELECT w0, {_step("w7", [(s, "") for s in stems.STEP_4], 2)} AS w8 FROM s7),
+  s9 AS (SELECT w0, CASE WHEN ends_with(w8, 'e') AND ({_times(e, 2)} OR ({_times(e, 1)} AND NOT {_ends_short(e)})) THEN {e} ELSE w8 END AS w9
+    FROM s8),
+  stem AS (SELECT w0, CASE w0 {odd} ELSE CASE WHEN ends_with(w9, 'll') AND {_times(_rest('w9', 1), 2)} THEN {_rest('w9', 1)}
+    ELSE w9 END END AS w FROM s9),
+  sws AS (SELECT id, item_id, i, coalesce(stem.w, sw.w) AS w FROM sw LEFT JOIN stem ON w0 = sw.w),
+  """, """rws AS (SELECT item_id, i, coalesce(stem.w, rw.w) AS w FROM rw LEFT JOIN stem ON w0 = rw.w),"""
+
+
 @query("M-2", _bleu_sql(True))
 def bleu(spark, d):
     score = mt.bleu_score(F.col("response"), F.col("reference")).alias("bleu_score")
@@ -119,6 +187,12 @@ def rouge(spark, d):
     return b.answers(spark, d).select("query_result_id", score)
 
 
+@query("M-5-stems", f"{W}, {_rouge_ctes(*_stem_ctes())} SELECT * FROM rouge")
+def rouge_of_stems(spark, d):
+    score = mt.rouge_score(F.col("response"), F.col("reference"), stems=True).alias("rogue_score")
+    return b.answers(spark, d).select("query_result_id", score)
+
+
 @query("M-6", f"""{W} SELECT query_result_id, CASE WHEN contains(response, reference) THEN 1.0 ELSE 0.0 END AS string_present
   FROM answers""")
 def string_presence(spark, d):

@@ -3,13 +3,18 @@
 import math
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fairlead.functions import metrics as mt
 from fairlead.functions import tails
 from fairlead.functions import text as tx
+from fairlead.functions.metrics import STEM_FROM
+from fairlead.functions.stems import IRREGULAR, STEP_2, STEP_3, STEP_4, stem
 from fairlead.operators import reshape, scan, scoring, stats, warehouse, windows
+from fairlead.plans.text_queries import _stem_ctes
 from fairlead.sources import catalog, files, sinks, store
 
 
@@ -41,6 +46,51 @@ def test_rouge_l_matches_plain_table():
         assert mt.rouge_l(a, b) == pytest.approx(want)
 
 
+# Stems published with the rules.
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster",
+    "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop",
+    "falling": "fall", "hissing": "hiss", "failing": "fail", "filing": "file", "happy": "happi", "enjoy": "enjoy",
+    "relational": "relat", "conditional": "condit", "rational": "ration", "digitizer": "digit", "triplicate": "triplic",
+    "hopeful": "hope", "goodness": "good", "revival": "reviv", "allowance": "allow", "replacement": "replac", "adjustment": "adjust",
+    "dependent": "depend", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas",
+    "controll": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil", "dying": "die", "is": "is", "by": "by",
+}
+
+
+def test_stems():
+    assert {word: stem(word) for word in STEMS} == STEMS
+
+
+def test_stems_equal_check_sql():
+    rng = random.Random(8)
+    ends = [s for s, _ in (*STEP_2, *STEP_3)] + [*STEP_4, "s", "ies", "sses", "ed", "eed", "ied", "ing", "y", "ly", "e", "ll", "logi", "alli", "3", ""]
+    words = {"".join(rng.choice("abeilostyz") for _ in range(rng.randint(0, 6))) + rng.choice(ends) + rng.choice(["", "", "s", "ed", "ing", "e"])
+             for _ in range(20_000)} | set(STEMS) | set(IRREGULAR)
+    words = sorted(w for w in words if len(w) >= STEM_FROM and "yy" not in w)
+    con = duckdb.connect()
+    con.register("words", pd.DataFrame({"w": words}))
+    got = con.execute("WITH rw AS (SELECT w, 0 AS item_id, 0 AS i FROM words), sw AS (SELECT w, 0 AS id, 0 AS item_id, 0 AS i FROM words), "
+                      + _stem_ctes()[0].rstrip(" ,\n") + " SELECT w0, w FROM stem").fetchall()
+    assert len(got) == len(words) > 10_000
+    assert [(w, s, stem(w)) for w, s in got if s != stem(w)] == []
+
+
+def test_rouge_of_stems_matches_plain_table():
+    rng = random.Random(6)
+    words = [*STEMS, "the", "was", "cats", "hopes", "rated", "rates"]
+    for _ in range(200):
+        a, b = (" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(2))
+        x, y = ([stem(w) if len(w) > 3 else w for w in t.split()] for t in (a, b))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, u in enumerate(x):
+            for j, v in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if u == v else max(table[i][j + 1], table[i + 1][j])
+        assert mt.rouge_l(a, b, stems=True) == pytest.approx(2 * table[-1][-1] / (len(x) + len(y)))
+    assert mt.rouge_l("Hoping cats", "hoped cat", stems=True) == 1.0 and mt.rouge_l("Hoping cats", "hoped cat") == 0.0
+    assert mt.rouge_l(None, "x", stems=True) == 0.0
+
+
 def test_similarity_matches_builtin(spark):
     rng = random.Random(2)
     rows = [("".join(rng.choice("aéb日") for _ in range(rng.randint(0, 9))),
