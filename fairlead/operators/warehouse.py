@@ -356,13 +356,22 @@ def extraction_rate(df: DataFrame, test: str, extracted: str, expected: str) ->
     )
 
 
-def progress(log: DataFrame, total: Column | int) -> DataFrame:
-    """Finished runs, total, percent and retries per model; works on a stream too."""
+def run_plan(cases: DataFrame, runs: Column | int) -> DataFrame:
+    """(model_id, total): the runs planned per model, its test cases times the most runs of any of them."""
+    runs = F.lit(runs) if isinstance(runs, int) else runs
+    return cases.groupBy("model_id").agg((F.count_distinct("test_case_id") * F.max(runs)).alias("total"))
+
+
+def progress(log: DataFrame, plan: DataFrame) -> DataFrame:
+    """Finished runs, total, percent and retries per model; works on a stream of attempts too.
+
+    ``plan`` is a table of (model_id, total). A run ends once, so the log has one finishing attempt for each;
+    models without a plan have neither total nor percent.
+    """
     done = F.count_if(F.col("attempt_status").isin(SUCCESS, EXHAUSTED))
-    total = F.lit(total) if isinstance(total, int) else total
-    return log.groupBy("model_id").agg(done.alias("done"), F.sum("retry_count").alias("retries")).withColumn(
-        "total", total.cast("long")
-    ).withColumn("percent", percent_done(F.col("done"), F.col("total")))
+    found = log.groupBy("model_id").agg(done.alias("done"), F.sum("retry_count").alias("retries"))
+    return found.join(plan.select("model_id", F.col("total").cast("long").alias("total")), "model_id", "left").withColumn(
+        "percent", percent_done(F.col("done"), F.col("total")))
 
 
 # Quality of the store

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.calendar import period
+from fairlead.operators import warehouse
 from fairlead.session import spread
 
 
@@ -250,6 +251,23 @@ last AS (SELECT * FROM attempts
          QUALIFY row_number() OVER (PARTITION BY model_id, test_case_id, run_number ORDER BY attempt_ts DESC) = 1)"""
 
 
+# An event is a run of its own here: users are the cases, and a model's busiest user sets the runs of each.
+PROGRESS_SQL = f"""WITH {ATTEMPTS_SQL.split(",\nlast AS")[0]},
+  plan AS (SELECT model_id, count(*) * max(n) AS total FROM (
+    SELECT event_type AS model_id, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1)
+  SELECT model_id, count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) AS done,
+    CAST(sum(retry_count) AS BIGINT) AS retries, any_value(total) AS total,
+    CAST(floor(count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) / any_value(total) * 100) AS BIGINT) AS percent
+  FROM attempts JOIN plan USING (model_id) GROUP BY 1"""
+
+
+def planned_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(model_id, total) for the attempt log."""
+    cases = table(spark, folder, "events").groupBy(
+        F.col("event_type").alias("model_id"), F.col("user_id").alias("test_case_id")).agg(F.count(F.lit(1)).alias("runs"))
+    return warehouse.run_plan(cases, F.col("runs"))
+
+
 # Answers, dialogues, telemetry.
 
 

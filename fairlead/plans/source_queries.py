@@ -231,13 +231,10 @@ def sql_stream(spark, d):
     return spark.read.parquet(f"{folder}/data").unionByName(stream.open_statements(spark, folder))
 
 
-@query("ST-5", f"""WITH {b.ATTEMPTS_SQL} SELECT model_id, count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) AS done,
-    CAST(sum(retry_count) AS BIGINT) AS retries, 5000 AS total,
-    CAST(floor(count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) / 5000 * 100) AS BIGINT) AS percent
-  FROM attempts GROUP BY 1""")
+@query("ST-5", b.PROGRESS_SQL)
 def progress_stream(spark, d):
     log = b.as_attempts(_event_stream(spark, d))
-    return _run(spark, warehouse.progress(log, 5000), "progress", "complete", each=True)
+    return _run(spark, warehouse.progress(log, b.planned_runs(spark, d)), "progress", "complete", each=True)
 
 
 @query("ST-6", """SELECT CAST(user_id AS VARCHAR) AS vessel_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2

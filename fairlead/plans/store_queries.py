@@ -313,12 +313,9 @@ def extraction_rate(spark, d):
     return w.extraction_rate(rows, "lang", "found", "expected")
 
 
-@query("F-15", f"""{A} SELECT model_id, count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) AS done,
-    CAST(sum(retry_count) AS BIGINT) AS retries, 5000 AS total,
-    CAST(floor(count(*) FILTER (attempt_status IN ('success', 'max_retries_reached')) / 5000 * 100) AS BIGINT) AS percent
-  FROM attempts GROUP BY 1""")
+@query("F-15", b.PROGRESS_SQL)
 def progress(spark, d):
-    return w.progress(b.attempts(spark, d), 5000)
+    return w.progress(b.attempts(spark, d), b.planned_runs(spark, d))
 
 
 # Audits
