@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from fairlead.operators import warehouse
 from fairlead.plans import bindings as b
 from fairlead.plans.registry import query
-from fairlead.session import scratch
+from fairlead.session import scratch, stored
 from fairlead.sources import catalog, files, sinks
-from fairlead.streaming import stream
+from fairlead.streaming import live, stream
 
 
 def _model(d):
@@ -205,6 +205,24 @@ def session_stream(spark, d):
     return found.select("vessel_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")], "n_points")
 
 
+@query("ST-2-live", f"""WITH {b.segments_sql("vessel_id", 21600)}, areas AS (SELECT *,
+    (sog + lag(sog) OVER w) / 2 * (epoch_us(time) - epoch_us(lag(time) OVER w)) / 3.6e9 AS area
+    FROM segments WINDOW w AS (PARTITION BY vessel_id, trip_no ORDER BY time))
+  SELECT vessel_id, min(time) AS start_time, max(time) AS end_time, count(*) AS n_points, round(sum(area), 3) AS total_sog
+  FROM areas GROUP BY vessel_id, trip_no
+  HAVING count(*) > 1 AND floor((epoch_us(max(time)) + 21600000000) / 2592000000000) * 2592000000000 + 2592000000000
+    <= (SELECT epoch_us(date_trunc('milliseconds', max(ts))) FROM events WHERE value >= 1.0) - 600000000""")
+def trip_stream(spark, d):
+    """Trips as they end, with the speed summed over their hours; a state holds 30 days of a vessel."""
+    rows = _event_stream(spark, d).select(
+        F.col("user_id").cast("string").alias("vessel_id"), F.col("ts").cast("timestamp").alias("time"),
+        F.col("value").alias("sog")).filter("sog >= 1.0")
+    with stream.rocksdb_states(spark):
+        found = _run(spark, live.live_trips(rows, "6 hours", "10 minutes", "30 days"), "trips")
+    return found.select("vessel_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")], "n_points",
+                        F.round("total_sog", 3).alias("total_sog"))
+
+
 @query("ST-3", """SELECT event_type, round(avg(value), 6) AS avg_value, round(stddev_samp(value), 6) AS stddev_value,
     count(*) AS query_evaluation_count FROM events GROUP BY 1""")
 def summary_stream(spark, d):
@@ -221,14 +239,16 @@ LINES = r"""lines AS (SELECT conv_id, turn, role = 'user' AS opens, regexp_repla
   WHERE statement_no > 0 AND (opens OR (t <> '' AND NOT starts_with(t, 'INFO'))) GROUP BY 1, 2)
   SELECT * FROM s""")
 def sql_stream(spark, d):
-    # The last statement of a session is still open when the source ends; the stream's state has it.
+    # A line a second, in order; a heartbeat long after all lines closes what is open when the source ends.
     rows = _stream(spark, d, "conversations")
     opening = F.concat(F.lit("INFO Running: "), "text")
-    lines = rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"),
-                        F.when(F.col("role") == "user", opening).otherwise(F.col("text")).alias("line"))
-    folder = scratch(spark, "statements")
-    stream.run_available(stream.live_sql(lines), folder)
-    return spark.read.parquet(f"{folder}/data").unionByName(stream.open_statements(spark, folder))
+    lines = rows.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("line_no"),
+                        F.timestamp_seconds(F.col("turn") + 86_400).alias("time"), F.when(F.col("role") == "user", opening).otherwise(F.col("text")).alias("line"))
+    beat = stored(spark.range(1).select(F.lit(None).cast(lines.schema["session_id"].dataType).alias("session_id"), F.lit(0).cast("long").alias("line_no"),
+                                        F.timestamp_seconds(F.lit(4_102_444_800)).alias("time"), F.lit("").alias("line")), "heartbeat")
+    beats = spark.readStream.schema(beat.schema).parquet(beat.inputFiles()[0].rsplit("/", 1)[0])
+    with stream.rocksdb_states(spark):
+        return _run(spark, live.live_statements(lines.unionByName(beats), "1 minute"), "statements")
 
 
 @query("ST-5", b.PROGRESS_SQL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,11 +123,16 @@ def live_sql(lines: DataFrame, idle: str | None = None) -> DataFrame:
         follow, STATEMENT, STATE, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
-def open_statements(spark, folder: str) -> DataFrame:
-    """Statements still open in the state of a stopped ``live_sql`` query with its checkpoint in ``folder``."""
-    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
-    held = state.select("key.session_id", "value.groupState.statement_no", F.trim("value.groupState.current").alias("sql"))
-    return held.filter(F.col("sql") != "")
+@contextmanager
+def rocksdb_states(spark):
+    """Streams started inside keep their state in RocksDB, on the executors' disks and in the checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _seconds(text: str) -> float:
@@ -134,7 +141,10 @@ def _seconds(text: str) -> float:
 
 
 def run_available(df: DataFrame, folder: str, mode: str = "append", format: str = "parquet", each=None) -> None:
-    """Process what a source holds now and stop; the checkpoint in ``folder`` resumes later runs."""
+    """Process what a source holds now and stop; the checkpoint in ``folder`` resumes later runs.
+
+    States of several kinds and timers (``live``) need the session's RocksDB state store (``rocksdb_states``).
+    """
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
     if each is not None:
         query = writer.foreachBatch(each).start()
