@@ -109,6 +109,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return owners.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
 
 
+def rooted(docs: DataFrame, shingle: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, key) of every row, and (fp, least, root, component) of every fingerprint: root names its component."""
+    rows = written(fingerprints(docs, shingle, seed), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = written(links(least.select("fp")), "links")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = connected_components(ends, edges).withColumnRenamed("node", "fp")
+    labelled = least.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    return rows, labelled
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, key, component_id): the least doc_id reachable over links of at most two bits.
 
@@ -117,12 +128,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42) -> Dat
     links like any other. Null ids never become a component's id unless it has no other. Repeated
     rows stay. An empty table gives no row. Only distinct fingerprints are linked, so copies cost nothing.
     """
-    rows = written(fingerprints(docs, shingle, seed), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = written(links(least.select("fp")), "links")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = connected_components(ends, edges).withColumnRenamed("node", "fp")
-    labelled = least.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rows, labelled = rooted(docs, shingle, seed)
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = labelled.join(smallest, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "key", "component_id")

@@ -80,3 +80,17 @@ def test_pipeline_drops_edited_copies(spark):
     edited = [*words[:50], "edited", *words[51:]]
     got = drop_near_copies(spark, frame(spark, [(1, " ".join(words), 1), (2, " ".join(edited), 1)]), "").collect()
     assert [r.doc_id for r in got] == [1]
+
+
+def test_pipeline_finds_near_copies_by_fingerprints(spark, monkeypatch):
+    """The stage gets its pairs through the fingerprints: without a link between them only equal texts are one."""
+    from corpus_pipeline import drop_near_copies
+    from fairlead.llm import simhash
+
+    words = [f"word{i}" for i in range(100)]
+    edited = [*words[:50], "edited", *words[51:]]
+    rows = [(1, " ".join(words), 1), (2, " ".join(edited), 1), (3, " ".join(words), 1), (None, "other", 1), (4, "other", 1), (5, "apart", 1)]
+    kept = lambda: sorted(r.doc_id for r in drop_near_copies(spark, frame(spark, rows), "").collect())
+    assert kept() == [1, 4, 5]
+    monkeypatch.setattr(simhash, "links", lambda distinct: distinct.select(distinct.fp.alias("a"), distinct.fp.alias("b")).limit(0))
+    assert kept() == [1, 2, 4, 5]
