@@ -271,3 +271,28 @@ def test_clusters_with_few_witnesses(spark, monkeypatch, witnesses, few):
     for eps, min_samples in ((70.0, 3), (110.0, 5)):
         found = {r.path_id: r.label for r in pt.cluster_paths(frame(spark, paths), 0.3, eps, min_samples, 0.0).collect()}
         assert [found[i] for i in range(len(paths))] == plain_dbscan(paths, 0.3, eps, min_samples)
+
+
+def test_meetings_come_once_without_python_for_two_points(spark):
+    """Each pair of near paths meets once, also over the date line and around a pole; pairs of ends need no Python."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    paths = [(i, [a, a + rng.uniform(-0.01, 0.01)], [o, o + rng.uniform(-0.02, 0.02)]) for i, (a, o) in enumerate(
+        (base + rng.uniform(-0.02, 0.02), (at + rng.uniform(-0.04, 0.04) + 180) % 360 - 180)
+        for base, at in ((59.0, 18.0), (0.0, 180.0), (89.9, 40.0), (-45.0, -180.0)) for _ in range(30))]
+    df = spark.createDataFrame(paths, "path_id long, lat array<double>, lon array<double>")
+    rows = pt.path_distances(df, 0.3, 1_500.0)
+    assert "ArrowEvalPython" not in rows._jdf.queryExecution().toString()
+    got = [(r.i, r.j) for r in rows.collect()]
+
+    def metres(a, b, k):
+        p, q = math.radians(a[1][k]), math.radians(b[1][k])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2][k] - a[2][k]) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(math.sqrt(h))
+
+    turn = lambda a: math.atan2(a[2][1] - a[2][0], a[1][1] - a[1][0])
+    want = {(a[0], b[0]) for a, b in itertools.combinations(paths, 2)
+            if 0.7 * max(metres(a, b, 0), metres(a, b, 1)) + 0.3 * abs(turn(a) - turn(b)) <= 1_500.0}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
