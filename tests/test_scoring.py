@@ -308,3 +308,30 @@ def test_audit_reads_each_table_once(spark, tmp_path):
     assert plan.count("Relation [") == 5 and plan.count("Aggregate [space") == 1
     empty = warehouse.constraint_audit({n: df.limit(0) for n, df in held.items()})
     assert [r.violations for r in empty.collect()] == [0] * 11
+
+
+def test_edit_distance_steps_over_the_shorter_text():
+    """As many steps as the shorter text has characters: a long answer costs little more than a short one."""
+    import time
+
+    from fairlead.functions.metrics import edit_distance
+
+    long = "the quick brown fox jumps over the lazy dog " * 5_000
+    start = time.process_time()
+    assert edit_distance(long, "quick dog") == len(long) - len("quick dog")
+    assert edit_distance("kitten" * 3, "sitting") == edit_distance("sitting", "kitten" * 3)
+    assert time.process_time() - start < 0.15
+
+
+def test_short_batches_for_answers(spark, tmp_path):
+    """Few answers at a time go to Python, and few stems are remembered there."""
+    from fairlead.functions.stems import stem
+    from fairlead.plans import bindings
+
+    for name, rows, schema in (("benchmark", [(0, "a b")], "item_id long, text string"),
+                               ("documents", [(1, "a", "en", "src1", 1)], "doc_id long, text string, lang string, source string, n_chars long")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bindings.answers(spark, str(tmp_path)).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert stem.cache_info().maxsize <= 20_000
