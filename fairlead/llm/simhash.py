@@ -7,16 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import text_key, written
 from fairlead.operators.graph import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-# Grid points with two owners are broadcast up to this many, eight megabytes; else the join shuffles.
-BROADCAST_CELLS = 1_000_000
-BYTE_LANES = np.uint64(0x0101010101010101)
+# Grid points with two owners are broadcast up to this many; else the join shuffles.
+BROADCAST_CELLS = 50_000
+BYTE_LANES, ODD = np.uint64(0x0101010101010101), np.uint64(0x5555555555555555)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -60,30 +60,34 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, fp long, key binary")
 
 
-def _signed(bits: int) -> Column:
-    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grid points within Manhattan distance 1 of the fingerprints' numbers of set bits in 32 segments, and whose they are, by place."""
+    one, other = fps & ODD, (fps >> np.uint64(1)) & ODD
+    counts, every = (one ^ other) | ((one & other) << np.uint64(1)), np.arange(len(fps))
+    owners, points = [every], [counts]
+    for at in range(0, 64, 2):
+        value = (counts >> np.uint64(at)) & np.uint64(3)
+        for some, step in ((value < 2, 1), (value > 0, 3)):  # 0 to 1, 1 to 0; 1 to 2, 2 to 1
+            owners.append(every[some])
+            points.append(counts[some] ^ np.uint64(step << at))
+    return np.concatenate(owners), np.concatenate(points)
 
 
-def _bit_counts(fp: Column) -> Column:
-    """Thirty-two segments of two bits, each replaced by its number of set bits, in one long."""
-    odd = _signed(0x5555555555555555)
-    one, other = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    return one.bitwiseXOR(other).bitwiseOR(F.shiftleft(one.bitwiseAND(other), 1))
+def flips(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints and their 64 neighbours at one bit, and whose they are, by place."""
+    near = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    return np.repeat(np.arange(len(fps)), len(near)), (fps[:, None] ^ near).reshape(-1)
 
 
-def _cells(counts: Column) -> Column:
-    """The grid points within Manhattan distance 1 of a vector of segment counts."""
-    out = [counts]
-    for segment in range(32):
-        value = F.shiftrightunsigned(counts, 2 * segment).bitwiseAND(F.lit(3))
-        out.append(F.when(value < 2, counts.bitwiseXOR(_signed(1 << (2 * segment)))))  # 0 to 1, 1 to 0
-        out.append(F.when(value > 0, counts.bitwiseXOR(_signed(3 << (2 * segment)))))  # 1 to 2, 2 to 1
-    return F.filter(F.array(*out), lambda c: c.isNotNull())
-
+def _with(fps: DataFrame, made, name: str) -> DataFrame:
+    """(fp, name): a row for every number made of a fingerprint."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            owners, numbers = made(own.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(own[owners]), pa.array(numbers.view(np.int64))], names=["fp", name])
 
-def _flips(fp: Column) -> Column:
-    """A fingerprint and its 64 neighbours at one bit."""
-    return F.array(fp, *[fp.bitwiseXOR(_signed(1 << b)) for b in range(64)])
+    return fps.select("fp").mapInArrow(run, f"fp long, {name} long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -98,14 +102,12 @@ def links(distinct: DataFrame) -> DataFrame:
     such a neighbour has at most 65 owners. Its owners are linked to the least of them, so groups of
     any size give a linear number of edges and no pair within two bits stays unconnected.
     """
-    cells = distinct.select("fp", F.explode(_cells(_bit_counts(F.col("fp")))).alias("cell"))
-    met = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
+    placed = _with(distinct, cells, "cell")
+    met = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
     met = written(met, "cells")
-    if met.count() <= BROADCAST_CELLS:
-        met = F.broadcast(met)
-    near = cells.join(met, "cell", "left_semi").select("fp").distinct()
-    owners = near.select("fp", F.explode(_flips(F.col("fp"))).alias("via")).groupBy("via").agg(
-        F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    met = F.broadcast(met) if met.count() <= BROADCAST_CELLS else met.hint("merge")
+    near = placed.join(met, "cell", "left_semi").select("fp").distinct()
+    owners = _with(near, flips, "via").groupBy("via").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     return owners.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
 
 

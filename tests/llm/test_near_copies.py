@@ -94,3 +94,32 @@ def test_pipeline_finds_near_copies_by_fingerprints(spark, monkeypatch):
     assert kept() == [1, 4, 5]
     monkeypatch.setattr(simhash, "links", lambda distinct: distinct.select(distinct.fp.alias("a"), distinct.fp.alias("b")).limit(0))
     assert kept() == [1, 2, 4, 5]
+
+
+def test_large_components_are_dealt_to_several_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(1, " ".join(words), 1), (0, "apart", 1)]
+    for i in range(2, 30):
+        edited = list(words)
+        edited[rng.randrange(300)] = f"edit{i}"
+        rows.append((i, " ".join(edited), 1))
+    kept = lambda: sorted(r.doc_id for r in near_copies.one_per_fingerprint_group(frame(spark, rows)).collect())
+    whole = kept()
+    assert whole[:2] == [0, 1] and len(whole) < 20
+    monkeypatch.setattr(near_copies, "TOGETHER", 2)
+    assert kept() == whole
+
+
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_components_end_alike_in_rounds_and_in_one_task(spark, few):
+    from fairlead.operators.graph import connected_components
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(80)] + [(i, i + 1) for i in range(200, 230)]
+    least = {n: n for n in range(240)}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = connected_components(spark.range(240).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "a long, b long"), few)
+    assert {r.node: r.component for r in got.collect()} == least
