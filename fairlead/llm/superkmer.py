@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -20,6 +22,8 @@ HOT = 50_000
 # Strings a task remembers to have sent; it forgets them all when there are more.
 SENT = 300_000
 NEVER = (1 << 63) - 1
+# Rows of answers that go out at once.
+JUDGED = 20_000
 
 
 class Words:
@@ -48,12 +52,8 @@ def order_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NEVER)).alias("o"), F.xxhash64(text, F.lit(7)).alias("tk")]
 
 
-def _minimisers(window: int, gram: int, combined: bool):
-    """Per row its minimisers: (m, o, tk); or combined per batch: (m, h, o, n).
-
-    h is a hash of the string of windows that share the minimiser. Of the n equal strings of a batch only the
-    least and the greatest o are given, so that copies are few before they are shuffled.
-    """
+def _minimisers(window: int, gram: int):
+    """Per row its runs of windows that share a minimiser: (m, h, o, tk), h a hash of the run's string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             minimisers, strings = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -63,175 +63,145 @@ def _minimisers(window: int, gram: int, combined: bool):
                 if not w.windows:
                     continue
                 parts = np.array(runs(w.least))
-                if not combined:
-                    minimisers.append(np.unique(w.least[parts[:, 0]]))
-                    n[row] = len(minimisers[-1])
-                    continue
                 spans = zip(w.starts[parts[:, 0]].tolist(), w.ends[parts[:, 1] + window - 2].tolist())
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w.joined[a:b]) for a, b in spans), np.uint64, len(parts))
+                strings.append(np.fromiter((xxhash.xxh64_intdigest(w.joined[a:b]) for a, b in spans), np.uint64, len(parts)))
                 minimisers.append(w.least[parts[:, 0]])
-                strings.append(hashes)
                 n[row] = len(parts)
-            m, at = np.concatenate(minimisers).view(np.int64), np.repeat(np.arange(batch.num_rows), n)
-            if not combined:
-                at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(at), batch.column(1).take(at)], names=["m", "o", "tk"])
-                continue
-            h, o = np.concatenate(strings).view(np.int64), batch.column(0).to_numpy()[at]
-            order = np.lexsort((o, h, m))
-            m, h, o = m[order], h[order], o[order]
-            first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])])[:len(m)])
-            last = np.append(first[1:], len(m))[:len(first)] - 1
-            more = last[o[last] != o[first]]
-            rows, times = np.concatenate([first, more]), np.concatenate([last - first + 1, np.zeros(len(more), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(m[rows]), pa.array(h[rows]), pa.array(o[rows]), pa.array(times)],
-                                             names=["m", "h", "o", "n"])
+            at = pa.array(np.repeat(np.arange(batch.num_rows), n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(minimisers).view(np.int64)), pa.array(np.concatenate(strings).view(np.int64)),
+                 batch.column(0).take(at), batch.column(1).take(at)], names=["m", "h", "o", "tk"])
 
     return run
 
 
-PART = pa.struct([("bucket", pa.int64()), ("h", pa.int64()), ("packed", pa.binary()), ("start", pa.int32()), ("n", pa.int32())])
-
-
 def _strings(window: int, gram: int):
-    """Per row its shared super-k-mers (bucket, h, packed, start, n windows): (o, tk, parts).
+    """Per row its shared super-k-mers: (bucket, packed, o, tk, starts).
 
-    One that is the same string wherever its minimiser occurs is judged already: it belongs to the least
-    document, which this row is not. It carries no string and its bucket is null. Of equal strings of a
-    task only those of ever smaller documents travel, so copies in many documents are combined early.
+    A string that is the same wherever its minimiser occurs is judged already: it belongs to the least
+    document, which this row is not. So is one that the task has sent from a smaller document. The runs
+    of windows judged here go in one row without a string, as first and last + 1 in turn. All other strings travel,
+    those that a row holds more than once with all their starts.
     """
+    kinds_of = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], int] = {}
         for batch in batches:
             out = []
             texts = batch.column(2).field("text")
-            for o, text, uniform, other, hot in zip(batch.column(0).to_pylist(), texts, *(c.to_pylist() for c in batch.columns[3:])):
+            for o, tk, text, uniform, other, hot in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, *(c.to_pylist() for c in batch.columns[3:])):
                 w = Words(text.as_py().encode(), window, gram)
                 kinds = {**dict.fromkeys(other, 1), **dict.fromkeys(hot, 2), **dict.fromkeys(uniform, 0)}
                 least = w.least.view(np.int64)
-                parts = []
+                judged, own = [], {}
                 for a, b in runs(w.least):
                     m = int(least[a])
                     kind = kinds.get(m)
                     if kind is None:
                         continue
                     if kind == 0:
-                        parts.append({"bucket": None, "h": None, "packed": None, "start": a, "n": b - a})
+                        judged += (a, b)
                         continue
                     for x, y, _ in blocks(w.grams, w.least[a], a, b, window - gram + 1, 1) if kind == 2 else [(a, b, 0)]:
                         packed = w.string(x, y, window)
                         h = xxhash.xxh64_intdigest(packed) - (1 << 63)
-                        bucket = h if kind == 2 else m
-                        if sent.get((bucket, h), NEVER + 1) <= o:  # NEVER is a null id's place and travels too
-                            packed = None
+                        if sent.get((m, h), o) < o:
+                            judged += (x, y)
+                        elif (m, h) in own:
+                            own[m, h][-1].append(x)
                         else:
-                            sent[bucket, h] = o
-                            if len(sent) > SENT:
-                                sent.clear()
-                        parts.append({"bucket": bucket, "h": h, "packed": packed, "start": x, "n": y - x})
-                out.append(parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(PART))],
-                                             names=["o", "tk", "parts"])
+                            own[m, h] = [h if kind == 2 else m, packed, o, tk, [x]]
+                if judged:
+                    out.append((tk, None, o, tk, judged))
+                out += own.values()
+                if len(sent) > SENT:
+                    sent.clear()
+                sent.update(dict.fromkeys(own, o))
+            columns = zip(*out) if out else [[]] * len(kinds_of)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of)],
+                                             names=["bucket", "packed", "o", "tk", "starts"])
 
     return run
 
 
-def first_owners(strings: list[bytes], owners: list[int], window: int) -> list[list[int]]:
-    """Per string and window the least owner of any string of the bucket that holds the same words.
+def later_runs(rows: Iterable[tuple[bytes, int, int, list[int]]], window: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(o, tk, spans): the windows of a bucket's strings that an earlier owner holds too, as runs' first and last + 1 in turn.
 
-    The bucket's windows are sorted by their words; equal ones stand together.
+    ``rows`` are (packed, o, tk, starts) in order of o, so whoever brings a window first has its least owner. Different strings
+    and, once there are two, their windows are held; rows are not.
     """
-    if len(strings) == 1:
-        return [[owners[0]] * (strings[0].count(b" ") + 2 - window)]
-    listed, out = [], []
-    for s, packed in enumerate(strings):
+    strings: dict[bytes, int] = {}
+    seen: dict[bytes, int] = {}
+
+    def firsts(packed: bytes, o: int) -> list[int]:
         words = packed.split(b" ")
-        n = len(words) - window + 1
-        listed += [(b" ".join(words[i:i + window]), owners[s], s, i) for i in range(n)]
-        out.append([0] * n)
-    listed.sort()
-    before = least = None
-    for text, owner, s, i in listed:
-        if text != before:  # the first of equal windows has the least owner
-            before, least = text, owner
-        out[s][i] = least
-    return out
-
-
-def _count(window: int):
-    """Rows (bucket, h, packed, o) sorted by bucket in, (bucket, h, firsts) out; one bucket's different strings are held."""
+        return [seen.setdefault(b" ".join(words[i:i + window]), o) for i in range(len(words) - window + 1)]
+
+    for packed, o, tk, starts in rows:
+        if packed is None:  # judged where it was read
+            yield o, tk, starts
+            continue
+        first = strings.setdefault(packed, o)
+        if first < o:
+            found = [(0, packed.count(b" ") + 2 - window)]
+        elif len(strings) == 1:
+            continue
+        else:
+            if not seen:
+                firsts(*next(iter(strings.items())))
+            later = np.array(firsts(packed, o)) < o
+            found = [(a, b) for a, b in runs(later) if later[a]]
+        if found:
+            yield o, tk, [x + end for x in starts for span in found for end in span]
+
+
+def _judge(window: int):
+    """Rows (bucket, packed, o, tk, starts) sorted by bucket and o in, (o, tk, spans) out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, int]] = {}
-        current, out = None, []
-
-        def done():
-            firsts = first_owners(list(held), [o for _, o in held.values()], window)
-            out.extend((current, h, f) for (h, _), f in zip(held.values(), firsts))
-
-        def batch_of():
-            made = pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
-                 pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["bucket", "h", "firsts"])
-            out.clear()
-            return made
-
-        for batch in batches:
-            for bucket, h, packed, o in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != current:
-                    if held:
-                        done()
-                    held, current = {}, bucket
-                had = held.get(packed)
-                if had is None or o < had[1]:
-                    held[packed] = h, o
-            yield batch_of()
-        if held:
-            done()
-        yield batch_of()
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        found = chain.from_iterable(later_runs((r[1:] for r in bucket), window) for _, bucket in groupby(rows, key=lambda r: r[0]))
+        while part := list(islice(found, JUDGED)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*part), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["o", "tk", "spans"])
 
     return run
 
 
 def later_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(o, tk, starts): per row the first words of its windows that also start in a row of smaller ``o``.
+    """(o, tk, spans): per row its runs of windows that also start in a row of smaller ``o``, as first and last + 1 in turn.
 
-    ``rows`` has o, tk and row, a struct with ``text``. Minimisers of all windows are grouped
+    ``rows`` has o, tk and row, a struct with ``text``. Minimisers of all windows meet
     first, as numbers, with a 64-bit hash of the string of windows that share them. Only minimisers of two documents
     matter. If all their strings are equal, every window belongs to the least document and the row
-    can tell by itself what it loses. Otherwise the strings travel to the minimiser's bucket, equal ones
-    combined before the shuffle, so that a passage in many documents is one row per task.
+    can tell by itself what it loses. Otherwise the strings travel to the minimiser's bucket with their places, save those
+    that their task has sent from a smaller document, so that a passage in many documents is a few rows per task.
     """
     texts = rows.select("o", "tk", F.col("row.text").cast("binary").alias("text"))
-    met = texts.mapInArrow(_minimisers(window, gram, False), "m long, o long, tk long")
-    shared = texts.mapInArrow(_minimisers(window, gram, True), "m long, h long, o long, n long").repartition("m").groupBy("m").agg(
-        F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("h").alias("h0"), F.max("h").alias("h1"),
-        F.sum("n").alias("n")).filter("lo < hi")
+    met = texts.mapInArrow(_minimisers(window, gram), "m long, h long, o long, tk long")
+    over = lambda c: c.over(W.partitionBy("m"))
+    shared = met.select("m", "o", "tk", over(F.min("o")).alias("lo"), over(F.max("o")).alias("hi"), over(F.min("h")).alias("h0"),
+                        over(F.max("h")).alias("h1"), over(F.count(F.lit(1))).alias("n")).filter("lo < hi")
     kind = F.when(F.col("h0") == F.col("h1"), 0).when(F.col("n") <= hot, 1).otherwise(2)
-    shared = shared.select("m", "lo", kind.alias("kind"))
     some = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("m")))
-    hits = met.join(shared, "m").filter("kind > 0 or lo < o").groupBy("o", "tk").agg(
+    hits = shared.withColumn("kind", kind).filter("kind > 0 or lo < o").groupBy("o", "tk").agg(
         some(0).alias("uniform"), some(1).alias("other"), some(2).alias("hot"))
-    parts = rows.join(hits, ["o", "tk"]).select("o", "tk", "row", "uniform", "other", "hot").mapInArrow(
-        _strings(window, gram), "o long, tk long, parts array<struct<bucket:bigint,h:bigint,packed:binary,start:int,n:int>>").select(
-            "o", "tk", F.explode("parts").alias("part")).select("o", "tk", "part.*")
-    counted = parts.filter("packed is not null").select("bucket", "h", "packed", "o").repartition("bucket").sortWithinPartitions(
-        "bucket").mapInArrow(_count(window), "bucket long, h long, firsts array<long>")
-    places = parts.select("o", "tk", "bucket", "h", "start", "n")
-    alone = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
-    later = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("o"), F.col("start") + i)), lambda x: x.isNotNull())
-    marked = places.join(counted, ["bucket", "h"], "left").select(
-        "o", "tk", F.when(F.col("bucket").isNull(), alone).otherwise(later).alias("starts")).filter(F.size("starts") > 0)
-    return marked.groupBy("o", "tk").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-
-
-def kept_words(text: bytes, starts: np.ndarray | None, window: int) -> tuple[int, int, bytes]:
-    """(words, removed words, the others joined by one blank)."""
+    strings = rows.join(hits, ["o", "tk"]).select("o", "tk", "row", "uniform", "other", "hot").mapInArrow(
+        _strings(window, gram), "bucket long, packed binary, o long, tk long, starts array<int>")
+    judged = strings.repartition("bucket").sortWithinPartitions("bucket", "o").mapInArrow(
+        _judge(window), "o long, tk long, spans array<int>")
+    return judged.groupBy("o", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def kept_words(text: bytes, spans: np.ndarray | None, window: int) -> tuple[int, int, bytes]:
+    """(words, removed words, the others joined by one blank) without the words of windows in ``spans``."""
     words = text.split()
-    if starts is None:
+    if spans is None:
         return len(words), 0, b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, spans[::2], 1)
+    np.add.at(edge, spans[1::2] - 1 + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
 
@@ -251,14 +221,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text, starts in zip(batch.column(0).field("text"), batch.column(1)):
-                at = np.asarray(starts.values.to_numpy(zero_copy_only=False), np.int64) if starts.is_valid else None
+            for text, spans in zip(batch.column(0).field("text"), batch.column(1)):
+                at = np.asarray(spans.values.to_numpy(zero_copy_only=False), np.int64) if spans.is_valid else None
                 n, gone, kept = kept_words((text.as_py() or "").encode(), at, window)
                 made.append((n, gone, kept.decode(), hashlib.sha256(kept).hexdigest()))
             columns = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = rows.join(marks, ["o", "tk"], "left").select("row", "starts")
+    joined = rows.join(marks, ["o", "tk"], "left").select("row", "spans")
     schema = StructType([rows.schema["row"], *(StructField(n, k) for n, k in (
         ("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType()), ("kept_sha256", StringType())))])
     return joined.mapInArrow(run, schema)
