@@ -7,7 +7,6 @@ bytes, and a second pass over the documents adds to dense slots, one array per g
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from fairlead.llm.common import written
 from fairlead.llm.perfect_hash import Shards, build, hash_key, stored
 
-# Runs of letters and of anything beyond ASCII, as UTF-8 bytes; only A-Z are lowered.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+# Runs of letters and of anything beyond ASCII, as UTF-8 bytes, are terms; only A-Z are lowered and all else parts them.
+LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEED = 42
 # Terms of a shard, bytes of the shards broadcast at once, terms or slots a task holds before it sends them on.
 SHARD_TERMS, BLOCK_BYTES = 8192, 32 << 20
@@ -33,7 +32,7 @@ ONE = 1_000_000_000
 
 
 def terms(text: bytes | None) -> list[bytes]:
-    return TERM.findall(text.lower()) if text else []
+    return text.translate(LETTERS).split() if text else []
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -64,7 +63,8 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
                 yield from sent()
         yield from sent()
 
-    found = rows.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
+    # Tasks have counted already, so nothing is summed before the shuffle.
+    found = rows.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long").repartition("lang", "term")
     return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
@@ -121,8 +121,8 @@ def recount(rows: DataFrame, heads: DataFrame) -> DataFrame | None:
             lang: (own[0]["shards"], hash_key(lang.encode(), SEED), [
                 (r["shard"], int(r["seed"]), bytes(r["steps"]), bytes(r["lengths"]), bytes(r["keys"])) for r in own])
             for lang, own in by_lang.items()})
-        passes.append(written(counted(rows, hashes).groupBy("lang", "source", "shard", "slot").agg(
-            F.sum("count").alias("count")), "recount"))
+        slots = ["lang", "source", "shard", "slot"]
+        passes.append(written(counted(rows, hashes).repartition(*slots).groupBy(*slots).agg(F.sum("count").alias("count")), "recount"))
         hashes.unpersist()
     out = None
     for one in passes:

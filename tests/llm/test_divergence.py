@@ -109,3 +109,17 @@ def test_exact_shares(spark):
     rows = spark.createDataFrame(pairs, "c long, n long")
     got = rows.select("c", "n", divergence.share(F.col("c"), F.col("n")).alias("s")).collect()
     assert collections.Counter((r.c, r.n, r.s) for r in got) == collections.Counter((*p, w) for p, w in zip(pairs, want))
+
+
+def test_terms_are_runs_of_letters():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"aZ\x00 \n\x1c[`{\x7f\x80\xc3\xff09_") for _ in range(60)) for _ in range(200)]
+    for text in [*texts, bytes(range(256)), "Ärger İ ß".encode()]:
+        assert divergence.terms(text) == re.findall(rb"[a-z\x80-\xff]+", text.lower())
+
+
+def test_counts_of_tasks_are_summed_after_the_shuffle_only(spark):
+    rows = spark.createDataFrame([("en", bytearray(b"one two"))], "lang string, text binary")
+    plan = divergence.document_frequencies(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") < plan.index("MapInArrow")
+    assert "HashAggregate" not in plan[plan.index("Exchange"):]
