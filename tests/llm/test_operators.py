@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given
@@ -351,6 +352,18 @@ def test_column_order_finds_all_repeats():
                     assert found[s].tolist() == [count[texts[d][x + i:x + i + length]] > 1 for i in range(len(s) - length + 1)]
 
 
+def test_a_string_a_text_holds_many_times_is_one_row():
+    length, gram = 64, 16
+    text = b"Is onhe. " * 60
+    least = window_minima(byte_grams(np.frombuffer(text, np.uint8), gram), length - gram + 1)
+    times = [{"m": m, "n": 2} for m in set(least.view(np.int64).tolist())]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b"k"]), pa.array([text]), pa.array([times], pa.list_(pa.struct([("m", pa.int64()), ("n", pa.int64())]))), pa.array([1])],
+        names=["tk", "text", "shared", "copies"])
+    rows = [r for made in suffix_columns._strings(length, gram, 5_000)(iter([batch])) for r in made.to_pylist()]
+    assert len({(r["bucket"], r["h"]) for r in rows}) == len(rows) < 10 and max(len(r["starts"]) for r in rows) > 30
+
+
 # Repeated word windows
 
 def plain_windows(rows, window):
@@ -391,6 +404,19 @@ def test_a_null_id_loses_an_embedded_passage(spark):
     assert sorted(r.n_removed for r in got)[-1] >= 60
 
 
+def test_each_text_is_cut_once_for_minimisers_and_once_for_strings(docs):
+    plan = superkmer.substring_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # minimisers, strings, their judging, the words kept
+
+
+def test_windows_of_earlier_owners():
+    words = lambda *w: b" ".join(b"w%d" % i for i in w)
+    rows = [(words(1, 2, 3, 4), 5, 50, [0]), (words(1, 2, 3, 4), 5, 50, [9]), (None, 6, 60, [2, 4]), (words(0, 1, 2, 3), 6, 61, [7, 20]),
+            (words(1, 2, 3, 4), 8, 80, [3]), (words(0, 1, 2, 9), 9, 90, [1]), (words(7, 8, 9), 9, 91, [0])]
+    assert list(superkmer.later_runs(rows, 3)) == [
+        (6, 60, [2, 4]), (6, 61, [8, 9, 21, 22]), (8, 80, [3, 5]), (9, 90, [1, 2])]
+
+
 # Benchmark decontamination
 
 def plain_edits(item, text):
