@@ -296,3 +296,23 @@ def test_meetings_come_once_without_python_for_two_points(spark):
     want = {(a[0], b[0]) for a, b in itertools.combinations(paths, 2)
             if 0.7 * max(metres(a, b, 0), metres(a, b, 1)) + 0.3 * abs(turn(a) - turn(b)) <= 1_500.0}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_distances_are_taken_where_paths_meet(spark, monkeypatch):
+    """No pair of paths becomes a joined row, and a cell may reach over any number of batches and looks."""
+    monkeypatch.setattr(pt, "MET", 5)
+    monkeypatch.setattr(pt, "POINTS", 20)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        paths, alpha = make_paths(), 0.3
+        rows = pt.path_distances(frame(spark, paths), alpha, 150.0)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "ArrowEvalPython" not in plan
+        found = {(r.i, r.j): r.dist for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(i, j): plain_path_distance(paths[i], paths[j], alpha) for i in range(len(paths)) for j in range(i + 1, len(paths))}
+    want = {k: v for k, v in want.items() if v <= 150.0}
+    assert found.keys() == want.keys() and len(want) > 20
+    assert all(found[k] == pytest.approx(v) for k, v in want.items())
