@@ -316,3 +316,28 @@ def test_distances_are_taken_where_paths_meet(spark, monkeypatch):
     want = {k: v for k, v in want.items() if v <= 150.0}
     assert found.keys() == want.keys() and len(want) > 20
     assert all(found[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_a_large_cluster_is_not_gathered_for_its_grid(spark, monkeypatch):
+    """The points of a cluster meet its grid where they lie; they are not brought together by cluster."""
+    plans, stored = [], pt.stored
+
+    def noted(df, name):
+        if name == "scales":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    rng = np.random.default_rng(4)
+    rows = [(0, (a, o), 1, a, o, 1.0) for a, o in rng.uniform(0, 1, (4_000, 2)).tolist()]
+    active = stored(spark.createDataFrame(
+        rows, "label long, node struct<lat: double, lon: double>, size long, lat double, lon double, weight double"), "nodes")
+    large = stored(spark.createDataFrame([(0, 4_000, 1.0)], "label long, n long, least double"), "large")
+    monkeypatch.setattr(pt, "stored", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        scale = pt._scales(active, large, None, "label").first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and not any("SortMergeJoin" in line and "Inner" in line for line in plans[0].splitlines())
+    assert 0 < scale.level < pt.LEVELS
