@@ -341,3 +341,45 @@ def test_a_large_cluster_is_not_gathered_for_its_grid(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(plans) == 1 and not any("SortMergeJoin" in line and "Inner" in line for line in plans[0].splitlines())
     assert 0 < scale.level < pt.LEVELS
+
+
+def test_spans_of_all_paths_are_split_together():
+    rng = np.random.default_rng(4)
+    n = np.concatenate([[0, 1, 2, 3], rng.integers(0, 25, 60), [0]])
+    lat, lon = 59 + rng.random(n.sum()).round(2) / 10, 18 + rng.random(n.sum()) / 10
+    lat[rng.integers(0, len(lat), 9)] = np.nan
+    for epsilon in (0.0, 900.0, 3_000.0):
+        kept, count = p.kept_of_all(lat, lon, n, epsilon)
+        parts = np.split(kept, np.cumsum(count)[:-1])
+        ends = np.cumsum(n)
+        assert [list(x) for x in parts] == [p.kept_points(lat[e - k:e], lon[e - k:e], epsilon) for k, e in zip(n, ends)]
+
+
+def test_simplification_in_runs(spark, monkeypatch):
+    paths = make_paths(4) + [[(59.0, 18.0)], [(59.0 + k / 7 % 0.3, 18.0 + k / 100) for k in range(40)]]
+    whole = {r.path_id: (r.lat, r.lon) for r in pt.simplify(frame(spark, paths), 20.0).collect()}
+    monkeypatch.setattr(p, "RUN_POINTS", 5)
+    assert {r.path_id: (r.lat, r.lon) for r in pt.simplify(frame(spark, paths), 20.0).collect()} == whole
+    for i, x in enumerate(paths):
+        at = p.kept_points(np.array([q[0] for q in x]), np.array([q[1] for q in x]), 20.0)
+        assert whole[i] == ([x[k][0] for k in at], [x[k][1] for k in at])
+
+
+def test_links_of_a_cell_follow_its_paths(spark):
+    """Forty paths within reach of each other have 780 near pairs; 39 of them connect them."""
+    rows = pt.with_direction(frame(spark, [[(59.0 + k * 1e-6, 18.0), (59.0 + k * 1e-6, 18.02)] for k in range(40)]))
+    grid = pt.Grid(0.3, 100.0)
+    met = lambda linking: pt._meetings(rows, rows, grid, once=True, measure=(0.3, 100.0), linking=linking).select(
+        F.col("path_id_i").alias("a"), F.col("path_id_j").alias("b"))
+    links = met(True)
+    assert met(False).count() == 780 and links.count() <= 2 * 40
+    parts = connected_components(rows.select(F.col("path_id").alias("node")), links).select("component").distinct().collect()
+    assert [r[0] for r in parts] == [0]
+
+
+def test_clusters_without_crowds_are_components(spark):
+    """Few paths in a cell, two samples to a core: the plan without pivots."""
+    for seed, eps in ((3, 100.0), (9, 45.0)):
+        paths = make_paths(seed)
+        found = {r.path_id: r.label for r in pt.cluster_paths(frame(spark, paths), 0.3, eps, 2, 0.0).collect()}
+        assert [found[i] for i in range(len(paths))] == plain_dbscan(paths, 0.3, eps, 2)
