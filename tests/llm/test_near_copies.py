@@ -123,3 +123,21 @@ def test_components_end_alike_in_rounds_and_in_one_task(spark, few):
             least[a] = least[b] = min(least[a], least[b])
     got = connected_components(spark.range(240).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "a long, b long"), few)
     assert {r.node: r.component for r in got.collect()} == least
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_the_stage_leaves_out_no_near_copy(spark, monkeypatch, small):
+    """Texts near others than their component's first text, and copies with more edits than two bits, are found as plain loops find them."""
+    if small:
+        for name, size in (("TOGETHER", 2), ("BUCKET", 40), ("HELD", 100), ("ENOUGH", 1)):
+            monkeypatch.setattr(near_copies, name, size)
+    rows = [(i, t, 1) for i, t in enumerate(edited_copies())]
+    rows += [(None, rows[50][1], 1), (None, "no id", 1), (None, "none either", 1), (3, "other text of an id", 1),
+             (3, "other text of an id", 1), (-7, rows[50][1].upper(), 1), (900, None, 1), (901, " \n", 1), (902, "", 1)]
+    root = plain_components({t or "" for _, t, _ in rows})
+    groups = collections.defaultdict(set)
+    for d, t, _ in rows:
+        groups[root[t or ""]].add((d is None, d or 0))
+    got = near_copies.one_per_fingerprint_group(frame(spark, rows)).collect()
+    assert sorted(root[r.text or ""] for r in got) == sorted(groups) and len(groups) < len(rows) - 60
+    assert all((r.doc_id is None, r.doc_id or 0) == min(groups[root[r.text or ""]]) for r in got)
